@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkloom.functions.arrays import numbered
+
 # Fixed values.
 SEASONS = ("fall", "spring", "summer", "winter")
 TERM = r"(?i)(fall|spring|summer|winter)\s+(20\d{2})"
@@ -38,7 +40,7 @@ def _count(xs: Column, w: Column) -> Column:
 
 def shared_tokens(a: Column, b: Column) -> Column:
     """How many tokens two token arrays share as multisets."""
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, w: n + F.least(_count(a, w), _count(b, w)))
+    return F.size(F.array_intersect(numbered(a), numbered(b)))
 
 
 def overlap_score(query: Column, doc: Column) -> Column:
@@ -52,6 +54,12 @@ def overlap_of_tokens(q: Column, d: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(shared_tokens(q, d) / F.sqrt(n.cast("double")))
 
 
+def overlap_of_numbered(q: Column, d: Column) -> Column:
+    """The same of token arrays that were numbered once, for many pairs."""
+    n = F.size(q) * F.size(d)
+    return F.when(n == 0, 0.0).otherwise(F.size(F.array_intersect(q, d)) / F.sqrt(n.cast("double")))
+
+
 def token_f1(pred: Column, gold: Column) -> Column:
     """F1 of the normalized texts' words as multisets; 0 if nothing is shared."""
     p, g = (F.filter(F.split(normalize_text(c), " "), lambda x: x != "") for c in (pred, gold))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
+from sparkloom.functions.arrays import numbered
 from sparkloom.operators.selection import keep_first
 
 POOL = 200
@@ -67,9 +68,9 @@ def sub_queries(questions: DataFrame) -> DataFrame:
 
 def lexical_top_k(queries: DataFrame, docs: DataFrame, k: int, cap: int | None = None, cap_key: str = "source") -> DataFrame:
     """Top-k documents by token overlap of queries (qid, query), at most ``cap`` of a source each."""
-    tokens = docs.withColumn("_d", X.tokenize(F.substring("text", 1, X.OVERLAP_CHARS))).drop("text")
-    both = pair_up(queries.select("qid", X.tokenize(F.col("query")).alias("_q")), tokens)
-    scored = both.withColumn("score", F.round(X.overlap_of_tokens(F.col("_q"), F.col("_d")), 6)).drop("_q", "_d")
+    tokens = docs.withColumn("_d", numbered(X.tokenize(F.substring("text", 1, X.OVERLAP_CHARS)))).drop("text")
+    both = pair_up(queries.select("qid", numbered(X.tokenize(F.col("query"))).alias("_q")), tokens)
+    scored = both.withColumn("score", F.round(X.overlap_of_numbered(F.col("_q"), F.col("_d")), 6)).drop("_q", "_d")
     order = [F.desc("score"), F.asc("doc_id")]
     if cap:
         scored = scored.withColumn("_n", F.row_number().over(Window.partitionBy("qid", cap_key).orderBy(*order))).filter(F.col("_n") <= cap).drop("_n")
@@ -88,7 +89,7 @@ class HashedVectors:
     candidates are scored exactly. Recall is measured against the exact search in the tests.
     """
 
-    def __init__(self, dim: int, bits: int = 8, tables: int = 8, seed: int = 7):
+    def __init__(self, dim: int, bits: int = 7, tables: int = 6, seed: int = 7):
         import numpy as np
 
         self.bits, self.tables = bits, tables
