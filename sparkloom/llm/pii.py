@@ -227,7 +227,8 @@ def fit(docs: DataFrame, text: str = "text") -> dict[tuple[str, tuple[int, ...]]
             for t in batch["t"]:
                 if t and (_digits(t) or "@" in t):
                     seen.update((k, votes(t, a, b, k)) for a, b, k in chain(base_spans(t), candidates(t)))
-        yield pd.DataFrame({"kind": [k for k, _ in seen], "v": [list(v) for _, v in seen], "n": list(seen.values())})
+        if seen:
+            yield pd.DataFrame({"kind": [k for k, _ in seen], "v": [list(v) for _, v in seen], "n": list(seen.values())})
 
     total = docs_only(docs, text).toDF("t").mapInPandas(count, "kind string, v array<int>, n long").groupBy("kind", "v").agg(F.sum("n").alias("n")).collect()
     counts = {(r["kind"], tuple(r["v"])): r["n"] for r in total}
