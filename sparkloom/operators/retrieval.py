@@ -89,7 +89,7 @@ class HashedVectors:
     candidates are scored exactly. Recall is measured against the exact search in the tests.
     """
 
-    def __init__(self, dim: int, bits: int = 7, tables: int = 6, seed: int = 7):
+    def __init__(self, dim: int, bits: int = 5, tables: int = 8, seed: int = 7):
         import numpy as np
 
         self.bits, self.tables = bits, tables
