@@ -13,8 +13,8 @@ idiots" counts little. The weighted clause outputs are a document's features; a
 outside the held-out fold turns them into a score. The insult list is a seed list and words learnt from the same rows:
 words that are far more frequent in toxic rows.
 
-The fit uses at most FIT_ROWS labelled rows (those with the smallest hash of the id), so what reaches the driver is
-bounded. Scoring is row by row over whole texts: no shuffle, and a lost task is just rerun.
+The fit uses at most FIT_ROWS labelled rows (those with the smallest hash of the id), so what is broadcast (their ids and
+labels) and what reaches the driver is bounded. Scoring is row by row over whole texts: no shuffle, and a lost task is just rerun.
 """
 
 from __future__ import annotations
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[f
     """The insult list and the regression, from at most ``fit_rows`` labelled rows outside the held-out fold."""
     marks = labels.filter("toxic is not null and doc_id is not null").filter(~held_out("doc_id")).select(labels["doc_id"].alias("_id"), F.col("toxic").cast("int").alias("_toxic"))
     picked = marks.orderBy(F.xxhash64("_id"), "_id", "_toxic").limit(fit_rows)
-    rows = docs_only(docs, "doc_id", "text").filter("text is not null").join(picked, F.col("doc_id") == F.col("_id")).select("text", F.col("_toxic").alias("toxic"))
+    rows = docs_only(docs, "doc_id", "text").filter("text is not null").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("text", F.col("_toxic").alias("toxic"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = {0: Counter(), 1: Counter()}
