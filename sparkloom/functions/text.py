@@ -224,3 +224,8 @@ def as_text(c: Column) -> Column:
 
 def list_as_text(c: Column) -> Column:
     return F.coalesce(F.array_join(c, ", "), F.lit(""))
+
+
+def as_list(c: Column) -> Column:
+    """A text list ("a, b") as an array; null and "" are empty."""
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")

@@ -158,3 +158,29 @@ def by_category(judged: DataFrame) -> DataFrame:
 def failures(judged: DataFrame, k: int = 5) -> DataFrame:
     """The first failing questions, a report."""
     return judged.filter("substring_match = 0").orderBy("id").limit(k)
+
+
+def regression(ranked: DataFrame, cases: DataFrame) -> DataFrame:
+    """Cases (qid, name, expect_intent, expect_url, expect_bucket, top_k; null: not checked) against ranked rows: name, intent_ok, url_ok, bucket_ok, passed."""
+    hits = cases.join(ranked.select("qid", "intent", "url", "bucket", "rank"), "qid", "left")
+    near = F.coalesce(F.col("rank") <= F.col("top_k"), F.lit(False))
+    per = hits.groupBy("qid", "name", "expect_intent", "expect_url", "expect_bucket").agg(
+        F.coalesce(F.bool_or(F.col("intent") == F.col("expect_intent")), F.lit(False)).alias("i"), F.coalesce(F.bool_or(near & F.col("url").contains(F.col("expect_url"))), F.lit(False)).alias("u"), F.coalesce(F.bool_or(near & (F.col("bucket") == F.col("expect_bucket"))), F.lit(False)).alias("b")
+    )
+    ok = {c: F.col(e).isNull() | F.col(s) for c, e, s in (("intent_ok", "expect_intent", "i"), ("url_ok", "expect_url", "u"), ("bucket_ok", "expect_bucket", "b"))}
+    return per.select("name", *[c.alias(n) for n, c in ok.items()], (ok["intent_ok"] & ok["url_ok"] & ok["bucket_ok"]).alias("passed"))
+
+
+def required_courses(docs: DataFrame) -> DataFrame:
+    """Courses (url, code, title, credits) listed under a "required courses" line of a text and before the next elective line; each code once, the first."""
+    lines = F.transform(F.split("text", "\n"), lambda x: F.trim(x))
+    lo = F.array_position(F.transform(lines, lambda x: F.lower(x).contains("required c")), True)
+    after = F.slice(lines, F.greatest(lo, F.lit(1)).cast("int"), F.size(lines))
+    stop = F.array_position(F.transform(after, lambda x, i: (i > 0) & F.lower(x).contains("elective")), True)
+    block = F.when(lo == 0, F.array().cast("array<string>")).when(stop > 0, F.slice(after, F.lit(1), (stop - 1).cast("int"))).otherwise(after)
+    pattern = r"^[*-]?\s*([A-Z]{3,4}\s?\d{3})\s+(.*?)(?:\s*\((\d+) credits?\))?$"
+    rows = docs.select("url", F.posexplode(block).alias("n", "line")).filter(F.col("line").rlike(pattern))
+    x = lambda i: F.regexp_extract("line", pattern, i)
+    from sparkloom.operators.selection import keep_first
+
+    return keep_first(rows.select("url", x(1).alias("code"), x(2).alias("title"), F.nullif(x(3), F.lit("")).cast("int").alias("credits"), "n"), ["url", "code"], ["n"]).drop("n")

@@ -11,6 +11,7 @@ from sparkloom.functions import text as X
 from sparkloom.functions import urls as U
 from sparkloom.operators import answers as A
 from sparkloom.operators import chunking as C
+from sparkloom.operators import discovery as D
 from sparkloom.operators import html as H
 from sparkloom.operators import ranking as R
 from sparkloom.operators import retrieval as V
@@ -386,6 +387,24 @@ def hybrid_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- answers and evaluation
 
+CASES = [(2, "withdraw winter", "deadline", "registrar/add-drop", "registrar", 3), (3, "semester end", "calendar", None, None, 1), (4, "required courses", None, "computer-science-ms", "catalog-programs", 5), (8, "nothing", "policy", None, None, 1)]
+
+
+@query("SELECT * FROM (VALUES ('withdraw winter', true, true, true, true), ('semester end', true, true, true, true), ('required courses', true, true, true, true), ('nothing', false, true, true, false)) t(name, intent_ok, url_ok, bucket_ok, passed)")
+def regression_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expectations of intent, URL and bucket of the first ranks."""
+    cases = frame(spark, "qid int, name string, expect_intent string, expect_url string, expect_bucket string, top_k int", CASES)
+    return A.regression(R.rerank(_candidates(spark), 5), cases)
+
+
+COURSES = [("u1", "Overview\nRequired Courses\nCSIT 515 Software Engineering (3 credits)\nCSIT 545 Architecture\nCSIT 515 Again (9 credits)\nElective Courses\nCSIT 600 Other (3 credits)"), ("u2", "CSIT 100 Not required (3 credits)")]
+
+
+@query("SELECT * FROM (VALUES ('u1', 'CSIT 515', 'Software Engineering', 3), ('u1', 'CSIT 545', 'Architecture', NULL)) t(url, code, title, credits)")
+def required_courses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.required_courses(frame(spark, "url string, text string", COURSES))
+
+
 
 @query("SELECT * FROM (VALUES (1, '12/2/2025'), (2, '4/2'), (3, NULL), (4, NULL), (5, NULL), (6, NULL)) t(id, deadline)")
 def table_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -494,6 +513,15 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.links(H.parse_pages(p)).select(F.col("url").cast("long").alias("page_id"), "href")
 
 
+@query(f"""WITH h AS (SELECT url AS base, unnest(regexp_extract_all(html, '<a\\s+href="([^"]*)"', 1)) AS href FROM pages),
+a AS (SELECT CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN href LIKE '/%' THEN regexp_extract(base, '^[a-zA-Z]+://[^/?#]+') || href END AS url FROM h),
+u AS (SELECT {_HOST.format(u='url')} AS host, {_PATH.format(u='url')} AS path FROM a WHERE url IS NOT NULL), n AS (SELECT {_NORM_URL.format(plain='tiontion.example.com', domain='example.com')} AS url, host FROM u)
+SELECT DISTINCT url FROM n WHERE url IS NOT NULL AND host = 'blog.tiontion.example.com' AND NOT regexp_matches(url, '/t')""")
+def link_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all pages that stay on a listed host and off blocked paths."""
+    return D.harvest_links(H.parse_pages(table(spark, sf_dir, "pages")), "example.com", ["blog.tiontion.example.com"], block=["/t"], plain_prefix="tiontion.")
+
+
 @query(f"""WITH {_HREFS}, l AS (SELECT DISTINCT rtrim(href, '/') AS target FROM h WHERE href LIKE '/%'), p AS (SELECT DISTINCT rtrim(regexp_replace(regexp_replace(url, '^https?://[^/]+', ''), '\\?.*$', ''), '/') AS target FROM pages)
 SELECT target FROM l WHERE target NOT IN (SELECT target FROM p)""")
 def link_gap(spark: SparkSession, sf_dir: str) -> DataFrame:

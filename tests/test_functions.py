@@ -233,3 +233,20 @@ def test_urls(spark):
     got = [r[0] for r in spark.createDataFrame([(x,) for x in rows], "u string").select(U.normalize_url(u, "example.com")).collect()]
     assert got == ["https://uni.example.com/A/", "https://evilexample.com/b.pdf", None, None, None]
     assert one(spark, "u string", ("https://a.b/c/?q",), U.file_path(u, "raw", ".md"), U.audit_path(u)) == ("raw/c/index.md", "/c")
+
+
+def test_discovery_and_embeddings(spark):
+    from sparkloom.operators import discovery as D
+    from sparkloom.sources.embeddings import embed, hashed_vector
+
+    hosts = spark.createDataFrame([("a.example.com",), ("b.example.com",)], "host string")
+    get = lambda u, e, m: ("<urlset></urlset>", "ok") if u == "https://a.example.com/sitemap_index.xml" else (None, "error")
+    assert [tuple(r)[:2] for r in D.probe_sitemaps(hosts, get).collect()] == [("a.example.com", "https://a.example.com/sitemap_index.xml")]
+    found = spark.createDataFrame([("https://a.example.com/x",), ("https://c.example.com/y.pdf",)], "url string")
+    assert [r[0] for r in D.new_hosts(found, ["a.example.com"]).collect()] == ["c.example.com"]
+    plan = {r["url"]: r for r in D.fetch_plan(found, readers.read_state(spark, "none"), render_prefixes=["https://a."]).collect()}
+    assert plan["https://a.example.com/x"]["needs_render"] and plan["https://c.example.com/y.pdf"]["is_pdf"]
+    rows = spark.createDataFrame([(1, "ab"), (2, None)], "id int, text string")
+    assert {r["id"]: r["embedding"] for r in embed(rows, lambda: lambda ts: [[len(t), 1] for t in ts]).collect()} == {1: [2.0, 1.0], 2: [0.0, 1.0]}
+    v = rows.select(hashed_vector(F.col("text"), 8).alias("v")).collect()
+    assert sum(map(abs, v[0]["v"])) == 1 and v[1]["v"] == [0.0] * 8
