@@ -20,4 +20,4 @@ def numbered(xs: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i == 0) | (i == F.size(s)) | (F.get(s, i) != F.get(s, i - 1)))
         return let(starts, lambda b: F.flatten(F.transform(F.slice(b, 1, F.greatest(F.size(b) - 1, F.lit(0))), lambda lo, r: F.transform(F.slice(s, lo + 1, F.get(b, r + 1) - lo), lambda x, i: F.xxhash64(x, i)))))
 
-    return let(F.array_sort(xs), lambda s: F.when(F.size(s) == 0, F.array().cast("array<bigint>")).otherwise(of_sorted(s)))
+    return let(F.sort_array(xs), lambda s: F.when(F.size(s) == 0, F.array().cast("array<bigint>")).otherwise(of_sorted(s)))

@@ -1,4 +1,4 @@
-"""The registered queries of the reference's operators, each with the DuckDB SQL of the same result."""
+"""The registered queries of the engine's operators, each with the DuckDB SQL of the same result."""
 
 from __future__ import annotations
 
