@@ -6,12 +6,14 @@ CHUNKS chunks, so by pigeonhole some chunk has at most RADIUS // CHUNKS errors,
 wrong symbols in a chunk is enumerated as a key of the remaining ones. At a similarity of 0.75 a pair exceeds RADIUS
 with a probability below 1e-5. Links are confirmed on the full sets.
 
-No group's pairs are listed. Equal sets are one class. In a first round, each class compares itself, over its keys, with the smallest
-class of each bucket and tries the nearest; so a group of copies becomes one component after as many checks as
-it has members. Only in buckets that still hold different components are the members compared with each
-other, in blocks of rows and with signatures alone: first to try the nearest pair of two components, then, in
+No group's pairs are listed. Equal sets are one class. In a first round, each class tries TRIES others: of its buckets' smallest
+classes those that it shares most keys with; so a group of copies becomes one component after a few checks for each of
+its members. Only in buckets that still hold different components are the members compared with each
+other, in blocks of rows and by sketches alone: first to try a forest of the nearest pairs (fewer pairs than members), then, in
 what still differs, every pair of two components. A link between two members of one component can't
-change the result, and no other is left out.
+change the result, and no other is left out. A pair is looked at in the first bucket that it shares only. Pairs within RADIUS
+also pass a second sketch (BINS one-permutation minima) that rules out those whose similarity is
+DEVIATIONS standard errors below the limit, before full sets are fetched for the rest.
 """
 
 from __future__ import annotations
@@ -30,8 +32,14 @@ from sparkloom.llm.components import connected_components
 WORDS = 5
 SIMILARITY = 75  # per cent
 SYMBOLS, CHUNKS, RADIUS = 48, 14, 26
+#: Bins of the second sketch, and standard errors of its estimate that a pair may fall short by.
+BINS, DEVIATIONS = 256, 4.5
+#: Bits of the broadcast filter of ids: at most FILTER_BITS / 64 rows of 12 bytes.
+FILTER_BITS = 1 << 22
+#: Classes that a class is checked against in the first round.
+TRIES = 1
 #: Rows of a block in the comparison within a bucket.
-BLOCK = 512
+BLOCK = 4096
 _SEED = 0x5EED
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -94,6 +102,28 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 
+def bin_minima(shingles: np.ndarray) -> np.ndarray:
+    """A byte a bin: 0 if it is empty, else 1 to 255 from the bin's least hash. The hashes are sorted and their leading bits are the bin."""
+    out = np.zeros(BINS, np.uint8)
+    shift = np.uint64(64 - (BINS - 1).bit_length())
+    bins = (shingles >> shift).astype(np.int64)
+    first = np.flatnonzero(np.diff(bins, prepend=-1))
+    with np.errstate(over="ignore"):
+        out[bins[first]] = (mix(shingles[first]) % np.uint64(255)).astype(np.uint8) + 1
+    return out
+
+
+def similar_enough(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of two bin sketches: the estimated similarity, and whether it could be SIMILARITY or more."""
+    used = ((a != 0) | (b != 0)).sum(axis=1)
+    j = ((a == b) & (a != 0)).sum(axis=1) / np.maximum(used, 1)
+    limit = SIMILARITY / 100
+    union = (na + nb) / (1 + limit)
+    # minima of bins are drawn without replacement from the union
+    error = np.sqrt(limit * (1 - limit) / np.maximum(used, 1) * np.maximum(1 - used / np.maximum(union, used), 0.02))
+    return j, j >= limit - DEVIATIONS * error - 0.01
+
+
 def chunk_keys(symbols: int = SYMBOLS, chunks: int = CHUNKS, radius: int = RADIUS) -> list[list[int]]:
     """The symbols of each key: for every chunk, every way to leave out the errors that pigeonhole allows it."""
     errors = radius // chunks
@@ -101,6 +131,8 @@ def chunk_keys(symbols: int = SYMBOLS, chunks: int = CHUNKS, radius: int = RADIU
 
 
 KEYS = chunk_keys()
+#: The same as an array, short keys padded with their last symbol.
+KEY_SYMBOLS = np.array([k + k[-1:] * (max(map(len, KEYS)) - len(k)) for k in KEYS])
 
 
 def bucket_keys(signatures: np.ndarray) -> np.ndarray:
@@ -123,10 +155,10 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(s):
                 with np.errstate(over="ignore"):
                     a, b = int(mix(s).sum().view(np.int64)), int(mix(s ^ np.uint64(0xA5A5A5A5)).sum().view(np.int64))
-                rows.append((len(s), a, b, signature(s).tobytes()))
+                rows.append((len(s), a, b, signature(s).tobytes(), bin_minima(s).tobytes()))
             else:
-                rows.append((0, None, None, None))
-        yield pd.DataFrame({"k": batch["k"].array, "n": [r[0] for r in rows], "s1": pd.array([r[1] for r in rows], "Int64"), "s2": pd.array([r[2] for r in rows], "Int64"), "signature": [r[3] for r in rows]})
+                rows.append((0, None, None, None, None))
+        yield pd.DataFrame({"k": batch["k"].array, "n": [r[0] for r in rows], "s1": pd.array([r[1] for r in rows], "Int64"), "s2": pd.array([r[2] for r in rows], "Int64"), "signature": [r[3] for r in rows], "bins": [r[4] for r in rows]})
 
 
 def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,7 +166,7 @@ def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sig = np.frombuffer(b"".join(batch["signature"]), np.uint16).reshape(-1, SYMBOLS)
         for lo in range(0, len(sig), 2048):
             got = bucket_keys(sig[lo : lo + 2048])
-            yield pd.DataFrame({"key": got.ravel(), "id": np.repeat(batch["id"].to_numpy()[lo : lo + 2048], len(KEYS))})
+            yield pd.DataFrame({"key": got.ravel(), "no": np.tile(np.arange(len(KEYS), dtype=np.int32), len(got)), "id": np.repeat(batch["id"].to_numpy()[lo : lo + 2048], len(KEYS))})
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,24 +174,40 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": batch["id"].array, "s": [shingle_hashes(t).view(np.int64) for t in batch["t"]]})
 
 
-def _distance_within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs with their signatures to pairs within RADIUS, with the distance."""
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch[c]), np.uint16).reshape(-1, SYMBOLS) for c in ("sa", "sb"))
-        d = (a != b).sum(axis=1)
-        keep = d <= RADIUS
-        yield pd.DataFrame({"a": batch["a"].to_numpy()[keep], "b": batch["b"].to_numpy()[keep], "d": d[keep].astype(np.int32)})
+def forest(pairs: pd.DataFrame) -> list[int]:
+    """Places of the pairs (ca, cb, d, a, b) that a minimum spanning forest of the components takes, nearest first."""
+    order = pairs.sort_values(["d", "b", "a"]).index.to_numpy()
+    nodes, flat = np.unique(np.concatenate((pairs["ca"].to_numpy(), pairs["cb"].to_numpy())), return_inverse=True)
+    x, y = flat[: len(pairs)], flat[len(pairs) :]
+    root = np.arange(len(nodes))
+    taken: list[int] = []
+    for lo in range(0, len(order), 1 << 15):
+        part = order[lo : lo + (1 << 15)]
+        part = part[root[x[part]] != root[y[part]]]
+        for at in part.tolist():
+            p, q = x[at], y[at]
+            while root[p] != p:
+                p = root[p]
+            while root[q] != q:
+                q = root[q]
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                taken.append(at)
+        while (root[root] != root).any():
+            root = root[root]
+    return taken
 
 
 def _compare_blocks(nearest: bool):
-    """Rows (g, i, j, side, id, component, n, signature), sorted by block pair, to pairs of two components within RADIUS.
+    """Rows (g, no, i, j, side, id, component, n, signature, bins), sorted by block pair, to pairs of two components that could be links.
 
-    ``nearest``: of each two components in a block pair, only the nearest pair.
+    ``nearest``: only a forest of the nearest pairs over the components.
     """
 
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, comp, n, side = (rows[c].to_numpy() for c in ("id", "component", "n", "side"))
+        ids, comp, n, side, no = (rows[c].to_numpy() for c in ("id", "component", "n", "side", "no"))
         sig = np.frombuffer(b"".join(rows["signature"]), np.uint16).reshape(-1, SYMBOLS)
+        bins = np.frombuffer(b"".join(rows["bins"]), np.uint8).reshape(-1, BINS)
         edge = np.flatnonzero((np.diff(rows["g"].to_numpy()) != 0) | (np.diff(rows["i"].to_numpy()) != 0) | (np.diff(rows["j"].to_numpy()) != 0)) + 1
         end = np.repeat(np.concatenate((edge, [len(rows)])), np.diff(np.concatenate(([0], edge, [len(rows)]))))
         same = rows["i"].to_numpy() == rows["j"].to_numpy()
@@ -169,18 +217,21 @@ def _compare_blocks(nearest: bool):
             to = at + step
             ok = (comp[at] != comp[to]) & (same[at] | (side[at] != side[to]))
             ok &= 100 * np.minimum(n[at], n[to]) >= SIMILARITY * np.maximum(n[at], n[to])
-            p, q = at[ok], to[ok]
-            for lo in range(0, len(p), 1 << 16):
-                d = (sig[p[lo : lo + (1 << 16)]] != sig[q[lo : lo + (1 << 16)]]).sum(axis=1)
-                near = d <= RADIUS
-                out.append((p[lo : lo + (1 << 16)][near], q[lo : lo + (1 << 16)][near], d[near]))
+            every = np.flatnonzero(ok)
+            for lo in range(0, len(every), 1 << 14):
+                p = at[every[lo : lo + (1 << 14)]]
+                q = p + step
+                equal = sig[p] == sig[q]
+                near = SYMBOLS - equal.sum(axis=1) <= RADIUS
+                p, q, equal = p[near], q[near], equal[near]
+                first = equal[:, KEY_SYMBOLS].all(axis=2).argmax(axis=1) == no[p]
+                p, q = p[first], q[first]
+                j, could = similar_enough(bins[p], bins[q], n[p], n[q])
+                out.append((p[could], q[could], j[could]))
             step += 1
-        p, q, d = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
-        a, b = np.maximum(ids[p], ids[q]), np.minimum(ids[p], ids[q])
-        got = pd.DataFrame({"a": a, "b": b, "d": d.astype(np.int32), "ca": np.maximum(comp[p], comp[q]), "cb": np.minimum(comp[p], comp[q])})
-        if nearest:
-            got = got.sort_values(["d", "b", "a"]).drop_duplicates(["ca", "cb"])
-        return got.drop_duplicates(["a", "b"])
+        p, q, j = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+        got = pd.DataFrame({"a": np.maximum(ids[p], ids[q]), "b": np.minimum(ids[p], ids[q]), "d": 1.0 - j, "ca": np.maximum(comp[p], comp[q]), "cb": np.minimum(comp[p], comp[q])})
+        return got.iloc[forest(got)] if nearest else got
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -196,6 +247,16 @@ def _compare_blocks(nearest: bool):
     return run
 
 
+def texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of texts (id, t) whose id is among the ids. A bitmap of hashed ids, of a fixed size, is broadcast first, so
+    that few other texts reach the exchange of the join."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    word, mask = F.floor(bit / 64).cast("int"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {FILTER_BITS}) % 64 as int))")
+    words = ids.select(word.alias("w"), mask.alias("m")).groupBy("w").agg(F.bit_or("m").alias("bits"))
+    near = texts.withColumn("w", word).join(F.broadcast(words), "w").filter(F.col("bits").bitwiseAND(mask) != 0)
+    return near.select("id", "t").join(ids, "id", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: ``key``, n_shingles long, component_id (smallest key reachable), kept (key = component_id).
 
@@ -207,19 +268,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     spark = docs.sparkSession
     stage = Stage(spark, "neardup")
     rows = docs_only(docs, key, text).toDF("k", "t").withColumn("k", F.col("k").cast("long"))
-    sketch = stage.keep(rows.mapInPandas(_sketch, "k long, n long, s1 long, s2 long, signature binary"))
-    classes = stage.keep(sketch.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("k").alias("id"), F.first("signature").alias("signature")))
-    nodes = classes.filter("id is not null").select("id", "n", "signature").dropDuplicates(["id", "n", "signature"])
-    keys = nodes.mapInPandas(_keys, "key long, id long")
-    low = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
-    shared = stage.keep(keys.join(low, "key").select("key", "id", "low"))
+    sketch = stage.keep(rows.mapInPandas(_sketch, "k long, n long, s1 long, s2 long, signature binary, bins binary"))
+    found = sketch.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min_by(F.struct("k", "signature", "bins"), "k").alias("r"))
+    found = stage.keep(found.select("s1", "s2", "n", F.col("r.k").alias("id"), "r.signature", "r.bins"))
+    classes = found.select("s1", "s2", "n", "id")
+    nodes = found.filter("id is not null").select("id", "n", "signature", "bins")
+    keys = nodes.select("id", "signature").mapInPandas(_keys, "key long, no int, id long")
+    low = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key", "low")
+    shared = stage.keep(keys.join(low, "key"))
     links = []
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets are similar enough; sets are made anew from the few texts in question."""
         pairs = stage.keep(pairs.select("a", "b").distinct())
         ids = stage.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        sets = stage.keep(rows.select(F.col("k").alias("id"), "t").join(ids, "id", "left_semi").mapInPandas(_sets, "id long, s array<long>"))
+        sets = stage.keep(texts_of(rows.select(F.col("k").alias("id"), "t"), ids).mapInPandas(_sets, "id long, s array<long>"))
         both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
         inter = F.size(F.array_intersect("sa", "sb"))
         linked = both.withColumn("x", inter).filter(100 * F.col("x") >= SIMILARITY * (F.size("sa") + F.size("sb") - F.col("x"))).select("a", "b")
@@ -228,25 +291,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         stage.drop(sets, ids)
         return linked
 
-    # Round one: each class and the nearest of its buckets' smallest classes.
-    sigs = nodes.select("id", "signature")
-    candidates = shared.filter("id > low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
-    within = candidates.join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b").mapInPandas(_distance_within, "a long, b long, d int")
-    confirm(within.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b")))
+    # Round one: each class and, of its buckets' smallest classes, those that are smallest in most of them.
+    counts = shared.filter("id > low").groupBy("id", "low").agg(F.count("*").alias("n"))
+    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col("low").alias("b")))), 1, TRIES)  # at most a low a key
+    confirm(counts.groupBy("id").agg(best.alias("p")).select(F.col("id").alias("a"), F.explode("p").alias("p")).select("a", "p.b"))
 
     # Rounds two and three: buckets that hold several components, block against block.
     for nearest in (True, False):
         comp = connected_components(links[0] if len(links) == 1 else links[0].union(links[1]), stage)
-        held = shared.select("key", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        held = shared.select("key", "no", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = held.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("size")).filter("c0 < c1")
         mixed = stage.keep(held.join(mixed.select("key", "size"), "key"))
         # A bucket's rows are dealt to blocks; every pair of blocks is compared somewhere.
         n = F.ceil(F.col("size") / BLOCK).cast("int")
         dealt = mixed.join(nodes, "id").withColumn("n_blocks", n).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        dealt = dealt.select(F.col("key").alias("g"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "component", "n", "signature")
+        dealt = dealt.select(F.col("key").alias("g"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "no", "id", "component", "n", "signature", "bins")
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        found = dealt.repartition(parts, "g", "i", "j").sortWithinPartitions("g", "i", "j").mapInPandas(_compare_blocks(nearest), "a long, b long, d int, ca long, cb long")
+        found = dealt.repartition(parts, "g", "i", "j").sortWithinPartitions("g", "i", "j").mapInPandas(_compare_blocks(nearest), "a long, b long, d double, ca long, cb long")
         if nearest:
             found = found.groupBy("ca", "cb").agg(F.min_by(F.struct("a", "b"), F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b")
         found = stage.keep(found.select("a", "b").distinct())
