@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -58,6 +59,11 @@ class Stage:
             if path := getattr(df, "_stage_path", None):
                 drop_folder(self.spark, path)
 
+    def tidy(self) -> None:
+        """Lets Spark remove the shuffle files of jobs that are over: it does so once the driver has collected their garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def docs_only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that extra columns never clash with those an operator adds."""

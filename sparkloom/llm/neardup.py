@@ -276,19 +276,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     keys = nodes.select("id", "signature").mapInPandas(_keys, "key long, no int, id long")
     low = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key", "low")
     shared = stage.keep(keys.join(low, "key"))
+    stage.tidy()
     links = []
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets are similar enough; sets are made anew from the few texts in question."""
         pairs = stage.keep(pairs.select("a", "b").distinct())
-        ids = stage.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        ids = stage.keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
         sets = stage.keep(texts_of(rows.select(F.col("k").alias("id"), "t"), ids).mapInPandas(_sets, "id long, s array<long>"))
         both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
         inter = F.size(F.array_intersect("sa", "sb"))
         linked = both.withColumn("x", inter).filter(100 * F.col("x") >= SIMILARITY * (F.size("sa") + F.size("sb") - F.col("x"))).select("a", "b")
         linked = stage.keep(linked)
         links.append(linked)
-        stage.drop(sets, ids)
+        stage.drop(sets, ids, pairs)
+        stage.tidy()
         return linked
 
     # Round one: each class and, of its buckets' smallest classes, those that are smallest in most of them.
@@ -313,6 +315,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             found = found.groupBy("ca", "cb").agg(F.min_by(F.struct("a", "b"), F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b")
         found = stage.keep(found.select("a", "b").distinct())
         stage.drop(mixed)
+        stage.tidy()
         if found.isEmpty():
             break
         confirm(found)
