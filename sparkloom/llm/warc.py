@@ -8,6 +8,8 @@ record carries its whole digest. Neither side ever allocates a record.
 Records of equal payloads (of at least LEAST bytes) are written once, as the response of the largest id; the others are
 revisit records that refer to it. Which record that is comes from one map-side combined aggregate over digests.
 
+Each record is a gzip member of its own (.warc.gz), packed and unpacked as a stream.
+
 A chunk of hot content costs its own rows only. An archive is written under a name of the task's own attempt
 and moved into place when it is whole, so a lost executor costs just its own archives.
 """
@@ -17,17 +19,19 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm._common import new_folder
+from sparkloom.llm._common import Stage, new_folder
 from sparkloom.llm.bitplanes import open_store
 
 LEAST = 1000
 CHUNK = 1 << 20
+LEVEL = 1
 EOL = b"\r\n"
 #: The profile and date of the records written.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -49,6 +53,8 @@ def record_table(pages: DataFrame, least: int = LEAST) -> DataFrame:
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), F.coalesce(pages["url"], F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
     first = rows.filter(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("d"), F.col("size").alias("s"), "first")
+    # written, so that its size is known: the payloads stay where they are if it is small enough for Spark to broadcast
+    first = Stage(pages.sparkSession, "warc-first").keep(first)
     joined = rows.join(first, (F.col("digest") == F.col("d")) & (F.col("size") == F.col("s")), "left")
     return joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("d", "s", "first")
 
@@ -82,7 +88,7 @@ def write_archives(pages: DataFrame, folder: str, parts: int | None = None, chun
     parts = parts or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, part, path, first, left, digest = None, "", "", None, 0, None
+        out, part, path, first, left, digest, pack = None, "", "", None, 0, None, None
         for batch in batches:
             for r in batch.astype({"page_id": object, "refers_to": object}).itertuples(index=False):
                 page_id, refers_to = (None if pd.isna(x) else int(x) for x in (r.page_id, r.refers_to))
@@ -90,19 +96,20 @@ def write_archives(pages: DataFrame, folder: str, parts: int | None = None, chun
                     first = page_id
                     store, root = open_store(folder)
                     store.create_dir(root, recursive=True)
-                    name = f"pages-{'null' if page_id is None else page_id}.warc"
+                    name = f"pages-{'null' if page_id is None else page_id}.warc.gz"
                     part, path = f"{root}/{name}.{uuid.uuid4().hex}.part", f"{root}/{name}"
-                    out = store.open_output_stream(part)
+                    out = store.open_output_stream(part, compression=None)
                 if r.chunk_no == 0:
-                    out.write(header(page_id, r.url, r.size, r.digest, refers_to))
+                    pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+                    out.write(pack.compress(header(page_id, r.url, r.size, r.digest, refers_to)))
                     left, digest = 0 if refers_to is not None else r.size, hashlib.sha1()
-                out.write(r.bytes)
+                out.write(pack.compress(r.bytes))
                 digest.update(r.bytes)
                 left -= len(r.bytes)
                 if left == 0:
                     if refers_to is None and digest.hexdigest() != r.digest:
                         raise ValueError(f"the chunks of page {page_id} don't make up its payload")
-                    out.write(EOL + EOL)
+                    out.write(pack.compress(EOL + EOL) + pack.flush())
         if out is not None:
             out.close()
             store.move(part, path)
@@ -115,10 +122,31 @@ def write_archives(pages: DataFrame, folder: str, parts: int | None = None, chun
     return [f["file"] for f in sorted(files, key=lambda f: (f["first"] is not None, f["first"] or 0))]
 
 
+class Unpacked:
+    """Reads a stream of gzip members as one."""
+
+    def __init__(self, raw):
+        self.raw, self.tail, self.unpack = raw, b"", zlib.decompressobj(31)
+
+    def read(self, n: int) -> bytes:
+        """Up to n bytes, at least one unless the stream has ended."""
+        while True:
+            data = self.tail or self.raw.read(1 << 16)
+            if not data:
+                return b""
+            if self.unpack.eof:
+                self.unpack = zlib.decompressobj(31)
+            out = self.unpack.decompress(data, n)
+            self.tail = self.unpack.unused_data if self.unpack.eof else self.unpack.unconsumed_tail
+            if out:
+                return out
+
+
 def records_in(path: str, chunk: int = CHUNK) -> Iterator[tuple]:
     """Streams an archive: (head lines as a dict, chunk number, bytes, digest so far, bytes so far, last)."""
     store, at = open_store(path)
-    with store.open_input_stream(at) as raw:
+    with store.open_input_stream(at, compression=None) as packed:
+        raw = Unpacked(packed)
         held = b""
 
         def line() -> bytes:
