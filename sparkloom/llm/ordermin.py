@@ -24,6 +24,8 @@ from sparkloom.llm._common import bounds_of, bucket_of
 
 PIECE, K = 8, 2
 ENTRIES, TUPLE = 64, 2
+#: Places are kept in so many low bits; in a longer text they begin again from 0.
+PLACES = (1 << 24) - 1
 #: Documents in a bucket of neighbouring ids.
 BUCKET_ROWS = 1500
 
@@ -33,51 +35,62 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def packed(h: Column, p: Column) -> Column:
+    """A hash's leading 40 bits and a 24-bit place in one number, which sorts by hash first."""
+    return h.bitwiseAND(F.lit(~PLACES)).bitwiseOR(p.cast("long").bitwiseAND(F.lit(PLACES)))
+
+
+def hash_of(v: Column) -> Column:
+    return v.bitwiseAND(F.lit(~PLACES))
+
+
 def numbered_kmers(text: Column, piece: int = PIECE, k: int = K) -> Column:
-    """array<struct<h: hash of the k-mer and its occurrence number, p: place>> of a text."""
+    """array<long> of a text: each k-mer's hash, with its occurrence number worked in, packed with its place."""
     tokens = F.regexp_extract_all(text, F.lit(rf"[^\s]{{1,{piece}}}"), F.lit(0))
-
-    def of_tokens(t: Column) -> Column:
-        hashes = F.transform(t, lambda x: F.xxhash64(x))
-        return let(hashes, lambda h: F.when(F.size(h) == 0, F.array().cast("array<struct<h:bigint,p:int>>")).otherwise(of_hashes(h)))
+    none = F.array().cast("array<bigint>")
 
     def of_hashes(h: Column) -> Column:
         last = F.greatest(F.size(h) - k, F.lit(0))
-        kmers = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.xxhash64(*[F.get(h, i + j) for j in range(k)]).alias("h"), i.cast("int").alias("p")))
+        kmers = F.transform(F.sequence(F.lit(0), last), lambda i: packed(F.xxhash64(*[F.get(h, i + j) for j in range(k)]), i))
         # sorted, equal k-mers are neighbours in text order: a run's start gives its occurrence numbers
-        return let(F.array_sort(kmers), lambda s: let(starts(s), lambda b: numbers(s, b)))
+        return let(F.sort_array(kmers), lambda s: let(starts(s), lambda b: numbers(s, b)))
 
     def starts(s: Column) -> Column:
-        return F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i == 0) | (i == F.size(s)) | (F.get(s, i)["h"] != F.get(s, i - 1)["h"]))
+        return F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i == 0) | (i == F.size(s)) | (hash_of(F.get(s, i)) != hash_of(F.get(s, i - 1))))
+
+    def number(v: Column, i: Column) -> Column:
+        return packed(F.xxhash64(hash_of(v), i), v)
 
     def numbers(s: Column, b: Column) -> Column:
-        runs = F.transform(F.slice(b, 1, F.size(b) - 1), lambda lo, r: F.transform(F.slice(s, lo + 1, F.get(b, r + 1) - lo), lambda x, i: F.struct(F.xxhash64(x["h"], i).alias("h"), x["p"].alias("p"))))
-        return F.flatten(runs)
+        single = F.transform(s, lambda v: number(v, F.lit(0)))
+        runs = F.transform(F.slice(b, 1, F.size(b) - 1), lambda lo, r: F.when(F.get(b, r + 1) - lo == 1, F.array(number(F.get(s, lo), F.lit(0)))).otherwise(F.transform(F.slice(s, lo + 1, F.get(b, r + 1) - lo), number)))
+        return F.when(F.size(b) == F.size(s) + 1, single).otherwise(F.flatten(runs))
 
-    return let(tokens, of_tokens)
+    return let(F.transform(tokens, lambda x: F.xxhash64(x)), lambda h: F.when(F.size(h) == 0, none).otherwise(of_hashes(h)))
 
 
 def fingerprint(text: Column, entries: int = ENTRIES, size: int = TUPLE) -> Column:
     """array<long> of an entry each: the hash of its tuple; null: no k-mer fell into the entry. Null texts count as empty."""
-
     bits = (entries - 1).bit_length()
 
-    def dealt(x: Column) -> Column:
-        own = F.array_sort(F.transform(x, lambda v: F.struct(F.shiftrightunsigned(v["h"], 64 - bits).cast("int").alias("e"), v["h"].alias("h"), v["p"].alias("p"))))
-        return let(own, lambda s: let(firsts(s), lambda b: tuples(s, b)))
+    def entry(v: Column) -> Column:
+        return F.shiftrightunsigned(v, 64 - bits).cast("int")
 
     def firsts(s: Column) -> Column:
-        return F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["e"] != F.get(s, i - 1)["e"]))
+        return F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (entry(F.get(s, i)) != entry(F.get(s, i - 1))))
 
     def tuples(s: Column, b: Column) -> Column:
-        picked = F.transform(b, lambda lo: let(F.filter(F.slice(s, lo + 1, size), lambda x: x["e"] == F.get(s, lo)["e"]), lambda own: F.struct(F.get(s, lo)["e"].alias("e"), in_order(own).alias("t"))))
+        picked = F.transform(b, lambda lo: F.struct(entry(F.get(s, lo)).alias("e"), in_order(F.filter(F.slice(s, lo + 1, size), lambda x: entry(x) == entry(F.get(s, lo)))).alias("t")))
         return let(F.map_from_entries(picked), lambda m: F.transform(F.sequence(F.lit(0), F.lit(entries - 1)), lambda e: F.try_element_at(m, e)))
 
     def in_order(own: Column) -> Column:
-        return F.xxhash64(F.transform(F.array_sort(F.transform(own, lambda x: F.struct(x["p"].alias("p"), x["h"].alias("h")))), lambda x: x["h"]))
+        """The selected k-mers by place: place and hash change sides, and are sorted again."""
+        by_place = F.sort_array(F.transform(own, lambda v: F.shiftleft(v.bitwiseAND(F.lit(PLACES)), 40).bitwiseOR(F.shiftrightunsigned(v, 24))))
+        return F.xxhash64(F.transform(by_place, lambda x: x.bitwiseAND(F.lit((1 << 40) - 1))))
 
     empty = F.array_repeat(F.lit(None).cast("long"), entries)
-    return let(numbered_kmers(F.coalesce(text, F.lit(""))), lambda x: F.when(F.size(x) == 0, empty).otherwise(dealt(x)))
+    # in hash order an entry's k-mers are neighbours, for the entry is the hash's leading part
+    return let(numbered_kmers(F.coalesce(text, F.lit(""))), lambda x: F.when(F.size(x) == 0, empty).otherwise(let(F.sort_array(x), lambda s: let(firsts(s), lambda b: tuples(s, b)))))
 
 
 def likeness(a: Column, b: Column) -> Column:
