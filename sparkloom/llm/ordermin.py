@@ -1,13 +1,16 @@
 """Order MinHash fingerprints, sensitive to edit distance.
 
 A text is a sequence of tokens: its white-space-free runs, cut into pieces of at most PIECE code points. Its
-K-mers of tokens are numbered by occurrence, so that repeats differ. A hash deals each numbered k-mer to one of ENTRIES
-entries; in each entry the TUPLE k-mers with the least hashes are selected, put back into their order in the text,
-and hashed as a tuple. Two texts agree in an entry only if they share its least k-mers and have them in the
-same order, so moved text lowers the likeness, which a set's MinHash would not see.
+K-mers of tokens are numbered by occurrence, so that repeats differ. Each of ENTRIES entries orders all numbered k-mers of
+the text by a hash of its own; the TUPLE least are selected, put back into their order in the text, and hashed as a
+tuple. Two texts agree in an entry only if they share its least k-mers and have them in the same order, so moved text
+lowers the likeness, which a set's MinHash would not see.
 
-Dealing k-mers to entries (one permutation) instead of hashing each once for every entry keeps the cost linear in the text; an
-entry that no k-mer falls into is empty, and likeness is counted over the entries that are not empty in both.
+An entry's hash of a k-mer is (round, rank): in each round a k-mer visits one entry, and in as many rounds as there are entries it
+visits each once. Start and step of its way are hashed, so an entry's order of the k-mers is a random one. A k-mer
+of an early round comes before all of later rounds, so only so many rounds are worked out that about DEALT visits are made; an
+entry that then holds fewer than TUPLE k-mers looks up the rounds of all k-mers. How many rounds are worked out never
+changes the result, and the cost stays linear in the text.
 
 Everything within a text is done by array functions in its own row: no row is made for a k-mer, and the one exchange is of the documents
 themselves, so that each can see the next one. DataFrame functions only.
@@ -24,6 +27,8 @@ from sparkloom.llm._common import bounds_of, bucket_of
 
 PIECE, K = 8, 2
 ENTRIES, TUPLE = 64, 2
+#: Visits after which few entries still hold fewer than TUPLE k-mers.
+DEALT = 448
 #: Places are kept in so many low bits; in a longer text they begin again from 0.
 PLACES = (1 << 24) - 1
 #: Documents in a bucket of neighbouring ids.
@@ -69,28 +74,65 @@ def numbered_kmers(text: Column, piece: int = PIECE, k: int = K) -> Column:
     return let(F.transform(tokens, lambda x: F.xxhash64(x)), lambda h: F.when(F.size(h) == 0, none).otherwise(of_hashes(h)))
 
 
-def fingerprint(text: Column, entries: int = ENTRIES, size: int = TUPLE) -> Column:
-    """array<long> of an entry each: the hash of its tuple; null: no k-mer fell into the entry. Null texts count as empty."""
+def fingerprint(text: Column, entries: int = ENTRIES, size: int = TUPLE, dealt: int = DEALT) -> Column:
+    """array<long> of an entry each: the hash of its tuple; null: the text has no k-mer. Null texts count as empty.
+
+    A visit is one number: entry, round, rank and place, from the leading bits down. ``dealt`` changes the cost only.
+    """
     bits = (entries - 1).bit_length()
+    ways, low = 1 << bits, 64 - 2 * bits
+
+    def step(v: Column) -> Column:
+        """Odd, so that a way visits every entry; of the hash's last bits, which no rank of round 0 uses."""
+        return F.shiftrightunsigned(v, 24).bitwiseAND(F.lit(ways // 2 - 1)) * 2 + 1
+
+    def start(v: Column) -> Column:
+        return F.shiftrightunsigned(v, 64 - bits)
 
     def entry(v: Column) -> Column:
         return F.shiftrightunsigned(v, 64 - bits).cast("int")
 
+    def visit(v: Column, e: Column, r: Column) -> Column:
+        rank = F.when(r == 0, F.shiftrightunsigned(v, bits)).otherwise(F.xxhash64(hash_of(v), r))
+        head = F.shiftleft(F.shiftleft(e, bits).bitwiseOR(r), low)
+        return head.bitwiseOR(rank.bitwiseAND(F.lit((1 << low) - 1 - PLACES))).bitwiseOR(v.bitwiseAND(F.lit(PLACES)))
+
+    def in_round(v: Column, r: Column) -> Column:
+        return visit(v, (start(v) + r * step(v)).bitwiseAND(F.lit(ways - 1)), r)
+
+    def to_entry(v: Column, e: Column) -> Column:
+        """v's visit to e: its round is (e - start) / step, and an odd s has the inverse s (2 - s s) modulo 64, as s s = 1 modulo 8."""
+        s = step(v)
+        inverse = s
+        for _ in range(max(1, (bits - 1).bit_length() - 1)):
+            inverse = (inverse * (F.lit(2) - s * inverse)).bitwiseAND(F.lit(ways - 1))
+        return visit(v, e, ((e - start(v)) * inverse).bitwiseAND(F.lit(ways - 1)))
+
     def firsts(s: Column) -> Column:
         return F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (entry(F.get(s, i)) != entry(F.get(s, i - 1))))
 
-    def tuples(s: Column, b: Column) -> Column:
-        picked = F.transform(b, lambda lo: F.struct(entry(F.get(s, lo)).alias("e"), in_order(F.filter(F.slice(s, lo + 1, size), lambda x: entry(x) == entry(F.get(s, lo)))).alias("t")))
-        return let(F.map_from_entries(picked), lambda m: F.transform(F.sequence(F.lit(0), F.lit(entries - 1)), lambda e: F.try_element_at(m, e)))
+    def tuples(x: Column, s: Column, b: Column) -> Column:
+        picked = F.transform(b, lambda lo: F.struct(entry(F.get(s, lo)).alias("e"), F.filter(F.slice(s, lo + 1, size), lambda v: entry(v) == entry(F.get(s, lo))).alias("own")))
+        whole = F.least(F.lit(size), F.size(x))
+
+        def of(own: Column, e: Column) -> Column:
+            return in_order(F.when(F.size(own) >= whole, own).otherwise(F.slice(F.sort_array(F.transform(x, lambda v: to_entry(v, e))), 1, size)))
+
+        return let(F.map_from_entries(picked), lambda m: F.transform(F.sequence(F.lit(0).cast("long"), F.lit(entries - 1).cast("long")), lambda e: let(F.coalesce(F.try_element_at(m, e.cast("int")), F.array().cast("array<bigint>")), lambda own: of(own, e))))
 
     def in_order(own: Column) -> Column:
         """The selected k-mers by place: place and hash change sides, and are sorted again."""
         by_place = F.sort_array(F.transform(own, lambda v: F.shiftleft(v.bitwiseAND(F.lit(PLACES)), 40).bitwiseOR(F.shiftrightunsigned(v, 24))))
         return F.xxhash64(F.transform(by_place, lambda x: x.bitwiseAND(F.lit((1 << 40) - 1))))
 
+    def selected(x: Column) -> Column:
+        rounds = F.least(F.lit(ways), F.ceil(F.lit(dealt) / F.size(x))).cast("long")
+        visits = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), rounds - 1), lambda r: F.transform(x, lambda v: in_round(v, r))))
+        # in sorted order an entry's visits are neighbours, for the entry is the leading part
+        return let(F.sort_array(visits), lambda s: let(firsts(s), lambda b: tuples(x, s, b)))
+
     empty = F.array_repeat(F.lit(None).cast("long"), entries)
-    # in hash order an entry's k-mers are neighbours, for the entry is the hash's leading part
-    return let(numbered_kmers(F.coalesce(text, F.lit(""))), lambda x: F.when(F.size(x) == 0, empty).otherwise(let(F.sort_array(x), lambda s: let(firsts(s), lambda b: tuples(s, b)))))
+    return let(numbered_kmers(F.coalesce(text, F.lit(""))), lambda x: F.when(F.size(x) == 0, empty).otherwise(selected(x)))
 
 
 def likeness(a: Column, b: Column) -> Column:

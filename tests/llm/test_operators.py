@@ -147,6 +147,32 @@ def test_fingerprints_see_order(spark):
     assert r["same"] == 1 and r["n"] > 0.9 > r["m"]
 
 
+def test_fingerprints_of_short_texts_see_order(spark):
+    """Swapped halves: every entry selects from the whole text, so short texts are no more alike than long ones."""
+    from sparkloom.llm.ordermin import fingerprint, likeness
+
+    rng = random.Random(5)
+    rows = []
+    for n in (20, 40, 80, 160):
+        for _ in range(20):
+            w = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+            rows.append((n, " ".join(w), " ".join(w[n // 2 :] + w[: n // 2])))
+    pairs = spark.createDataFrame(rows, "n int, a string, b string").select("n", likeness(fingerprint(F.col("a")), fingerprint(F.col("b"))).alias("x"))
+    got = {r["n"]: r["x"] for r in pairs.groupBy("n").agg(F.avg("x").alias("x")).collect()}
+    assert sorted(got) == [20, 40, 80, 160] and all(0.3 < x < 0.55 for x in got.values()), got
+
+
+def test_fingerprints_do_not_depend_on_rounds_worked_out(spark):
+    from sparkloom.llm.ordermin import fingerprint
+
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(90)], k=n)) for n in (1, 2, 3, 4, 9, 30, 200, 700)]
+    of = lambda dealt, entries: fingerprint(F.col("t"), entries=entries, dealt=dealt)
+    for entries in (64, 48, 16):
+        rows = spark.createDataFrame([(t,) for t in texts], "t string").select(of(1, entries).alias("a"), of(448, entries).alias("b"), of(10**9, entries).alias("c")).collect()
+        assert all(r["a"] == r["b"] == r["c"] and None not in r["a"] and len(r["a"]) == entries for r in rows)
+
+
 def test_fingerprints_small_buckets_and_odd_rows(spark, odd, empty):
     from sparkloom.llm.ordermin import fingerprint_documents, with_next
 
