@@ -17,7 +17,7 @@ from sparkloom.llm.pii import redact_documents
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the stage's own documents; those without a main language go."""
+    """Learns from the stage's own documents; those without a letter go (``und``); if nothing can be learnt, all stay."""
     return keep_identified(docs)
 
 

@@ -30,8 +30,6 @@ SMOOTH = 0.5
 #: Bytes handled at once.
 SLICE = 1 << 20
 UNKNOWN = "und"
-#: In the pipeline: the least share of a document that its main language must have.
-LEAST_SHARE = 0.5
 
 #: ASCII letters and all bytes over 127 stay; the rest separate words.
 _TABLE = bytes(b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -198,13 +196,19 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None)
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents (all columns) that have a main language: not ``und``, and at least LEAST_SHARE of the text."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs))
+    """The documents (all columns) whose language set is known: only ``und`` goes, however the shares are dealt.
+
+    Where nothing could be learnt, all rows stay.
+    """
+    model = train(docs)
+    if not model[0]:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             got = predict_texts(batch["text"].tolist(), *shared.value)
-            yield batch[[g[0] != UNKNOWN and g[1] >= LEAST_SHARE for g in got]]
+            yield batch[[g[0] != UNKNOWN for g in got]]
 
     return docs.mapInPandas(keep, docs.schema)
 

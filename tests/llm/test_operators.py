@@ -265,6 +265,25 @@ def test_language_odd_rows(spark, odd, empty):
     assert keep_identified(odd).columns == odd.columns
 
 
+def test_language_stage_drops_only_unknown(spark, docs):
+    """The exact rows that go: null and letterless texts, and none of several languages; nothing where nothing is learnt."""
+    import corpus_pipeline as P
+    from sparkloom.llm.langid import keep_identified, predict_texts, train
+
+    long = docs.filter("n_chars > 1500 and lang is not null").select("lang", "text").collect()
+    by = {r["lang"]: r["text"][:1500] for r in long}
+    mixed = "\n".join(by[x] for x in sorted(by)[:3])
+    texts = [(10**6, mixed), (10**6 + 5, None), (10**6 + 6, "12 !?"), (10**6 + 7, "")]
+    # the mixed rows carry no label, so they aren't learnt from
+    every = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(frame(spark, texts).withColumn("lang", F.lit(None).cast("string")))
+    assert predict_texts([mixed], *train(every))[0][1] < 0.5
+    kept = {r["doc_id"] for r in P.language_id(spark, every, DATA).collect()}
+    lettered = {r["doc_id"] for r in every.collect() if r["text"] and any(c.isalpha() for c in r["text"])}
+    assert kept == lettered and 10**6 in kept
+    unlabelled = frame(spark, [(i, f"text {i}") for i in range(9)] + texts).withColumn("lang", F.lit(None).cast("string"))
+    assert keep_identified(unlabelled).count() == 13
+
+
 # ---------------------------------------------------------------- decontamination
 
 
