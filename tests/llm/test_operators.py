@@ -234,6 +234,23 @@ def test_pii_finds_planted_and_leaves_clean(spark, odd, empty):
     assert redact_documents(odd).columns == odd.columns and redact_documents(odd).count() == len(ODD)
 
 
+def test_long_secrets_are_candidates(spark):
+    """A token of any length is voted on, and is taken out whole."""
+    from sparkloom.llm.pii import candidates, find_spans, redact_documents
+
+    rng = random.Random(4)
+    token = lambda n: "a1" + "".join(rng.choices("abcdefghijABCDEFGHIJ0123456789_-", k=n - 2))
+    texts = [(i, f'api key "{token(n)}" end') for i, n in enumerate([40] * 30 + [31, 32, 128, 129, 2000, 300_000])]
+    for i, t in texts:
+        span = (9, len(t) - 5, "secret")
+        assert [c for c in candidates(t) if c[2] == "secret"] == ([span] if i != 30 else [])
+    rows = {r["doc_id"]: r["spans"] for r in find_spans(frame(spark, texts)).collect()}
+    clean = {r["doc_id"]: r["text"] for r in redact_documents(frame(spark, texts)).collect()}
+    for i, t in texts:
+        if i != 30:
+            assert f"secret:9:{len(t) - 5}" in rows[i] and clean[i] == 'api key "[SECRET]" end'
+
+
 # ---------------------------------------------------------------- language
 
 
