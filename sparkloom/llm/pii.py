@@ -193,7 +193,10 @@ def span_features(kind: str, vote: tuple[int, ...]) -> list[float]:
 
 
 def train_classifier(counts: dict[tuple[str, tuple[int, ...]], int]) -> np.ndarray:
-    """A logistic regression on all candidates' vote patterns, with EM's probabilities as targets."""
+    """A logistic regression on all candidates' vote patterns, with EM's probabilities as targets.
+
+    Patterns weigh as often as they occur, at any size: a rare kind isn't pulled to the prior as others grow.
+    """
     x, y, n = [], [], []
     for kind in sorted({k for k, _ in counts}):
         own = {v: c for (k, v), c in counts.items() if k == kind}
@@ -208,7 +211,6 @@ def train_classifier(counts: dict[tuple[str, tuple[int, ...]], int]) -> np.ndarr
         return beta
     a = np.column_stack([np.array(x), np.ones(len(x))])
     yy, nn = np.array(y), np.array(n, float)
-    nn *= min(1.0, 1e5 / nn.sum())
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
         step = np.linalg.solve((a * (nn * p * (1 - p))[:, None]).T @ a + 0.1 * np.eye(width), a.T @ (nn * (yy - p)) - 0.1 * beta)

@@ -251,6 +251,18 @@ def test_long_secrets_are_candidates(spark):
             assert f"secret:9:{len(t) - 5}" in rows[i] and clean[i] == 'api key "[SECRET]" end'
 
 
+def test_rare_kinds_do_not_change_with_size():
+    """A kind of fixed count keeps its probabilities while the others grow."""
+    from sparkloom.llm.pii import span_features, train_classifier
+
+    rare = {("account", (1, -1, 0, 0, 0, 1)): 20, ("account", (1, 1, 0, 1, 0, 1)): 30, ("account", (1, -1, 0, 0, -1, -1)): 25}
+    for n in (10**3, 10**5, 10**7, 10**9):
+        others = {("email", (1, 1, 1, 1, 0, 1)): 6 * n, ("email", (-1, -1, 0, 0, -1, -1)): 3 * n, ("ip", (1, 1, 1, 0, 0, 1)): 2 * n, ("ip", (-1, -1, -1, 0, 0, 1)): 4 * n}
+        beta = train_classifier(rare | others)
+        p = [1 / (1 + np.exp(-(np.dot(span_features(k, v), beta[:-1]) + beta[-1]))) for k, v in rare]
+        assert p[0] > 0.95 and p[1] > 0.95 and p[2] < 0.05, (n, p)
+
+
 # ---------------------------------------------------------------- language
 
 
