@@ -1,6 +1,8 @@
 """Order MinHash fingerprints, sensitive to edit distance.
 
-A text is a sequence of tokens: its white-space-free runs, cut into pieces of at most PIECE code points. Its
+A text is a sequence of tokens: its white-space-free runs, cut into pieces of at most PIECE code points. Where at least
+LONG code points follow without a blank, pieces of PIECE begin at every code point, so that in unbroken text
+an edit changes only the pieces that hold it; the run's last LONG - 1 are cut as a run of their own. Its
 K-mers of tokens are numbered by occurrence, so that repeats differ. Each of ENTRIES entries orders all numbered k-mers of
 the text by a hash of its own; the TUPLE least are selected, put back into their order in the text, and hashed as a
 tuple. Two texts agree in an entry only if they share its least k-mers and have them in the same order, so moved text
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from sparkloom.llm._common import bounds_of, bucket_of
 
 PIECE, K = 8, 2
+#: So many code points without a blank are unbroken text.
+LONG = 32
 ENTRIES, TUPLE = 64, 2
 #: Visits after which few entries still hold fewer than TUPLE k-mers.
 DEALT = 448
@@ -51,7 +55,7 @@ def hash_of(v: Column) -> Column:
 
 def numbered_kmers(text: Column, piece: int = PIECE, k: int = K) -> Column:
     """array<long> of a text: each k-mer's hash, with its occurrence number worked in, packed with its place."""
-    tokens = F.regexp_extract_all(text, F.lit(rf"[^\s]{{1,{piece}}}"), F.lit(0))
+    tokens = F.regexp_extract_all(text, F.lit(rf"(?=([^\s]{{1,{piece}}}))(?:(?=[^\s]{{{LONG}}})[^\s]|[^\s]{{1,{piece}}})"), F.lit(1))
     none = F.array().cast("array<bigint>")
 
     def of_hashes(h: Column) -> Column:

@@ -162,6 +162,21 @@ def test_fingerprints_of_short_texts_see_order(spark):
     assert sorted(got) == [20, 40, 80, 160] and all(0.3 < x < 0.55 for x in got.values()), got
 
 
+def test_fingerprints_of_unbroken_texts_survive_an_insertion(spark):
+    """One code point more, anywhere, in a text without blanks; and other text in its place is still other text."""
+    from sparkloom.llm.ordermin import fingerprint, likeness
+
+    rng = random.Random(8)
+    han, ascii_ = [chr(0x4E00 + i) for i in range(3000)], list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789+/")
+    rows = []
+    for letters in (han, ascii_, [chr(0x20000 + i) for i in range(3000)]):
+        for n in (400, 2000):
+            t, other = ("".join(rng.choices(letters, k=n)) for _ in range(2))
+            rows += [(t, t[:at] + letters[7] + t[at:], other) for at in (0, 1, n // 2, n - 20, n)]
+    got = spark.createDataFrame(rows, "a string, b string, c string").select(likeness(fingerprint(F.col("a")), fingerprint(F.col("b"))).alias("b"), likeness(fingerprint(F.col("a")), fingerprint(F.col("c"))).alias("c")).collect()
+    assert all(r["b"] > 0.75 and r["c"] < 0.1 for r in got), got
+
+
 def test_fingerprints_do_not_depend_on_rounds_worked_out(spark):
     from sparkloom.llm.ordermin import fingerprint
 
