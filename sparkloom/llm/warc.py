@@ -1,9 +1,11 @@
 """WARC archives by way of a chunked record table.
 
-A record's payload is never held whole: Spark cuts it into (record, chunk number, bytes) rows of CHUNK bytes, range-partitions
-the rows by record and sorts them, and each task streams its rows into one archive. Reading is the same
-backwards: a task streams through an archive and emits (record, chunk number, bytes) rows with the digest so far; the last row of a
-record carries its whole digest. Neither side ever allocates a record.
+Spark cuts each payload into (record, chunk number, bytes) rows of CHUNK bytes, range-partitions the rows by record and
+sorts them, and each task streams its rows into one archive. Reading is the same backwards: a task streams through an
+archive and emits (record, chunk number, bytes) rows with the digest so far; the last row of a record carries its whole
+digest. The archive's writer and reader never allocate a record. The step before them does: record_table encodes
+a page's html to one binary, digests it at once and takes it through the join with the repeated digests (and its shuffle, once these are
+too many to broadcast), so a large record needs several times its size in memory there.
 
 Records of equal payloads (of at least LEAST bytes) are written once, as the response of the largest id; the others are
 revisit records that refer to it. Which record that is comes from one map-side combined aggregate over digests.
