@@ -90,12 +90,16 @@ def require_urls(rows: DataFrame, required: Sequence[str]) -> DataFrame:
     return rows.join(F.broadcast(checked), F.col("_ok").isNull()).drop("_ok")
 
 
-def topic_matches(text: Column, any_of: Sequence[str], must_one_of: Sequence[str] = (), least: int = 2) -> Column:
-    """At least ``least`` distinct terms are found as whole words, or one of ``must_one_of``."""
+def topic_matches(text: Column, any_of: Sequence[str], must_one_of: Sequence[str] = (), least: int = 2, ascii_words: bool = False) -> Column:
+    """At least ``least`` distinct terms are found as whole words, or one of ``must_one_of``.
+
+    ``ascii_words``: only ASCII letters, digits and ``_`` make words, so that any other character is a border.
+    """
+    before, after = ("(^|[^a-zA-Z0-9_])", "($|[^a-zA-Z0-9_])") if ascii_words else (r"\b", r"\b")
 
     def found(term: str) -> Column:
         quoted = "".join("\\" + c if not c.isalnum() and c not in " '" else c for c in term)
-        return text.rlike(rf"(?i)\b{quoted}\b")
+        return text.rlike(f"(?i){before}{quoted}{after}")
 
     n = sum((found(t).cast("int") for t in dict.fromkeys(any_of)), F.lit(0))
     out = n >= least
@@ -104,11 +108,11 @@ def topic_matches(text: Column, any_of: Sequence[str], must_one_of: Sequence[str
     return F.coalesce(out, F.lit(False))
 
 
-def topic_filter(docs: DataFrame, topics: dict[str, tuple[Sequence[str], Sequence[str]]], text: str = "text") -> DataFrame:
+def topic_filter(docs: DataFrame, topics: dict[str, tuple[Sequence[str], Sequence[str]]], text: str = "text", ascii_words: bool = False) -> DataFrame:
     """Adds in_scope: whether any topic matches; what is out of scope goes to quarantine by a filter."""
     out = F.lit(False)
     for any_of, must in topics.values():
-        out = out | topic_matches(F.col(text), any_of, must)
+        out = out | topic_matches(F.col(text), any_of, must, ascii_words=ascii_words)
     return docs.withColumn("in_scope", out)
 
 

@@ -487,18 +487,9 @@ def _topic_sql() -> str:
 
 @query(f"SELECT doc_id, {_topic_sql()} AS in_scope FROM documents")
 def topic_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in scope by topic words (terms of ASCII letters)."""
-    d = table(spark, sf_dir, "documents")
-
-    def found(t: str):
-        return F.col("text").rlike(rf"(?i)(^|[^a-zA-Z0-9_]){t}($|[^a-zA-Z0-9_])").cast("int")
-
-    out = F.lit(False)
-    for any_of, must in TOPICS.values():
-        out = out | (sum((found(t) for t in any_of), F.lit(0)) >= 2)
-        for t in must:
-            out = out | (found(t) == 1)
-    return d.select("doc_id", out.alias("in_scope"))
+    """Documents in scope by topic words (terms of ASCII letters); unknown for a null text, as in SQL."""
+    d = S.topic_filter(table(spark, sf_dir, "documents"), TOPICS, ascii_words=True)
+    return d.select("doc_id", F.when(F.col("text").isNotNull(), F.col("in_scope")).alias("in_scope"))
 
 
 # ---------------------------------------------------------------- pages

@@ -67,6 +67,18 @@ def test_required_urls(spark):
     assert [r[0] for r in S.missing_urls(rows, ["u1", "u9"]).collect()] == ["u9"]
 
 
+def test_registered_topic_filter_runs_the_operator(spark, tmp_path, monkeypatch):
+    from sparkloom.operators import selection as S
+    from sparkloom.plans.queries import QUERIES
+
+    texts = ["the and", "the band", "éthe and", "una", "unas", None, "", "THE\nwith_ and"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    calls, real = [], S.topic_filter
+    monkeypatch.setattr(S, "topic_filter", lambda *a, **k: calls.append(k) or real(*a, **k))
+    got = {r["doc_id"]: r["in_scope"] for r in QUERIES["topic_filter"](spark, str(tmp_path)).collect()}
+    assert calls and [got[i] for i in range(8)] == [True, False, True, True, False, None, False, True]
+
+
 def test_topics_count_distinct_terms_and_quote_them(spark):
     rows = spark.createDataFrame([("pass/fail and grades",), ("grades grades",), ("a.b",), ("axb",)], "t string")
     assert [r[0] for r in rows.select(S.topic_matches(F.col("t"), ["pass/fail", "grades"])).collect()] == [True, False, False, False]
