@@ -43,20 +43,20 @@ def shared_tokens(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(numbered(a), numbered(b)))
 
 
-def overlap_score(query: Column, doc: Column) -> Column:
-    """Shared tokens over sqrt(|q| |d|), the document cut to its first characters; 0 if either has none."""
-    q, d = tokenize(query), tokenize(F.substring(doc, 1, OVERLAP_CHARS))
+def overlap_score(query: Column, doc: Column, chars: int | None = OVERLAP_CHARS) -> Column:
+    """Shared tokens over sqrt(|q| |d|), the document cut to its first ``chars`` characters (None: whole); 0 if either has none."""
+    q, d = tokenize(query), tokenize(doc if chars is None else F.substring(doc, 1, chars))
     return overlap_of_tokens(q, d)
 
 
 def overlap_of_tokens(q: Column, d: Column) -> Column:
-    n = F.size(q) * F.size(d)
+    n = F.size(q).cast("long") * F.size(d)
     return F.when(n == 0, 0.0).otherwise(shared_tokens(q, d) / F.sqrt(n.cast("double")))
 
 
 def overlap_of_numbered(q: Column, d: Column) -> Column:
     """The same of token arrays that were numbered once, for many pairs."""
-    n = F.size(q) * F.size(d)
+    n = F.size(q).cast("long") * F.size(d)
     return F.when(n == 0, 0.0).otherwise(F.size(F.array_intersect(q, d)) / F.sqrt(n.cast("double")))
 
 

@@ -66,9 +66,9 @@ def sub_queries(questions: DataFrame) -> DataFrame:
     return questions.select("qid", "query", F.posexplode(texts).alias("sub", "sub_query"))
 
 
-def lexical_top_k(queries: DataFrame, docs: DataFrame, k: int, cap: int | None = None, cap_key: str = "source") -> DataFrame:
-    """Top-k documents by token overlap of queries (qid, query), at most ``cap`` of a source each."""
-    tokens = docs.withColumn("_d", numbered(X.tokenize(F.substring("text", 1, X.OVERLAP_CHARS)))).drop("text")
+def lexical_top_k(queries: DataFrame, docs: DataFrame, k: int, cap: int | None = None, cap_key: str = "source", chars: int | None = X.OVERLAP_CHARS) -> DataFrame:
+    """Top-k documents by token overlap of queries (qid, query) with their first ``chars`` characters (None: whole), at most ``cap`` of a source each."""
+    tokens = docs.withColumn("_d", numbered(X.tokenize(F.col("text") if chars is None else F.substring("text", 1, chars)))).drop("text")
     both = pair_up(queries.select("qid", numbered(X.tokenize(F.col("query"))).alias("_q")), tokens)
     scored = both.withColumn("score", F.round(X.overlap_of_numbered(F.col("_q"), F.col("_d")), 6)).drop("_q", "_d")
     order = [F.desc("score"), F.asc("doc_id")]

@@ -75,6 +75,25 @@ def overlap_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", F.size(X.tokenize(F.col("prev"))).cast("long").alias("n_query"), F.size(X.tokenize(F.substring("text", 1, 2000))).cast("long").alias("n_doc"), F.round(X.overlap_score(F.col("prev"), F.col("text")), 6).alias("score"))
 
 
+_WHOLE = ("substring(text, 1, 2000)", "text")
+
+
+@query(ORACLES["lexical_topk"].replace(*_WHOLE))
+def lexical_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lexical_topk over whole texts."""
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    return V.lexical_top_k(q, table(spark, sf_dir, "documents").select("doc_id", "source", "text"), 5, cap=2, chars=None).select("qid", "doc_id", "source", "score", "rank")
+
+
+@query(ORACLES["overlap_score"].replace(*_WHOLE))
+def overlap_score_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """overlap_score over whole texts."""
+    from pyspark.sql import Window
+
+    c = table(spark, sf_dir, "conversations").withColumn("prev", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("prev is not null")
+    return c.select("conv_id", "turn", F.size(X.tokenize(F.col("prev"))).cast("long").alias("n_query"), F.size(X.tokenize(F.col("text"))).cast("long").alias("n_doc"), F.round(X.overlap_score(F.col("prev"), F.col("text"), None), 6).alias("score"))
+
+
 _NORM = r"trim(regexp_replace(lower({}), '[\s\x{{00a0}}\x{{0085}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'))"
 
 

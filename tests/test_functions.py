@@ -67,6 +67,17 @@ def test_required_urls(spark):
     assert [r[0] for r in S.missing_urls(rows, ["u1", "u9"]).collect()] == ["u9"]
 
 
+def test_lexical_overlap_of_whole_texts(spark):
+    from sparkloom.functions import text as X
+    from sparkloom.operators import retrieval as V
+
+    docs = spark.createDataFrame([(1, "s", "filler " * 400 + "rare passage"), (2, "s", "other")], "doc_id long, source string, text string")
+    q = spark.createDataFrame([(1, "rare passage")], "qid long, query string")
+    best = {c: V.lexical_top_k(q, docs, 1, chars=c).first()["score"] for c in (2000, None)}
+    assert best[2000] == 0 and best[None] == round(2 / (2 * 402) ** 0.5, 6)
+    assert [docs.filter("doc_id = 1").select(X.overlap_score(F.lit("rare passage"), F.col("text"), c) > 0).first()[0] for c in (2000, None)] == [False, True]
+
+
 def test_registered_topic_filter_runs_the_operator(spark, tmp_path, monkeypatch):
     from sparkloom.operators import selection as S
     from sparkloom.plans.queries import QUERIES
