@@ -16,11 +16,11 @@ DEADLINE_WORDS = r"(?i)(withdraw|final day|last day|drop|deadline|add/?drop|adju
 DATE = r"\d{1,2}/\d{1,2}(?:/\d{2,4})?"
 #: Months of each season, in the order that wins ties.
 SEASON_MONTHS = {"Fall": (9, 10, 11), "Spring": (2, 3, 4, 5), "Summer": (6, 7, 8), "Winter": (12, 1)}
-ANCHORS = tuple(
-    "requirementstext programrequirementstext planofstudytext fouryearplantext roadmaptext programadmissiontext admissionrequirementstext"
-    " programlearningoutcomestext learningoutcomestext policiestext coursestext advisingnotestext recommendationsstext"
-    " degreerequirementstext courseinformationtext curriculumrequirements sampleplan degree-requirements-overview".split()
-)
+ANCHORS = (
+    "requirementstext", "programrequirementstext", "planofstudytext", "fouryearplantext", "roadmaptext", "programadmissiontext",
+    "admissionrequirementstext", "programlearningoutcomestext", "learningoutcomestext", "policiestext", "coursestext", "advisingnotestext",
+    "recommendationsstext", "degreerequirementstext", "courseinformationtext", "curriculumrequirements", "sampleplan", "degree-requirements-overview",
+)
 OVERLAP_CHARS = 2000
 
 

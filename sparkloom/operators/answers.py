@@ -12,6 +12,7 @@ from sparkloom.operators.ranking import is_requirements_question
 from sparkloom.operators.retrieval import pair_up
 
 SNIPPETS, SNIPPET_CHARS = 6, 1000
+# Fixed values.
 ADVISOR_WORDS = ("advisor", "advisors", "advising", "gpc", "graduate program coordinator", "graduate program chair")
 
 
