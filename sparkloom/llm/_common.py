@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows and bytes of an Arrow batch at most.
+BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -65,6 +69,16 @@ class Stage:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def map_frames(df: DataFrame, f, schema) -> DataFrame:
+    """``mapInPandas`` with batches of at most BATCH_ROWS rows and BATCH_BYTES bytes, so that a worker, and the JVM's side of the
+    exchange, hold a few megabytes of texts at a time. It lowers the session's settings where they are higher."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInPandas(f, schema)
+
+
 def docs_only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that extra columns never clash with those an operator adds."""
     return df.select(*[df[n] for n in names])

@@ -1,7 +1,7 @@
 """Near-duplicate documents by a multi-index Hamming join over b-bit MinHash signatures.
 
 A document's set is its distinct five-word shingles (64-bit hashes). Its signature has SYMBOLS MinHash values of
-16 bits. Signatures within RADIUS differing symbols are guaranteed to be found: the symbols are split into
+24 bits. Signatures within RADIUS differing symbols are guaranteed to be found: the symbols are split into
 CHUNKS chunks, so by pigeonhole some chunk has at most RADIUS // CHUNKS errors, and every choice of so many
 wrong symbols in a chunk is enumerated as a key of the remaining ones. At a similarity of 0.75 a pair exceeds RADIUS
 with a probability below 1e-5. Links are confirmed on the full sets.
@@ -10,10 +10,13 @@ No group's pairs are listed. Equal sets are one class. In a first round, each cl
 classes those that it shares most keys with; so a group of copies becomes one component after a few checks for each of
 its members. Only in buckets that still hold different components are the members compared with each
 other, in blocks of rows and by sketches alone: first to try a forest of the nearest pairs (fewer pairs than members), then, in
-what still differs, every pair of two components. A link between two members of one component can't
+the buckets where a pair could still be a link, every pair of two components. A link between two members of one component can't
 change the result, and no other is left out. A pair is looked at in the first bucket that it shares only. Pairs within RADIUS
 also pass a second sketch (BINS one-permutation minima) that rules out those whose similarity is
-DEVIATIONS standard errors below the limit, before full sets are fetched for the rest.
+``deviations`` standard errors below the limit, before full sets are compared; ``deviations=None`` leaves that filter out.
+
+To confirm pairs, only the texts in question move: those of a pair's larger id once a pair, those of the smaller id once for
+every SPOKES pairs, so a hub is dealt to many tasks. Every other move is of keys, ids or sketches of a fixed size.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm._common import Stage, docs_only
+from sparkloom.llm._common import Stage, docs_only, map_frames
 from sparkloom.llm.components import connected_components
 
 WORDS = 5
@@ -38,8 +41,10 @@ BINS, DEVIATIONS = 256, 4.5
 FILTER_BITS = 1 << 22
 #: Classes that a class is checked against in the first round.
 TRIES = 1
-#: Rows of a block in the comparison within a bucket.
-BLOCK = 4096
+#: Rows of a block in the comparison within a bucket, and pairs that a task holds before it hands them on.
+BLOCK, HELD = 4096, 1 << 19
+#: Pairs that the set of their smaller id is sent for.
+SPOKES = 1024
 _SEED = 0x5EED
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -92,14 +97,25 @@ MUL, ADD = _multipliers(SYMBOLS)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """SYMBOLS MinHash values of 16 bits."""
+    """SYMBOLS MinHash values of 24 bits."""
     low = np.empty(SYMBOLS, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(SYMBOLS):
             x = shingles * MUL[i] + ADD[i]
             low[i] = (x ^ (x >> np.uint64(32))).min()
-        return (mix(low) & np.uint64(0xFFFF)).astype(np.uint16)
+        return (mix(low) & np.uint64(0xFFFFFF)).astype(np.uint32)
+
+
+def pack(symbols: np.ndarray) -> bytes:
+    """Three bytes a symbol."""
+    return symbols.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
 
+def unpack(signatures: pd.Series) -> np.ndarray:
+    """Packed signatures as rows of symbols."""
+    out = np.zeros((len(signatures), SYMBOLS, 4), np.uint8)
+    out[:, :, :3] = np.frombuffer(b"".join(signatures), np.uint8).reshape(-1, SYMBOLS, 3)
+    return out.view("<u4")[:, :, 0]
 
 
 def bin_minima(shingles: np.ndarray) -> np.ndarray:
@@ -113,15 +129,17 @@ def bin_minima(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def similar_enough(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows of two bin sketches: the estimated similarity, and whether it could be SIMILARITY or more."""
+def similar_enough(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, deviations: float | None = DEVIATIONS) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of two bin sketches: the estimated similarity, and whether it could be SIMILARITY or more (None: always)."""
     used = ((a != 0) | (b != 0)).sum(axis=1)
     j = ((a == b) & (a != 0)).sum(axis=1) / np.maximum(used, 1)
+    if deviations is None:
+        return j, np.ones(len(j), bool)
     limit = SIMILARITY / 100
     union = (na + nb) / (1 + limit)
     # minima of bins are drawn without replacement from the union
     error = np.sqrt(limit * (1 - limit) / np.maximum(used, 1) * np.maximum(1 - used / np.maximum(union, used), 0.02))
-    return j, j >= limit - DEVIATIONS * error - 0.01
+    return j, j >= limit - deviations * error - 0.01
 
 
 def chunk_keys(symbols: int = SYMBOLS, chunks: int = CHUNKS, radius: int = RADIUS) -> list[list[int]]:
@@ -131,19 +149,20 @@ def chunk_keys(symbols: int = SYMBOLS, chunks: int = CHUNKS, radius: int = RADIU
 
 
 KEYS = chunk_keys()
+NO_BITS = (len(KEYS) - 1).bit_length()
 #: The same as an array, short keys padded with their last symbol.
 KEY_SYMBOLS = np.array([k + k[-1:] * (max(map(len, KEYS)) - len(k)) for k in KEYS])
 
 
 def bucket_keys(signatures: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each signature (rows) and each entry of KEYS."""
+    """A 64-bit key for each signature (rows) and each entry of KEYS, whose number is in the key's lowest NO_BITS bits."""
     out = np.empty((len(signatures), len(KEYS)), np.uint64)
     with np.errstate(over="ignore"):
         for j, own in enumerate(KEYS):
             h = np.full(len(signatures), j + 1, np.uint64)
             for s in own:
                 h = mix(h * np.uint64(0x100000001B3) + signatures[:, s])
-            out[:, j] = h
+            out[:, j] = (h & ~np.uint64((1 << NO_BITS) - 1)) | np.uint64(j)
     return out.view(np.int64)
 
 
@@ -155,7 +174,7 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(s):
                 with np.errstate(over="ignore"):
                     a, b = int(mix(s).sum().view(np.int64)), int(mix(s ^ np.uint64(0xA5A5A5A5)).sum().view(np.int64))
-                rows.append((len(s), a, b, signature(s).tobytes(), bin_minima(s).tobytes()))
+                rows.append((len(s), a, b, pack(signature(s)), bin_minima(s).tobytes()))
             else:
                 rows.append((0, None, None, None, None))
         yield pd.DataFrame({"k": batch["k"].array, "n": [r[0] for r in rows], "s1": pd.array([r[1] for r in rows], "Int64"), "s2": pd.array([r[2] for r in rows], "Int64"), "signature": [r[3] for r in rows], "bins": [r[4] for r in rows]})
@@ -163,15 +182,52 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        sig = np.frombuffer(b"".join(batch["signature"]), np.uint16).reshape(-1, SYMBOLS)
-        for lo in range(0, len(sig), 2048):
-            got = bucket_keys(sig[lo : lo + 2048])
-            yield pd.DataFrame({"key": got.ravel(), "no": np.tile(np.arange(len(KEYS), dtype=np.int32), len(got)), "id": np.repeat(batch["id"].to_numpy()[lo : lo + 2048], len(KEYS))})
+        ids = batch["id"].to_numpy()
+        for lo in range(0, len(batch), 1024):
+            got = bucket_keys(unpack(batch["signature"].iloc[lo : lo + 1024]))
+            yield pd.DataFrame({"key": got.ravel(), "id": np.repeat(ids[lo : lo + 1024], len(KEYS))})
+
+
+def _could_link(deviations: float | None):
+    """Rows (a, b, sa, sb, ba, bb, na, nb) to the pairs (a, b) that their signatures and sketches don't rule out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if not len(rows):
+                continue
+            na, nb = rows["na"].to_numpy(), rows["nb"].to_numpy()
+            bins = [np.frombuffer(b"".join(rows[c]), np.uint8).reshape(-1, BINS) for c in ("ba", "bb")]
+            ok = 100 * np.minimum(na, nb) >= SIMILARITY * np.maximum(na, nb)
+            ok &= (unpack(rows["sa"]) != unpack(rows["sb"])).sum(axis=1) <= RADIUS
+            ok &= similar_enough(*bins, na, nb, deviations)[1]
+            yield rows.loc[ok, ["a", "b"]]
+
+    return run
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (b, part, a, t), sorted, those with a null a (the texts of b) first: the pairs (a, b) whose sets are similar enough."""
+    hub, sets = None, []
     for batch in batches:
-        yield pd.DataFrame({"id": batch["id"].array, "s": [shingle_hashes(t).view(np.int64) for t in batch["t"]]})
+        found = []
+        ids = batch["a"].astype(object).where(batch["a"].notna(), None)
+        for b, part, a, t in zip(batch["b"], batch["part"], ids, batch["t"], strict=True):
+            if hub != (b, part):
+                hub, sets = (b, part), []
+            s = shingle_hashes(t)
+            if a is None:
+                sets.append(s)
+            elif len(s) and any(linked(s, x) for x in sets):
+                found.append((int(a), b))
+        yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets of sorted distinct hashes are similar enough."""
+    if 100 * min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= SIMILARITY * (len(x) + len(y) - both)
 
 
 def forest(pairs: pd.DataFrame) -> list[int]:
@@ -198,132 +254,166 @@ def forest(pairs: pd.DataFrame) -> list[int]:
     return taken
 
 
-def _compare_blocks(nearest: bool):
-    """Rows (g, no, i, j, side, id, component, n, signature, bins), sorted by block pair, to pairs of two components that could be links.
+def _compare_blocks(nearest: bool, deviations: float | None):
+    """Rows (g, i, j, side, id, component, n, signature, bins), sorted by block pair, to pairs of two components that could be links.
 
-    ``nearest``: only a forest of the nearest pairs over the components.
+    ``nearest``: only a forest of the nearest pairs over the components. A block pair without such a pair gives no row.
     """
 
-    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, comp, n, side, no = (rows[c].to_numpy() for c in ("id", "component", "n", "side", "no"))
-        sig = np.frombuffer(b"".join(rows["signature"]), np.uint16).reshape(-1, SYMBOLS)
+    def pairs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        ids, comp, n, side, key = (rows[c].to_numpy() for c in ("id", "component", "n", "side", "g"))
+        no = key & ((1 << NO_BITS) - 1)
+        sig = unpack(rows["signature"])
         bins = np.frombuffer(b"".join(rows["bins"]), np.uint8).reshape(-1, BINS)
-        edge = np.flatnonzero((np.diff(rows["g"].to_numpy()) != 0) | (np.diff(rows["i"].to_numpy()) != 0) | (np.diff(rows["j"].to_numpy()) != 0)) + 1
+        edge = np.flatnonzero((np.diff(key) != 0) | (np.diff(rows["i"].to_numpy()) != 0) | (np.diff(rows["j"].to_numpy()) != 0)) + 1
         end = np.repeat(np.concatenate((edge, [len(rows)])), np.diff(np.concatenate(([0], edge, [len(rows)]))))
         same = rows["i"].to_numpy() == rows["j"].to_numpy()
-        out, at, step = [], np.arange(len(rows)), 1
+        held: list[pd.DataFrame] = []
+        at, step = np.arange(len(rows)), 1
         while len(at):
             at = at[at + step < end[at]]
             to = at + step
             ok = (comp[at] != comp[to]) & (same[at] | (side[at] != side[to]))
             ok &= 100 * np.minimum(n[at], n[to]) >= SIMILARITY * np.maximum(n[at], n[to])
             every = np.flatnonzero(ok)
-            for lo in range(0, len(every), 1 << 14):
-                p = at[every[lo : lo + (1 << 14)]]
+            for lo in range(0, len(every), 1 << 13):
+                p = at[every[lo : lo + (1 << 13)]]
                 q = p + step
                 equal = sig[p] == sig[q]
                 near = SYMBOLS - equal.sum(axis=1) <= RADIUS
                 p, q, equal = p[near], q[near], equal[near]
                 first = equal[:, KEY_SYMBOLS].all(axis=2).argmax(axis=1) == no[p]
                 p, q = p[first], q[first]
-                j, could = similar_enough(bins[p], bins[q], n[p], n[q])
-                out.append((p[could], q[could], j[could]))
+                j, could = similar_enough(bins[p], bins[q], n[p], n[q], deviations)
+                p, q, j = p[could], q[could], j[could]
+                if len(p):
+                    held.append(pd.DataFrame({"a": np.maximum(ids[p], ids[q]), "b": np.minimum(ids[p], ids[q]), "d": 1.0 - j, "ca": np.maximum(comp[p], comp[q]), "cb": np.minimum(comp[p], comp[q]), "g": key[p]}))
+            if sum(map(len, held)) > HELD:
+                got = pd.concat(held, ignore_index=True)
+                if nearest:  # a forest of forests is a forest of all
+                    held = [got.iloc[forest(got)]]
+                else:
+                    yield got
+                    held = []
             step += 1
-        p, q, j = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
-        got = pd.DataFrame({"a": np.maximum(ids[p], ids[q]), "b": np.minimum(ids[p], ids[q]), "d": 1.0 - j, "ca": np.maximum(comp[p], comp[q]), "cb": np.minimum(comp[p], comp[q])})
-        return got.iloc[forest(got)] if nearest else got
+        if held:
+            got = pd.concat(held, ignore_index=True)
+            # the forest is one of all the block pairs held, so each bucket with a pair keeps one to be known by
+            yield pd.concat([got.iloc[forest(got)], got.drop_duplicates("g")]).drop_duplicates() if nearest else got
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held: list[pd.DataFrame] = []
         for batch in batches:
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            last = (rows["g"] == rows["g"].iloc[-1]) & (rows["i"] == rows["i"].iloc[-1]) & (rows["j"] == rows["j"].iloc[-1])
-            held, whole = rows[last], rows[~last]
-            if len(whole):
-                yield pairs(whole)
-        if held is not None:
-            yield pairs(held)
+            if not len(batch):
+                continue
+            same = (batch[["g", "i", "j"]].to_numpy() == batch[["g", "i", "j"]].to_numpy()[-1]).all(axis=1)
+            first = int(np.argmax(same))  # sorted, so the last block pair's rows are the batch's tail
+            if first:
+                yield from pairs(pd.concat([*held, batch.iloc[:first]], ignore_index=True))
+                held = [batch.iloc[first:]]
+            elif held and (held[-1][["g", "i", "j"]].to_numpy()[-1] != batch[["g", "i", "j"]].to_numpy()[0]).any():
+                yield from pairs(pd.concat(held, ignore_index=True))
+                held = [batch]
+            else:
+                held.append(batch)
+        if held:
+            yield from pairs(pd.concat(held, ignore_index=True))
 
     return run
 
 
-def texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of texts (id, t) whose id is among the ids. A bitmap of hashed ids, of a fixed size, is broadcast first, so
-    that few other texts reach the exchange of the join."""
+def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is among the (distinct) ids. A bitmap of hashed ids, of a fixed size, is broadcast first, so
+    that few other rows reach the exchange of the join."""
     bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
     word, mask = F.floor(bit / 64).cast("int"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {FILTER_BITS}) % 64 as int))")
     words = ids.select(word.alias("w"), mask.alias("m")).groupBy("w").agg(F.bit_or("m").alias("bits"))
-    near = texts.withColumn("w", word).join(F.broadcast(words), "w").filter(F.col("bits").bitwiseAND(mask) != 0)
-    return near.select("id", "t").join(ids, "id", "left_semi")
+    near = rows.withColumn("w", word).join(F.broadcast(words), "w").filter(F.col("bits").bitwiseAND(mask) != 0)
+    return near.drop("w", "bits").join(ids, "id", "left_semi")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", deviations: float | None = DEVIATIONS) -> DataFrame:
     """Per row: ``key``, n_shingles long, component_id (smallest key reachable), kept (key = component_id).
 
     Texts without words (null and empty ones too) have an empty set and are linked with nothing. Rows
     that share a key are one node. Rows with a null key belong to the component of their set's smallest
     key (null if there is none, and then they are kept: nothing can be compared with them). Repeated rows and equal sets are one class. Other columns
-    are left behind; an empty table gives an empty result.
+    are left behind; an empty table gives an empty result. ``deviations=None`` compares full sets of all pairs within RADIUS.
     """
     spark = docs.sparkSession
     stage = Stage(spark, "neardup")
     rows = docs_only(docs, key, text).toDF("k", "t").withColumn("k", F.col("k").cast("long"))
-    sketch = stage.keep(rows.mapInPandas(_sketch, "k long, n long, s1 long, s2 long, signature binary, bins binary"))
+    sketch = stage.keep(map_frames(rows, _sketch, "k long, n long, s1 long, s2 long, signature binary, bins binary"))
     found = sketch.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min_by(F.struct("k", "signature", "bins"), "k").alias("r"))
     found = stage.keep(found.select("s1", "s2", "n", F.col("r.k").alias("id"), "r.signature", "r.bins"))
-    classes = found.select("s1", "s2", "n", "id")
+    sets = stage.keep(sketch.select("k", "n", "s1", "s2"))
+    stage.drop(sketch)
     nodes = found.filter("id is not null").select("id", "n", "signature", "bins")
-    keys = nodes.select("id", "signature").mapInPandas(_keys, "key long, no int, id long")
+    keys = map_frames(nodes.select("id", "signature"), _keys, "key long, id long")
     low = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key", "low")
     shared = stage.keep(keys.join(low, "key"))
-    stage.tidy()
-    links = []
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose full sets are similar enough; sets are made anew from the few texts in question."""
+    # only classes that share a bucket are looked at from here on
+    live = stage.keep(among(nodes, shared.select("id").distinct()))
+    classes = stage.keep(found.select("s1", "s2", "n", "id"))
+    stage.drop(found)
+    texts = rows.select(F.col("k").alias("id"), "t")
+    links: list[DataFrame] = []
+
+    def confirm(pairs: DataFrame) -> bool:
+        """Adds the pairs (a, b) whose full sets are similar enough to the links; sets are made anew from the few texts in question."""
         pairs = stage.keep(pairs.select("a", "b").distinct())
         ids = stage.keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-        sets = stage.keep(texts_of(rows.select(F.col("k").alias("id"), "t"), ids).mapInPandas(_sets, "id long, s array<long>"))
-        both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-        inter = F.size(F.array_intersect("sa", "sb"))
-        linked = both.withColumn("x", inter).filter(100 * F.col("x") >= SIMILARITY * (F.size("sa") + F.size("sb") - F.col("x"))).select("a", "b")
-        linked = stage.keep(linked)
-        links.append(linked)
-        stage.drop(sets, ids, pairs)
-        stage.tidy()
-        return linked
+        own = among(texts, ids).groupBy("id", F.xxhash64("t").alias("h")).agg(F.first("t").alias("t")).drop("h")
+        own = stage.keep(own)
+        hubs = pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / SPOKES).cast("int"))
+        spokes = pairs.join(hubs.select("b", "parts"), "b").select("b", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"), "a").join(own.withColumnRenamed("id", "a"), "a")
+        hubs = hubs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("b", "part", F.lit(None).cast("long").alias("a"))
+        both = hubs.join(own.withColumnRenamed("id", "b"), "b").select("b", "part", "a", "t").union(spokes.select("b", "part", "a", "t"))
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        both = both.repartition(parts, "b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+        got = stage.keep(map_frames(both, _confirm, "a long, b long"))
+        stage.drop(own, ids, pairs)
+        links.append(got)
+        return not got.isEmpty()
 
     # Round one: each class and, of its buckets' smallest classes, those that are smallest in most of them.
     counts = shared.filter("id > low").groupBy("id", "low").agg(F.count("*").alias("n"))
     best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col("low").alias("b")))), 1, TRIES)  # at most a low a key
-    confirm(counts.groupBy("id").agg(best.alias("p")).select(F.col("id").alias("a"), F.explode("p").alias("p")).select("a", "p.b"))
+    tries = counts.groupBy("id").agg(best.alias("p")).select(F.col("id").alias("a"), F.explode("p").alias("p")).select("a", "p.b")
+    side = lambda x: live.select(F.col("id").alias(x), *[F.col(c).alias(c[0] + x) for c in ("n", "signature", "bins")])
+    confirm(map_frames(tries.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "ba", "bb", "na", "nb"), _could_link(deviations), "a long, b long"))
 
     # Rounds two and three: buckets that hold several components, block against block.
+    comp = connected_components(links[0], stage)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for nearest in (True, False):
-        comp = connected_components(links[0] if len(links) == 1 else links[0].union(links[1]), stage)
-        held = shared.select("key", "no", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        held = shared.select("key", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = held.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("size")).filter("c0 < c1")
         mixed = stage.keep(held.join(mixed.select("key", "size"), "key"))
         # A bucket's rows are dealt to blocks; every pair of blocks is compared somewhere.
         n = F.ceil(F.col("size") / BLOCK).cast("int")
-        dealt = mixed.join(nodes, "id").withColumn("n_blocks", n).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
+        dealt = mixed.join(live, "id").withColumn("n_blocks", n).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        dealt = dealt.select(F.col("key").alias("g"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "no", "id", "component", "n", "signature", "bins")
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        found = dealt.repartition(parts, "g", "i", "j").sortWithinPartitions("g", "i", "j").mapInPandas(_compare_blocks(nearest), "a long, b long, d double, ca long, cb long")
-        if nearest:
-            found = found.groupBy("ca", "cb").agg(F.min_by(F.struct("a", "b"), F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b")
-        found = stage.keep(found.select("a", "b").distinct())
+        dealt = dealt.select(F.col("key").alias("g"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "component", "n", "signature", "bins")
+        dealt = dealt.repartition(parts, "g", "i", "j").sortWithinPartitions("g", "i", "j")
+        pairs = stage.keep(map_frames(dealt, _compare_blocks(nearest, deviations), "a long, b long, d double, ca long, cb long, g long"))
         stage.drop(mixed)
-        stage.tidy()
-        if found.isEmpty():
+        if not nearest:
+            stage.drop(shared, live)
+        if pairs.isEmpty():
             break
-        confirm(found)
-    comp = connected_components(_union(links), stage)
-    of_class = classes.join(comp.withColumnRenamed("node", "id"), "id", "left").select("s1", "s2", F.col("n").alias("cn"), F.coalesce("component", "id").alias("component"))
-    of_class = of_class.groupBy("s1", "s2", "cn").agg(F.min("component").alias("component"))
-    out = sketch.filter("n > 0").join(of_class.withColumnRenamed("cn", "n"), ["s1", "s2", "n"])
-    out = out.select("k", "n", "component").union(sketch.filter("n = 0").select("k", "n", F.col("k").alias("component")))
+        if nearest:
+            # a bucket without a pair that could be a link has none later on either
+            shared = shared.join(pairs.select(F.col("g").alias("key")).distinct(), "key", "left_semi")
+            more = confirm(pairs.groupBy("ca", "cb").agg(F.min_by(F.struct("a", "b"), F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b"))
+        else:
+            more = confirm(pairs)
+        if more:
+            comp = connected_components(_union(links), stage)
+    # written, so that a class with very many copies can be split in the join
+    of_class = stage.keep(classes.join(comp.withColumnRenamed("node", "id"), "id", "left").select("s1", "s2", "n", F.coalesce("component", "id").alias("component")))
+    out = sets.filter("n > 0").join(of_class, ["s1", "s2", "n"])
+    out = out.select("k", "n", "component").union(sets.filter("n = 0").select("k", "n", F.col("k").alias("component")))
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("k").eqNullSafe(F.col("component")).alias("kept"))
 
 
