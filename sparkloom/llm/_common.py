@@ -40,6 +40,33 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Kept(dict):
+    """Keeps the bytes that ``make`` returns for short texts, in two generations bounded in bytes.
+
+    A text that is asked for again moves to the newer generation; when that holds half of ``limit`` bytes, it becomes the
+    older one, whose texts go. Texts over LONGEST characters are made anew each time.
+    """
+
+    LONGEST = 64
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit, self.size, self.older = make, limit // 2, 0, {}
+
+    def __missing__(self, text: str):
+        if (out := self.older.get(text)) is None:
+            out = self.make(text)
+            if len(text) > self.LONGEST:
+                return out
+        if self.size >= self.limit:
+            self.older, self.size = dict(self), 0
+            self.clear()
+        self[text] = out
+        # about what Python takes for a key, a value and their place in the table
+        self.size += 230 + len(text) + len(out)
+        return out
+
+
 class Stage:
     """Tables written as Parquet in the shared folder: they cut lineage and outlive a lost executor.
 

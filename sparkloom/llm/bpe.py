@@ -2,16 +2,18 @@
 
 A word's parts lie side by side in two arrays: the part ids and, for each part, the rank of its merge
 with the next part. Until no rank is left, the smallest rank is found by a scan, the boundary after it
-is deleted, and the ranks of the two neighbours are refreshed. Words are short, so a scan beats a heap.
+is deleted, and the ranks of the two neighbours are refreshed. Words are short, so a scan beats a heap; a piece of more than
+SHORT bytes, where scans would take the square of its length, merges the same pairs in the same order from a heap.
 
 Texts are cut at white space (no piece of the vocabulary's pattern crosses it) and each distinct
-white-space-free run is encoded once for a worker; the cache has a fixed size (the less recent half
-goes when it is full), so memory is bounded whatever the corpus. Rows are independent: no shuffle, no state, and a lost task is just rerun.
+white-space-free run is encoded once for a worker while it is kept; what is kept is bounded in bytes (the less recent half
+goes when it is full) and holds no long runs, so memory is bounded whatever the corpus. Rows are independent: no shuffle, no state, and a lost task is just rerun.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import sys
 import unicodedata
@@ -23,10 +25,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm._common import docs_only
+from sparkloom.llm._common import Kept, docs_only, map_frames
 
-#: Runs, and pieces, that a worker keeps; about 300 bytes each.
-CACHE = 500_000
+#: Bytes that a worker keeps for runs, and half as many for other pieces.
+CACHE_BYTES = 96 << 20
+#: Bytes of a piece up to which ranks are scanned.
+SHORT = 256
 NONE = 1 << 60
 assert array("I").itemsize == 4 and sys.byteorder == "little", "ids are laid out as the machine lays them out"
 
@@ -47,7 +51,7 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """A lower-casing word BPE read from a ``tokenizers`` JSON file."""
 
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str, cache: int = CACHE_BYTES):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -58,14 +62,17 @@ class WordBpe:
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[self.vocab[left], self.vocab[right]] = (rank, self.vocab[left + right])
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.names = {i: t for t, i in [*self.vocab.items(), *self.added.items()]}
+        every = [*self.vocab.items(), *self.added.items()]
+        self.names = [""] * (max(i for _, i in every) + 1)
+        for t, i in every:
+            self.names[i] = t
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(pattern).findall
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split
         self.spaces = regex.compile(r"\p{White_Space}+").split
         self.odd = regex.compile("[\x1c-\x1f]").search  # white space to str.split, but not to the vocabulary
         self.letters = byte_letters()
-        self.limit, self.newer, self.older, self.words = cache, {}, {}, {}
+        self.runs, self.words = Kept(self.run, cache), Kept(self.word, cache // 2)
 
     def merge(self, ids: list[int]) -> list[int]:
         """Merges parts until no adjacent pair has a rank; the leftmost of equal ranks goes first."""
@@ -81,41 +88,53 @@ class WordBpe:
                 ranks[at] = get((ids[at], ids[at + 1]), none)[0]
         return ids
 
-    def word(self, piece: str) -> tuple[bytes, str]:
-        """A piece's ids as little-endian 32-bit integers, and its decoded text."""
+    def merge_long(self, ids: list[int]) -> list[int]:
+        """The same merges in the same order for a long piece: the least (rank, place) comes from a heap, parts are linked by place."""
+        get, n = self.merges.get, len(ids)
+        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        heap = [rank << 40 | i for i, pair in enumerate(zip(ids, ids[1:])) if (rank := get(pair, (NONE, 0))[0]) < NONE]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = divmod(heapq.heappop(heap), 1 << 40)
+            j = after[i]
+            if ids[i] < 0 or j >= n or (to := get((ids[i], ids[j]), (NONE, 0)))[0] != rank:
+                continue  # one of the parts has been merged since
+            ids[i], ids[j], after[i] = to[1], -1, after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            for p, q in ((before[i], i), (i, after[i])):
+                if p >= 0 and q < n and (rank := get((ids[p], ids[q]), (NONE, 0))[0]) < NONE:
+                    heapq.heappush(heap, rank << 40 | p)
+        return [x for x in ids if x >= 0]
+
+    def word(self, piece: str) -> bytes:
+        """A piece's ids as little-endian 32-bit integers."""
         marks = [self.letters[b] for b in piece.encode("utf-8", "surrogatepass")]
         marks[-1] += self.end
-        ids = self.merge([self.vocab[m] for m in marks])
-        if len(self.words) >= self.limit:
-            self.words.clear()
-        self.words[piece] = out = (array("I", ids).tobytes(), " ".join([self.names[i] for i in ids]))
-        return out
-
-    def run(self, run: str) -> tuple[bytes, str]:
-        """The same of a white-space-free run; runs of the older half of the cache move to the newer one."""
-        if not (out := self.older.get(run)):
-            text = run if run.isascii() else unicodedata.normalize("NFC", run)
-            text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
-            got = [self.words.get(p) or self.word(p) for p in self.pieces(text)]
-            out = got[0] if len(got) == 1 else (b"".join([g[0] for g in got]), " ".join([g[1] for g in got]))
-        if len(self.newer) >= self.limit // 2:
-            self.older, self.newer = self.newer, {}
-        self.newer[run] = out
-        return out
-
-    def plain(self, text: str) -> list[tuple[bytes, str]]:
-        runs = [x for x in self.spaces(text) if x] if self.odd(text) else text.split()
-        return [self.newer.get(x) or self.run(x) for x in runs]
-
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids (little-endian unsigned 32-bit) and decoded text; added tokens in the text become their ids."""
-        if "<|" in text:
-            parts = []
-            for x in self.split_added(text):
-                parts += [(self.added[x].to_bytes(4, "little"), x)] if x in self.added else self.plain(x)
-        else:
-            parts = self.plain(text)
-        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts if p[1]])
+        ids = [self.vocab[m] for m in marks]
+        return array("I", self.merge(ids) if len(ids) <= SHORT else self.merge_long(ids)).tobytes()
+
+    def run(self, run: str) -> bytes:
+        """The same of a white-space-free run. An ASCII piece in lower case is a run of its own, and kept as one."""
+        if run.isascii():
+            got = self.pieces(run.lower())
+            return self.word(run) if got == [run] else b"".join([self.runs[p] for p in got])
+        text = unicodedata.normalize("NFC", run)
+        text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+        return b"".join([self.words[p] for p in self.pieces(text)])
+
+    def plain(self, text: str) -> Iterator[bytes]:
+        return map(self.runs.__getitem__, [x for x in self.spaces(text) if x] if self.odd(text) else text.split())
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers; added tokens in the text become their ids."""
+        if "<|" not in text:
+            return b"".join(self.plain(text))
+        return b"".join([b"".join([self.added[x].to_bytes(4, "little")] if x in self.added else self.plain(x)) for x in self.split_added(text)])
+
+    def decode(self, ids: bytes) -> str:
+        """The text of ids; every id's name, the suffix that ends words included, is set off by a blank."""
+        return " ".join(map(self.names.__getitem__, array("I", ids)))
 
 
 _loaded: dict[str, WordBpe] = {}
@@ -143,10 +162,10 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, key: str =
             for lo in range(0, len(batch), 512):
                 part = batch.iloc[lo : lo + 512]
                 got = [bpe.encode(t or "") for t in part["t"]]
-                yield pd.DataFrame({"k": part["k"].array, "n_tokens": [len(g[0]) // 4 for g in got], "ids": [g[0] for g in got], "decoded": [g[1] for g in got]})
+                yield pd.DataFrame({"k": part["k"].array, "n_tokens": [len(g) // 4 for g in got], "ids": got, "decoded": list(map(bpe.decode, got))})
 
     rows = docs_only(docs, key, text).toDF("k", "t")
-    return rows.mapInPandas(encode, f"k {kind}, n_tokens long, ids binary, decoded string").withColumnRenamed("k", key)
+    return map_frames(rows, encode, f"k {kind}, n_tokens long, ids binary, decoded string").withColumnRenamed("k", key)
 
 
 def digest_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -158,15 +177,15 @@ def digest_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFram
         for batch in batches:
             rows = []
             for t in batch["t"]:
-                ids, decoded = bpe.encode(t or "")
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()))
+                ids = bpe.encode(t or "")
+                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode(ids).encode("utf-8", "surrogatepass")).hexdigest()))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "k", batch["k"].array)
             yield out
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs_only(docs, "doc_id", "text").toDF("k", "t")
-    return rows.mapInPandas(encode, f"k {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").select(F.col("k").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+    return map_frames(rows, encode, f"k {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").select(F.col("k").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op10_bpe(spark, sf_dir: str) -> DataFrame:
