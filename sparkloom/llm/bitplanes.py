@@ -11,9 +11,9 @@ File format (all integers little-endian):
     footer          uint64 index offset, uint64 index length, uint64 ids, uint64 documents, b"SLBITPL1"
 
 A block is decoded alone through the index, so readers seek and hold one block and one group at a time.
-Documents are range-partitioned by id (one exchange of the texts); each task streams its sorted rows into
-one file, under a name of its own attempt that is moved into place when it is whole. A rerun task writes the
-same bytes again, so lost executors cost only their own tasks.
+Documents are range-partitioned by id, and rows of one id by their texts' hashes (one exchange of the texts), into as many ranges as their
+bytes ask for; each task streams its sorted rows into one file, under a name of its own attempt that is moved into place
+when it is whole. A rerun task writes the same bytes again, so lost executors cost only their own tasks.
 """
 
 from __future__ import annotations
@@ -21,23 +21,29 @@ from __future__ import annotations
 import json
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm._common import docs_only, new_folder
+from sparkloom.llm._common import Kept, docs_only, map_frames, new_folder
+from sparkloom.llm.bpe import byte_letters
 
 MAGIC = b"SLBITPL1"
 BLOCK = 1 << 16
 GROUP = 1 << 14
 LEVEL = 1
-#: Distinct runs whose ids a worker keeps.
-CACHE = 700_000
+#: Bytes of texts in a file, about; bytes that a worker keeps for pieces; characters that are cut into pieces at once.
+FILE_BYTES, CACHE_BYTES, AT_ONCE = 256 << 20, 64 << 20, 1 << 20
+assert array("I").itemsize == 4 and sys.byteorder == "little", "ids are laid out as the machine lays them out"
 
 
 def open_store(path: str):
@@ -161,68 +167,50 @@ class Reader:
                 held = held[n:]
 
 
+# The vocabulary's pattern, and the code points among which Python's classes of letters, digits and white space
+# are the vocabulary's; a text with any other code point goes to the library whole.
+PIECES = r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+PLAIN = (
+    "\\t-\\r -\\u00b1\\u00b4-\\u00b8\\u00ba\\u00bb\\u00bf-\\u052f\\u2000-\\u206f\\u20a0-\\u20cf\\u2190-\\u245f\\u2500-\\u2775\\u2794-\\u2bff"
+    "\\u3000-\\u3006\\u3008-\\u3020\\u3040-\\u30ff\\u4e00-\\u9fef\\uac00-\\ud7a3\\uff01-\\uffef\\U0001f300-\\U0001faff"
+)
+
+
 class ByteBpe:
-    """The tokenizers library, asked once for each distinct run that starts at a space before a non-space.
+    """The tokenizers library, whose BPE model is asked once for each distinct piece.
 
-    The vocabulary's pattern begins a new piece at every such space, so the runs' ids joined are the text's.
-    Texts that hold an added token go to the library whole.
+    A plain text is cut into the pieces of the vocabulary's pattern here; the ids of pieces up to LONGEST characters are kept, up to
+    CACHE_BYTES in two generations (the older one goes when the newer is full), so a worker's memory is bounded.
+    Texts that hold an added token or a code point out of PLAIN go to the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        vocab = self.library.get_vocab()
-        self.lengths = np.zeros(max(vocab.values()) + 1, np.int64)
-        for token, i in vocab.items():
-            self.lengths[i] = len(token)  # the vocabulary writes each byte as one character
-        self.newer, self.older, self.tails = {}, {}, {}
-        self.tailed = re.compile(r"([^\W\d_]+)([.,;:!?%*#&$|]+)").fullmatch
-        self.loose = re.compile(r" \s").search
-        self.cut = re.compile(r" (?=\S)").split
+        self.parts = self.library.model.tokenize
+        self.letters = dict(enumerate(byte_letters()))
+        self.pieces = re.compile(PIECES)
+        self.odd = re.compile(f"[^{PLAIN}]").search
+        self.kept = Kept(self.piece, cache)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def ask(self, runs: list[str]) -> None:
-        """One library call for many runs; the ids' byte lengths tell where each run's ids end."""
-        ids = np.frombuffer(self.whole(" " + " ".join(runs)), "<u4")
-        ends = np.cumsum([len(r.encode()) + 1 for r in runs])
-        cuts = np.searchsorted(np.cumsum(self.lengths[ids]), ends)
-        raw, at = ids.tobytes(), 0
-        for r, cut in zip(runs, (4 * (cuts + 1)).tolist(), strict=True):
-            self.newer[r], at = raw[at:cut], cut
-
-    def learn(self, runs: list[str]) -> None:
-        """Finds the ids of runs not kept yet; letters and the punctuation after them are pieces of their own."""
-        older = self.older
-        self.newer.update((r, older[r]) for r in runs if r in older)
-        pairs = {r: m.groups() if (m := self.tailed(r)) else (r, "") for r in runs if r not in older}
-        if fresh := list(dict.fromkeys(w for w, _ in pairs.values() if w not in self.newer and w not in self.older)):
-            self.ask(fresh)
-        for r, (word, tail) in pairs.items():
-            if tail and tail not in self.tails:
-                if len(self.tails) >= 10_000:
-                    self.tails.clear()
-                self.tails[tail] = self.whole(tail)
-            self.newer[r] = (self.newer.get(word) or self.older[word]) + (tail and self.tails[tail] or b"")
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        """A piece's ids; the model reads each byte as one letter."""
+        return array("I", [t.id for t in self.parts(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
-        if not text or any(a in text for a in self.added):
+        if self.odd(text) or any(a in text for a in self.added):
             return self.whole(text)
-        runs = self.cut(text) if self.loose(text) or text[-1] == " " else text.split(" ")
-        out = [self.whole(runs[0])] if runs[0] else []
-        for lo in range(1, len(runs), CACHE // 8):
-            part = runs[lo : lo + CACHE // 8]
-            got = list(map(self.newer.get, part))
-            if None in got:
-                self.learn([r for r, x in zip(part, got, strict=True) if x is None])
-                got = list(map(self.newer.__getitem__, part))
-            out += got
-        if len(self.newer) > CACHE // 2:
-            self.older, self.newer = self.newer, {}
+        if len(text) <= AT_ONCE:
+            return b"".join(map(self.kept.__getitem__, self.pieces.findall(text)))
+        found, out = self.pieces.finditer(text), []
+        while some := [m.group() for m in islice(found, AT_ONCE // 8)]:
+            out.append(b"".join(map(self.kept.__getitem__, some)))
         return b"".join(out)
 
 
@@ -245,30 +233,33 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
     """Encodes every whole text and writes the ids, documents in ascending doc_id order, one file a range of ids.
 
     Returns one entry a file, in order: file, n_ids, n_docs, start (ids in the files before it). Null and
-    empty texts hold only the end id; null doc_ids come first; repeated rows are all written (equal ids by
-    text); an empty table writes no file. Only the list of files reaches the driver.
+    empty texts hold only the end id; null doc_ids come first; repeated rows are all written, those of one id in the order of their
+    texts' hashes; an empty table writes no file. There are at least as many ranges as shuffle partitions, and more if a file would
+    exceed FILE_BYTES of text. Only the list of files reaches the driver.
     """
     spark, path = docs.sparkSession, vocabulary or default_vocabulary()
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs_only(docs, "doc_id", "text")
+    if parts is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe, out, first, name = load(path), None, None, ""
+        bpe, out = load(path), None
+        number = TaskContext.get().partitionId()  # ranges are numbered in order
+        name = f"{folder}/ids-{number:07d}.slb"
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None), batch["text"], strict=True):
-                if out is None:
-                    first = None if doc_id is None else int(doc_id)
-                    name = f"{folder}/ids-{'null' if first is None else first}.slb"
-                    out = Writer(name)
+                out = out or Writer(name)
                 out.add(None if doc_id is None else int(doc_id), bpe.encode(text or "") + end)
         if out is not None:
             out.close()
-            yield pd.DataFrame({"first": pd.array([first], "Int64"), "file": [name], "n_ids": [out.n_ids], "n_docs": [out.n_docs]})
+            yield pd.DataFrame({"number": [number], "file": [name], "n_ids": [out.n_ids], "n_docs": [out.n_docs]})
 
-    rows = docs_only(docs, "doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    files = rows.mapInPandas(write, "first long, file string, n_ids long, n_docs long").collect()
+    rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
+    files = map_frames(rows, write, "number int, file string, n_ids long, n_docs long").collect()
     start, out = 0, []
-    for f in sorted(files, key=lambda f: (f["first"] is not None, f["first"] or 0)):
+    for f in sorted(files, key=lambda f: f["number"]):
         out.append({"file": f["file"], "n_ids": f["n_ids"], "n_docs": f["n_docs"], "start": start})
         start += f["n_ids"]
     return out
