@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm._common import docs_only, held_out
+from sparkloom.llm._common import docs_only, held_out, map_frames
 
 GRAMS = 1 << 16
 UNIT = 8
@@ -33,7 +33,12 @@ UNKNOWN = "und"
 
 #: ASCII letters and all bytes over 127 stay; the rest separate words.
 _TABLE = bytes(b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
-_letter = re.compile(r"[^\W\d_]").search
+_ascii_letter = re.compile("[A-Za-z]").search
+
+
+def has_letter(text: str) -> bool:
+    """Numerals such as a half or a circled one are no letters."""
+    return bool(_ascii_letter(text)) or any(map(str.isalpha, text))
 
 
 def words_of(text: str) -> list[bytes]:
@@ -68,7 +73,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             yield pd.DataFrame({"lang": lang, "gram": used.astype(np.int32), "n": have[used]})
 
     rows = docs_only(docs, "doc_id", "text", "lang").filter(~held_out("doc_id")).filter("lang is not null and text is not null").select("text", "lang")
-    total = rows.mapInPandas(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    total = map_frames(rows, count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(total["lang"].unique().tolist())
     table = np.full((GRAMS, len(langs)), SMOOTH)
     for i, lang in enumerate(langs):
@@ -163,7 +168,7 @@ def predict_texts(texts: list[str | None], langs: list[str], table: np.ndarray)
 
     size = 0
     for i, text in enumerate(texts):
-        if langs and text and _letter(text):
+        if langs and text and has_letter(text):
             held.append((i, unit_likelihoods(text, table)))
             size += len(held[-1][1])
             if size > 40_000:
@@ -192,7 +197,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(docs["doc_id"], held_out(docs["doc_id"]).alias("held_out"), docs["text"].alias("t"))
-    return rows.mapInPandas(score, f"doc_id {kind}, held_out boolean, lang_pred string, score double, n_langs int, shares map<string,double>")
+    return map_frames(rows, score, f"doc_id {kind}, held_out boolean, lang_pred string, score double, n_langs int, shares map<string,double>")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
@@ -210,7 +215,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
             got = predict_texts(batch["text"].tolist(), *shared.value)
             yield batch[[g[0] != UNKNOWN for g in got]]
 
-    return docs.mapInPandas(keep, docs.schema)
+    return map_frames(docs, keep, docs.schema)
 
 
 def op5_language(spark, sf_dir: str) -> DataFrame:

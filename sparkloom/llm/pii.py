@@ -6,10 +6,10 @@ candidate, base or not, is voted on (for, against or no vote) by labelers of thr
 labelers (shape, check digits), gazetteer labelers (known prefixes, top-level domains, reserved ranges) and context
 labelers (words before the span, what stands around it).
 
-Spark counts the vote patterns of all candidates of all documents; there are at most 3 ** labelers patterns a kind, so the
-counts that reach the driver are bounded. Expectation-maximisation on the counts estimates each labeler's
-reliability and each pattern's probability; a logistic regression on votes and shape, trained
-on those probabilities, is the final span classifier. Two passes over the documents, no shuffle of texts.
+Spark counts the vote patterns and shapes (levels of length, digits and entropy) of all candidates of all documents; there are at
+most 3 ** labelers patterns and 280 shapes a kind, so the counts that reach the driver are bounded. Expectation-maximisation on
+the vote patterns' counts estimates each labeler's reliability and each pattern's probability; a logistic regression on votes and shape,
+trained on those probabilities, is the final span classifier. Two passes over the documents, no shuffle of texts.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm._common import docs_only
+from sparkloom.llm._common import docs_only, map_frames
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "account", "card_like", "phone_like")
@@ -161,6 +162,19 @@ def votes(text: str, start: int, end: int, kind: str) -> tuple[int, ...]:
     return shape, check, gazetteer, context, counter, border
 
 
+def shape_of(span: str) -> tuple[int, int, int]:
+    """Levels of a span's length (0 to 7), share of digits (0 to 4) and entropy in bits (0 to 6)."""
+    return min(7, len(span).bit_length()), 4 * sum(map(str.isdigit, span)) // max(1, len(span)), min(6, int(entropy(span)))
+
+
+Seen = tuple[str, tuple[int, ...], tuple[int, int, int]]
+
+
+def seen(text: str, start: int, end: int, kind: str) -> Seen:
+    """What the classifier knows of a span: kind, votes, shape."""
+    return kind, votes(text, start, end, kind), shape_of(text[start:end])
+
+
 def expectation_maximisation(counts: dict[tuple[int, ...], int], steps: int = 100) -> tuple[dict[tuple[int, ...], float], float, np.ndarray]:
     """Dawid and Skene's model for one kind: (probability of each vote pattern, prior, reliabilities).
 
@@ -187,24 +201,27 @@ def expectation_maximisation(counts: dict[tuple[int, ...], int], steps: int = 10
     return dict(zip(patterns, p.tolist(), strict=True)), prior, rel
 
 
-def span_features(kind: str, vote: tuple[int, ...]) -> list[float]:
-    """The classifier's inputs: votes for, votes against, the kind."""
-    return [*(float(x > 0) for x in vote), *(float(x < 0) for x in vote), *(float(kind == k) for k in KINDS)]
+def span_features(kind: str, vote: tuple[int, ...], shape: tuple[int, int, int] = (0, 0, 0)) -> list[float]:
+    """The classifier's inputs: votes for, votes against, the kind, the shape (where it is known)."""
+    return [*(float(x > 0) for x in vote), *(float(x < 0) for x in vote), *(float(kind == k) for k in KINDS), shape[0] / 7, shape[1] / 4, shape[2] / 6]
 
 
-def train_classifier(counts: dict[tuple[str, tuple[int, ...]], int]) -> np.ndarray:
-    """A logistic regression on all candidates' vote patterns, with EM's probabilities as targets.
+def train_classifier(counts: dict[Seen, int]) -> np.ndarray:
+    """A logistic regression on all candidates' votes and shapes, with EM's probabilities of the votes as targets.
 
     Patterns weigh as often as they occur, at any size: a rare kind isn't pulled to the prior as others grow.
     """
     x, y, n = [], [], []
-    for kind in sorted({k for k, _ in counts}):
-        own = {v: c for (k, v), c in counts.items() if k == kind}
-        p, _, _ = expectation_maximisation(own)
-        for v, c in sorted(own.items()):
-            x.append(span_features(kind, v))
-            y.append(p[v])
-            n.append(c)
+    for kind in sorted({k for k, *_ in counts}):
+        own: Counter = Counter()
+        for (k, v, *_), c in counts.items():
+            own[v] += c if k == kind else 0
+        p, _, _ = expectation_maximisation({v: c for v, c in own.items() if c})
+        for (k, v, *s), c in sorted(counts.items()):
+            if k == kind:
+                x.append(span_features(kind, v, *s))
+                y.append(p[v])
+                n.append(c)
     width = len(span_features(KINDS[0], (0,) * len(LABELERS))) + 1
     beta = np.zeros(width)
     if not x:
@@ -220,36 +237,42 @@ def train_classifier(counts: dict[tuple[str, tuple[int, ...]], int]) -> np.ndarr
     return beta
 
 
-def fit(docs: DataFrame, text: str = "text") -> dict[tuple[str, tuple[int, ...]], float]:
-    """The final classifier as a table: (kind, votes) -> probability, from the vote patterns of all documents."""
+def fit(docs: DataFrame, text: str = "text") -> dict[Seen, float]:
+    """The final classifier as a table: (kind, votes, shape) -> probability, from the candidates of all documents."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
+        found: Counter = Counter()
         for batch in batches:
             for t in batch["t"]:
                 if t and (_digits(t) or "@" in t):
-                    seen.update((k, votes(t, a, b, k)) for a, b, k in chain(base_spans(t), candidates(t)))
-        if seen:
-            yield pd.DataFrame({"kind": [k for k, _ in seen], "v": [list(v) for _, v in seen], "n": list(seen.values())})
+                    found.update(seen(t, a, b, k) for a, b, k in chain(base_spans(t), candidates(t)))
+        if found:
+            yield pd.DataFrame({"kind": [k for k, *_ in found], "v": [list(v) for _, v, _ in found], "s": [list(s) for *_, s in found], "n": list(found.values())})
 
-    total = docs_only(docs, text).toDF("t").mapInPandas(count, "kind string, v array<int>, n long").groupBy("kind", "v").agg(F.sum("n").alias("n")).collect()
-    counts = {(r["kind"], tuple(r["v"])): r["n"] for r in total}
+    total = map_frames(docs_only(docs, text).toDF("t"), count, "kind string, v array<int>, s array<int>, n long").groupBy("kind", "v", "s").agg(F.sum("n").alias("n")).collect()
+    counts = {(r["kind"], tuple(r["v"]), tuple(r["s"])): r["n"] for r in total}
     beta = train_classifier(counts)
-    return {(k, v): float(1 / (1 + math.exp(-float(np.clip(np.dot(span_features(k, v), beta[:-1]) + beta[-1], -30, 30))))) for k, v in counts}
+    return {x: float(1 / (1 + math.exp(-float(np.clip(np.dot(span_features(*x), beta[:-1]) + beta[-1], -30, 30))))) for x in counts}
 
 
-def find(text: str, model: dict[tuple[str, tuple[int, ...]], float]) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+def find(text: str, model: dict[Seen, float]) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and the spans that the classifier adds; an added span overlaps no span that comes before it in
     the order of base spans, then falling probability, then place."""
     if not (_digits(text) or "@" in text):
         return [], []
     base = base_spans(text)
-    more = sorted((-p, a, b, k) for a, b, k in candidates(text) if (p := model.get((k, votes(text, a, b, k)), 0.0)) >= THRESHOLD)
-    taken = [(a, b) for a, b, _ in base]
+    more = sorted((-p, a, b, k) for a, b, k in candidates(text) if (p := model.get(seen(text, a, b, k), 0.0)) >= THRESHOLD)
+    taken: list[tuple[int, int]] = []  # disjoint, in order
+    for a, b, _ in base:
+        if taken and a < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
     added = []
     for _, a, b, k in more:
-        if all(b <= x or y <= a for x, y in taken):
-            taken.append((a, b))
+        at = bisect_left(taken, (a, b))
+        if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or b <= taken[at][0]):
+            taken.insert(at, (a, b))
             added.append((a, b, k))
     return base, added
 
@@ -279,10 +302,10 @@ def find_spans(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(docs["doc_id"], docs["text"].alias("t"))
-    return rows.mapInPandas(mark, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return map_frames(rows, mark, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
-def redact(text: str, model: dict[tuple[str, tuple[int, ...]], float]) -> str:
+def redact(text: str, model: dict[Seen, float]) -> str:
     """The text with each found span replaced by its kind in brackets; of overlapping spans, the union is replaced once."""
     base, added = find(text, model)
     out, at, end = [], 0, -1
@@ -308,7 +331,7 @@ def redact_documents(docs: DataFrame) -> DataFrame:
                 batch["n_chars"] = [c if a == b else len(b) for c, a, b in zip(batch["n_chars"], was, now, strict=True)]
             yield batch
 
-    return docs.mapInPandas(clean, docs.schema)
+    return map_frames(docs, clean, docs.schema)
 
 
 def op4_personal_data(spark, sf_dir: str) -> DataFrame:
