@@ -15,14 +15,14 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm._common import docs_only
+from sparkloom.llm._common import docs_only, map_frames
 
 #: Words of a window.
 WINDOW = 10
@@ -41,26 +41,44 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Block:
-    """Benchmark items as word numbers, their known pairs, and each distinct window with its items."""
+    """Benchmark texts (with the ids of the items that have them) as word numbers, their known pairs, and each distinct window."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[list[int | None], str | None]], window: int = WINDOW):
         self.vocab: dict[bytes, int] = {}
         self.items = [(i, np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws], ">u4")) for i, t in items if (ws := words_of(t))]
         self.shortest = min([window, *(len(s) for _, s in self.items)])
         self.base = np.uint64(len(self.vocab) + 1)
         pairs = [s[:-1].astype(np.uint64) * self.base + s[1:] for _, s in self.items]
         self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.uint64)
-        #: Suffix bytes -> (window length, item ids); equal windows are searched once.
-        self.windows: dict[bytes, set[int | None]] = {}
-        self.tails: dict[bytes, bytes] = {}  # a window's longest test suffix, for the longest match
-        for item, s in self.items:
+        #: Window bytes -> the items' numbers in the block; equal windows are searched once.
+        self.windows: dict[bytes, set[int]] = {}
+        self.tails: dict[bytes, list[bytes]] = {}  # the test suffixes that begin with a window, sorted
+        #: The windows that begin with a pair of words, or are one word; a shard is searched only for those whose beginning it holds.
+        self.by_start: dict[int, list[bytes]] = {}
+        for number, (_, s) in enumerate(self.items):
             w = min(window, len(s))
             raw = s.tobytes()
             for j in range(len(s) - w + 1):
                 key = raw[4 * j : 4 * (j + w)]
-                self.windows.setdefault(key, set()).add(item)
-                if len(raw) - 4 * j > len(self.tails.get(key, b"")):
-                    self.tails[key] = raw[4 * j :]
+                if key not in self.windows:
+                    self.windows[key], self.tails[key] = set(), []
+                    self.by_start.setdefault(self.start(s[j : j + 2].tolist() if w > 1 else [int(s[j])]), []).append(key)
+                self.windows[key].add(number)
+                self.tails[key].append(raw[4 * j :])
+        for key, own in self.tails.items():
+            self.tails[key] = sorted(set(own))
+
+    def start(self, words: list[int]) -> int:
+        """The number of a pair of words; of a word alone, less than any pair's."""
+        return words[0] if len(words) == 1 else words[0] * int(self.base) + words[1]
+
+    def present(self, s: np.ndarray) -> Iterator[bytes]:
+        """The windows whose beginning occurs in a shard's runs."""
+        starts = [np.unique(s[s > 0])] if self.shortest == 1 else []
+        if len(s) > 1:
+            starts.append(np.unique(s[:-1].astype(np.uint64) * self.base + s[1:].astype(np.uint64)))
+        for start in chain.from_iterable(x.tolist() for x in starts):
+            yield from self.by_start.get(start, ())
 
     def runs(self, ids: np.ndarray) -> np.ndarray:
         """Which words of a shard can belong to a match: they lie in a run of known pairs (or words) long enough."""
@@ -107,6 +125,7 @@ class Shard:
         s = np.where(self.spots >= 0, ids[self.spots], 0) if len(spots) else np.zeros(0, np.int64)
         self.order = suffix_array(np.append(s, 0)).tolist() if len(spots) else []
         self.raw = np.append(s, 0).astype(">u4").tobytes()
+        self.words = s
 
     def span(self, prefix: bytes) -> tuple[int, int]:
         n, raw = len(prefix), self.raw
@@ -114,6 +133,12 @@ class Shard:
         lo = bisect_left(self.order, prefix, key=key)
         return lo, bisect_right(self.order, prefix, lo, key=key) if lo < len(self.order) and key(self.order[lo]) == prefix else lo
 
+    def longest(self, p: int, suffixes: list[bytes]) -> int:
+        """Words that the shard's suffix at p has in common with one of the sorted test suffixes: a neighbour of its place among them."""
+        here = self.raw[4 * p : 4 * p + max(map(len, suffixes))]
+        at = bisect_left(suffixes, here)
+        return max(self.match(p, s) for s in suffixes[max(0, at - 1) : at + 1])
+
     def match(self, p: int, suffix: bytes) -> int:
         """Words that the shard's suffix at p and a test suffix have in common."""
         here = self.raw[4 * p : 4 * p + len(suffix)]
@@ -138,7 +163,7 @@ def search_shard(texts: list[str | None], block: Block, window: int = WINDOW) ->
     items: dict[int, set] = {}
     longest: dict[int, int] = {}
     if shard.order:
-        for key, ids in block.windows.items():
+        for key in block.present(shard.words):
             lo, hi = shard.span(key)
             if lo == hi:
                 continue
@@ -146,9 +171,9 @@ def search_shard(texts: list[str | None], block: Block, window: int = WINDOW) ->
             places = shard.spots[np.array(found)]
             for q, p, d in zip(found, places.tolist(), (np.searchsorted(starts, places, "right") - 1).tolist(), strict=True):
                 spans.setdefault(d, []).append([p - starts[d], p - starts[d] + len(key) // 4])
-                items.setdefault(d, set()).update(ids)
-                longest[d] = max(longest.get(d, 0), shard.match(q, block.tails[key]))
-    return [(len(ws), merged(spans.get(d, [])), items.get(d, set()), longest.get(d, 0)) for d, ws in enumerate(words)]
+                items.setdefault(d, set()).update(block.windows[key])
+                longest[d] = max(longest.get(d, 0), shard.longest(q, block.tails[key]))
+    return [(len(ws), merged(spans.get(d, [])), {i for n in items.get(d, ()) for i in block.items[n][0]}, longest.get(d, 0)) for d, ws in enumerate(words)]
 
 
 def merged(spans: list[list[int]]) -> list[list[int]]:
@@ -161,6 +186,19 @@ def merged(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
+def blocks_of(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """The distinct texts (ids, text, block) and the number of blocks of about BLOCK_BYTES; repeated items are one text with several ids."""
+    texts = benchmark.filter("text is not null").groupBy("text").agg(F.collect_set("item_id").alias("ids"), F.max(F.col("item_id").isNull()).alias("nulls"))
+    texts = texts.select(F.when(F.col("nulls"), F.array_append(F.col("ids"), F.lit(None))).otherwise(F.col("ids")).alias("ids"), "text")
+    total = texts.agg(F.sum(F.octet_length("text") + 8 * F.size("ids"))).first()[0] or 0
+    blocks = max(1, -(-total // BLOCK_BYTES))
+    return texts.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks))), blocks
+
+
+def block_items(texts: DataFrame, block: int) -> list[tuple[list[int | None], str | None]]:
+    return [(r["ids"], r["text"]) for r in texts.filter(F.col("block") == block).select("ids", "text").collect()]
+
+
 FOUND = "n_words long, hits array<array<long>>, items array<string>, longest long"
 
 
@@ -172,14 +210,11 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     listed; repeated rows and repeated items are each searched, item ids are listed once. Other columns are
     left behind (the text too, unless ``keep_text``).
     """
-    total = benchmark.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
     kind = docs.schema[key].dataType.simpleString()
     out = docs_only(docs, key, text).toDF("k", "t").withColumns({"n_words": F.lit(0).cast("long"), "hits": F.lit(None).cast("array<array<long>>"), "items": F.lit(None).cast("array<string>"), "longest": F.lit(0).cast("long")})
-    spread = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(blocks))
+    items, blocks = blocks_of(benchmark)
     for b in range(blocks):
-        rows = benchmark.filter(spread == b).select("item_id", "text").collect()
-        shared = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in rows])
+        shared = docs.sparkSession.sparkContext.broadcast(block_items(items, b))
 
         def find(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             block = Block(shared.value, window)
@@ -195,7 +230,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
                     yield part if keep_text or b + 1 < blocks else part.drop(columns="t")
 
         text_kind = "t string, " if keep_text or b + 1 < blocks else ""
-        out = out.mapInPandas(find, f"k {kind}, {text_kind}{FOUND}")
+        out = map_frames(out, find, f"k {kind}, {text_kind}{FOUND}")
     return out.withColumnsRenamed({"k": key, "t": text})
 
 
@@ -209,11 +244,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents (all columns) in which no window of the benchmark occurs; decided row by row, without a join."""
-    block_bytes = benchmark.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    blocks = max(1, -(-block_bytes // BLOCK_BYTES))
-    spread = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(blocks))
+    items, blocks = blocks_of(benchmark)
     for b in range(blocks):
-        shared = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in benchmark.filter(spread == b).select("item_id", "text").collect()])
+        shared = docs.sparkSession.sparkContext.broadcast(block_items(items, b))
 
         def clean(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             block = Block(shared.value, window)
@@ -222,7 +255,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
                     part = batch.iloc[lo : lo + SHARD_ROWS]
                     yield part[[not g[1] for g in search_shard(part["text"].tolist(), block, window)]]
 
-        docs = docs.mapInPandas(clean, docs.schema)
+        docs = map_frames(docs, clean, docs.schema)
     return docs
 
 
