@@ -25,10 +25,11 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm._common import Stage, new_folder
+from sparkloom.llm._common import Stage, map_frames, new_folder
 from sparkloom.llm.bitplanes import open_store
 
 LEAST = 1000
@@ -47,9 +48,8 @@ def b32(hex_digest: str) -> str:
 def record_table(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """Per page: page_id, url, payload binary (null html: empty), size, digest, refers_to (null: a response).
 
-    Equal pages with an equal id are records of their own; all but one of the rows with the largest id would be
-    responses too, which repeats a payload but loses nothing. A null id is no target of a revisit unless all
-    of a payload's ids are null, and then each is a response.
+    Equal pages with an equal id are records of their own; of those with the largest id the writer makes one the response and
+    the others revisits of it. A null id is no target of a revisit unless all of a payload's ids are null, and then each is a response.
     """
     payload = F.encode(F.coalesce(pages["html"], F.lit("")), "UTF-8")
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), F.coalesce(pages["url"], F.lit("")).alias("url"), payload.alias("payload"))
@@ -65,24 +65,25 @@ def chunk_rows(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Records as rows (page_id, url, size, digest, refers_to, chunk_no, bytes); a revisit has one empty chunk."""
     last = F.when(F.col("refers_to").isNotNull() | (F.col("size") == 0), 0).otherwise(F.floor((F.col("size") - 1) / chunk)).cast("int")
     cut = F.when(F.col("refers_to").isNotNull(), F.lit(b"")).otherwise(F.expr(f"substring(payload, chunk_no * {chunk} + 1, {chunk})"))
-    return records.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), last))).select("page_id", "url", "size", "digest", "refers_to", "chunk_no", cut.alias("bytes"))
+    return records.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), last))).select(*[c for c in ("record", "page_id", "url", "size", "digest", "refers_to", "chunk_no") if c in [*records.columns, "chunk_no"]], cut.alias("bytes"))
 
 
-def uri_of(page_id: int | None) -> str:
-    return f"<urn:sparkloom:page:{'null' if page_id is None else page_id}>"
+def uri_of(page_id: int | None, digest: str, repeat: int = 0) -> str:
+    """A record's own id: of several equal rows, each but the first is numbered."""
+    return f"<urn:sparkloom:page:{'null' if page_id is None else page_id}:{digest}{f':{repeat}' if repeat else ''}>"
 
 
-def header(page_id: int | None, url: str, size: int, digest: str, refers_to: int | None) -> bytes:
+def header(page_id: int | None, url: str, size: int, digest: str, refers_to: int | None, repeat: int = 0) -> bytes:
     """A record's header lines; the block of a response is the payload, that of a revisit is empty."""
     url = "".join(c for c in url if c not in "\r\n")
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {uri_of(page_id)}", f"WARC-Target-URI: {url}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: {b32(digest)}", "Content-Type: text/html;charset=utf-8", f"X-Payload-Length: {size}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {uri_of(page_id, digest, repeat)}", f"WARC-Target-URI: {url}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: {b32(digest)}", "Content-Type: text/html;charset=utf-8", f"X-Payload-Length: {size}"]
     if refers_to is not None:
-        lines += [f"WARC-Refers-To: {uri_of(refers_to)}", f"WARC-Profile: {PROFILE}"]
+        lines += [f"WARC-Refers-To: {uri_of(refers_to, digest)}", f"WARC-Profile: {PROFILE}"]
     lines.append(f"Content-Length: {size if refers_to is None else 0}")
     return "\r\n".join(lines).encode("utf-8", "surrogatepass") + EOL + EOL
 
 
-def write_archives(pages: DataFrame, folder: str, parts: int | None = None, chunk: int = CHUNK) -> list[str]:
+def write_archives(pages: DataFrame, folder: str, parts: int | None = None, chunk: int = CHUNK, least: int = LEAST) -> list[str]:
     """Writes a record for every page and returns the archives' paths, in order of the page ids (nulls first).
 
     Tasks take ranges of ids; only the list of archives reaches the driver. An empty table writes none.
@@ -90,38 +91,46 @@ def write_archives(pages: DataFrame, folder: str, parts: int | None = None, chun
     parts = parts or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, part, path, first, left, digest, pack = None, "", "", None, 0, None, None
+        out, part, path, left, digest, pack, last, repeat, empty = None, "", "", 0, None, None, None, 0, False
         for batch in batches:
             for r in batch.astype({"page_id": object, "refers_to": object}).itertuples(index=False):
                 page_id, refers_to = (None if pd.isna(x) else int(x) for x in (r.page_id, r.refers_to))
                 if out is None:
-                    first = page_id
                     store, root = open_store(folder)
                     store.create_dir(root, recursive=True)
-                    name = f"pages-{'null' if page_id is None else page_id}.warc.gz"
+                    name = f"pages-{TaskContext.get().partitionId():07d}.warc.gz"
                     part, path = f"{root}/{name}.{uuid.uuid4().hex}.part", f"{root}/{name}"
                     out = store.open_output_stream(part, compression=None)
                 if r.chunk_no == 0:
+                    # equal rows follow each other: the first of the response's id is the response, the others revisit it
+                    repeat = repeat + 1 if last == (page_id, r.digest) else 0
+                    last = (page_id, r.digest)
+                    empty = refers_to is not None or repeat > 0 and page_id is not None and r.size >= least
+                    refers_to = page_id if empty and refers_to is None else refers_to
                     pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-                    out.write(pack.compress(header(page_id, r.url, r.size, r.digest, refers_to)))
+                    out.write(pack.compress(header(page_id, r.url, r.size, r.digest, refers_to, repeat)))
                     left, digest = 0 if refers_to is not None else r.size, hashlib.sha1()
-                out.write(pack.compress(r.bytes))
-                digest.update(r.bytes)
-                left -= len(r.bytes)
+                elif empty:
+                    continue
+                if not empty:
+                    out.write(pack.compress(r.bytes))
+                    digest.update(r.bytes)
+                    left -= len(r.bytes)
                 if left == 0:
-                    if refers_to is None and digest.hexdigest() != r.digest:
+                    if not empty and digest.hexdigest() != r.digest:
                         raise ValueError(f"the chunks of page {page_id} don't make up its payload")
                     out.write(pack.compress(EOL + EOL) + pack.flush())
         if out is not None:
             out.close()
             store.move(part, path)
-            yield pd.DataFrame({"file": [f"{folder}/{path.rpartition('/')[2]}"], "first": pd.array([first], "Int64")})
+            yield pd.DataFrame({"file": [f"{folder}/{path.rpartition('/')[2]}"], "number": [TaskContext.get().partitionId()]})
 
     # the record number keeps the chunks of rows that share an id apart
-    rows = chunk_rows(record_table(pages).withColumn("record", F.monotonically_increasing_id()), chunk)
-    rows = rows.withColumn("key", F.coalesce("page_id", F.lit(-(1 << 63)))).repartitionByRange(parts, "key").sortWithinPartitions("key", "record", "chunk_no").drop("key", "record")
-    files = rows.mapInPandas(write, "file string, first long").collect()
-    return [f["file"] for f in sorted(files, key=lambda f: (f["first"] is not None, f["first"] or 0))]
+    rows = chunk_rows(record_table(pages, least).withColumn("record", F.monotonically_increasing_id()), chunk)
+    # rows of one id are dealt by their digests too; equal rows stay together
+    rows = rows.withColumn("key", F.coalesce("page_id", F.lit(-(1 << 63)))).repartitionByRange(parts, "key", "digest").sortWithinPartitions("key", "digest", "record", "chunk_no").drop("key", "record")
+    files = map_frames(rows, write, "file string, number int").collect()
+    return [f["file"] for f in sorted(files, key=lambda f: f["number"])]
 
 
 class Unpacked:
@@ -218,7 +227,7 @@ def read_chunks(spark: SparkSession, files: list[str], chunk: int = CHUNK, with_
 
 
 def _id(uri: str | None) -> int | None:
-    tail = uri.rpartition(":")[2].rstrip(">") if uri else "null"
+    tail = uri.split(":")[3] if uri else "null"
     return None if tail == "null" else int(tail)
 
 
