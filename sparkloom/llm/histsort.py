@@ -24,8 +24,8 @@ from sparkloom.llm._common import Stage
 SHARDS = 8
 #: Of a shard's equal share of the bytes: how far a splitter may be from its place.
 TOLERANCE = 0.002
-#: Cells a range is cut into in each round.
-CELLS = 1024
+#: Cells a range is cut into in each round, and cells of all ranges at most: they reach the driver. Many ranges take more rounds.
+CELLS, ALL_CELLS = 1024, 1 << 17
 PART_ROWS = 500_000
 LEAST_PARTS = 64
 HASH_BITS = 62
@@ -41,7 +41,9 @@ class Range:
 
     def __init__(self, hash_: int | None, lo: int, hi: int, before: float):
         self.hash, self.lo, self.hi, self.before = hash_, lo, hi, before
-        self.step = -(-(hi - lo + 1) // CELLS)
+
+    def step(self, cells: int) -> int:
+        return -(-(self.hi - self.lo + 1) // cells)
 
     def first(self) -> tuple[int, int]:
         return (self.lo, LEAST) if self.hash is None else (self.hash, self.lo)
@@ -62,12 +64,13 @@ def find_splitters(keys: DataFrame, places: dict[int, tuple[float, float]], weig
         # Ranges are disjoint: those of one round are cells of the last round's, or doc_id ranges within a single hash.
         ranges = sorted({(r.first(), r.last()): r for r in open_.values()}.items(), key=lambda x: x[0])
         own = [r for _, r in ranges]
+        cut = max(4, min(CELLS, ALL_CELLS // len(own)))
         put = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
         placed = keys.withColumn("n", part_of([k[0] for k, _ in ranges]) - 1).filter("n >= 0")
         inside = placed.filter(F.struct("h", "d") <= F.struct(F.get(put(k[1][0] for k, _ in ranges), "n").alias("h"), F.get(put(k[1][1] for k, _ in ranges), "n").alias("d")))
         field = F.when(F.get(F.array(*[F.lit(r.hash is None) for r in own]), "n"), F.col("h")).otherwise(F.col("d"))
         at = field.cast("decimal(20,0)") - F.get(put(r.lo for r in own), "n")
-        step = F.get(put(r.step for r in own), "n")
+        step = F.get(put(r.step(cut) for r in own), "n")
         cells = inside.groupBy("n", F.floor(at / step).cast("int").alias("cell")).agg(F.sum(weight).alias("w"), F.min("h").alias("h0"), F.max("h").alias("h1"), F.min("d").alias("d0"), F.max("d").alias("d1")).collect()
         by_range: dict[int, list] = {}
         for c in sorted(cells, key=lambda c: (c["n"], c["cell"])):
@@ -157,6 +160,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, tolerance: float = TO
     first = [0, *(bisect_left(cuts, b) + 1 for b in borders)]
     dealt = rows.withColumn("part", part_of(cuts)).withColumn("shard", F.size(F.filter(F.array(*[F.lit(x) for x in first[1:]]), lambda x: x <= F.col("part"))) if len(first) > 1 else F.lit(0))
     dealt = stage.keep(dealt)
+    stage.drop(rows)
     counts = {r["part"]: r["n"] for r in dealt.groupBy("part").agg(F.count("*").alias("n")).collect()}
     offsets, at, shard = [], 0, 0
     for p in range(len(cuts) + 1):

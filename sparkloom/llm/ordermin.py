@@ -33,10 +33,11 @@ LONG = 32
 ENTRIES, TUPLE = 64, 2
 #: Visits after which few entries still hold fewer than TUPLE k-mers.
 DEALT = 448
-#: Places are kept in so many low bits; in a longer text they begin again from 0.
-PLACES = (1 << 24) - 1
-#: Documents in a bucket of neighbouring ids.
-BUCKET_ROWS = 1500
+#: Places are kept in so many low bits: an array of Spark's holds fewer than 2 ** 28 numbers, as it has less than 2 ** 31 bytes.
+PLACE_BITS = 28
+PLACES = (1 << PLACE_BITS) - 1
+#: Documents in a bucket of neighbouring ids, and buckets at most (their bounds are literals of the plan); beyond, buckets grow.
+BUCKET_ROWS, MOST_BUCKETS = 1500, 1 << 14
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -45,7 +46,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def packed(h: Column, p: Column) -> Column:
-    """A hash's leading 40 bits and a 24-bit place in one number, which sorts by hash first."""
+    """A hash's leading bits and a place in one number, which sorts by hash first."""
     return h.bitwiseAND(F.lit(~PLACES)).bitwiseOR(p.cast("long").bitwiseAND(F.lit(PLACES)))
 
 
@@ -88,7 +89,7 @@ def fingerprint(text: Column, entries: int = ENTRIES, size: int = TUPLE, dealt:
 
     def step(v: Column) -> Column:
         """Odd, so that a way visits every entry; of the hash's last bits, which no rank of round 0 uses."""
-        return F.shiftrightunsigned(v, 24).bitwiseAND(F.lit(ways // 2 - 1)) * 2 + 1
+        return F.shiftrightunsigned(v, PLACE_BITS).bitwiseAND(F.lit(ways // 2 - 1)) * 2 + 1
 
     def start(v: Column) -> Column:
         return F.shiftrightunsigned(v, 64 - bits)
@@ -126,8 +127,8 @@ def fingerprint(text: Column, entries: int = ENTRIES, size: int = TUPLE, dealt:
 
     def in_order(own: Column) -> Column:
         """The selected k-mers by place: place and hash change sides, and are sorted again."""
-        by_place = F.sort_array(F.transform(own, lambda v: F.shiftleft(v.bitwiseAND(F.lit(PLACES)), 40).bitwiseOR(F.shiftrightunsigned(v, 24))))
-        return F.xxhash64(F.transform(by_place, lambda x: x.bitwiseAND(F.lit((1 << 40) - 1))))
+        by_place = F.sort_array(F.transform(own, lambda v: F.shiftleft(v.bitwiseAND(F.lit(PLACES)), 64 - PLACE_BITS).bitwiseOR(F.shiftrightunsigned(v, PLACE_BITS))))
+        return F.xxhash64(F.transform(by_place, lambda x: x.bitwiseAND(F.lit((1 << (64 - PLACE_BITS)) - 1))))
 
     def selected(x: Column) -> Column:
         rounds = F.least(F.lit(ways), F.ceil(F.lit(dealt) / F.size(x))).cast("long")
@@ -160,7 +161,7 @@ def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     n = rows.count()
-    bounds = bounds_of(rows, "doc_id", max(1, n // bucket_rows))
+    bounds = bounds_of(rows, "doc_id", max(1, min(n // bucket_rows, MOST_BUCKETS)))
     rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(bucket_of("doc_id", bounds)))
     order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc()]
     # which buckets hold rows, and each one's first id: a row or so a bucket

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm._common import docs_only, held_out
+from sparkloom.llm._common import docs_only, held_out, map_frames
 
 FIT_ROWS = 30_000
 #: A learnt insult is in at least this share of the toxic rows (and 5 rows), and so many times likelier in them.
@@ -161,15 +161,15 @@ class Grammar:
         return (*(math.log1p(seen[x]) for x in WEIGHT), max(weights, default=0.0), math.log1p(max(0.0, sum(weights))), float(bool(found)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Newton's method for a ridge-penalised logistic regression; the last coefficient is the intercept."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
+    """Newton's method for a ridge-penalised logistic regression on rows that occur n times; the last coefficient is the intercept."""
     x = np.column_stack([x, np.ones(len(x))])
     beta, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
     penalty[-1] = 1e-6
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        grad = x.T @ (y - p) - penalty * beta
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), grad)
+        grad = x.T @ (n * (y - p)) - penalty * beta
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), grad)
         beta += step
         if np.abs(step).max() < 1e-8:
             break
@@ -177,7 +177,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[frozenset[str], np.ndarray]:
-    """The insult list and the regression, from at most ``fit_rows`` labelled rows outside the held-out fold."""
+    """The insult list and the regression, from at most ``fit_rows`` labelled rows outside the held-out fold.
+
+    A label that is given twice counts twice, and so does a document that occurs twice.
+    """
     marks = labels.filter("toxic is not null and doc_id is not null").filter(~held_out("doc_id")).select(labels["doc_id"].alias("_id"), F.col("toxic").cast("int").alias("_toxic"))
     picked = marks.orderBy(F.xxhash64("_id"), "_id", "_toxic").limit(fit_rows)
     rows = docs_only(docs, "doc_id", "text").filter("text is not null").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("text", F.col("_toxic").alias("toxic"))
@@ -194,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[f
         rest = [w for w in seen[0] if w not in seen[1]]
         yield pd.DataFrame({"word": rest, "bad": [0] * len(rest), "good": [seen[0][w] for w in rest]})
 
-    words = rows.mapInPandas(count, "word binary, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    words = map_frames(rows, count, "word binary, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     total = words.filter(F.octet_length("word") == 0).first()
     insults = frozenset(INSULTS.split())
     if not total or not total["bad"] or not total["good"]:
@@ -211,11 +214,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[f
             yield pd.DataFrame({"x": [list(grammar.features(t)) for t in batch["text"]], "y": batch["toxic"].to_numpy()})
 
     # Equal rows are counted, not listed: most texts match nothing and share one row.
-    sample = rows.mapInPandas(measure, "x array<double>, y int").groupBy("x", "y").count().toPandas()
+    sample = map_frames(rows, measure, "x array<double>, y int").groupBy("x", "y").count().toPandas()
     x = np.array(sample["x"].tolist())
     y = (sample["y"].to_numpy() > 0).astype(float)
     n = sample["count"].to_numpy()
-    return insults, fit_logistic(np.repeat(x, n, axis=0), np.repeat(y, n))
+    return insults, fit_logistic(x, y, n.astype(float))
 
 
 def score_documents(docs: DataFrame, model: tuple[frozenset[str], np.ndarray]) -> DataFrame:
@@ -237,7 +240,7 @@ def score_documents(docs: DataFrame, model: tuple[frozenset[str], np.ndarray]) -
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(docs["doc_id"], held_out(docs["doc_id"]).alias("held_out"), docs["text"].alias("t"))
-    return rows.mapInPandas(score, f"doc_id {kind}, held_out boolean, score double, predicted int, n_clauses long, weight double")
+    return map_frames(rows, score, f"doc_id {kind}, held_out boolean, score double, predicted int, n_clauses long, weight double")
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
