@@ -102,6 +102,15 @@ def test_shards_are_even_with_hot_groups(spark):
     assert all(r["text_crc32"] == zlib.crc32(dict(texts)[r["doc_id"]].encode()) for r in rows[:50])
 
 
+def test_shards_of_equal_rows_and_few_cells(spark, monkeypatch):
+    """Equal texts are cut by doc_id; with few cells a round the splitters meet the same tolerance."""
+    from sparkloom.llm import histsort as hs
+
+    monkeypatch.setattr(hs, "ALL_CELLS", 64)
+    rows = hs.shard_documents(frame(spark, [(i, "same text") for i in range(4000)])).groupBy("shard").agg(F.sum("size").alias("b"), F.max("slot").alias("m"), F.count("*").alias("n")).collect()
+    assert len(rows) == 8 and all(abs(r["n"] - 500) <= 2 and r["m"] == r["n"] - 1 for r in rows)
+
+
 def test_shards_odd_rows(spark, odd, empty):
     from sparkloom.llm.histsort import shard_documents
 
@@ -266,6 +275,21 @@ def test_long_secrets_are_candidates(spark):
             assert f"secret:9:{len(t) - 5}" in rows[i] and clean[i] == 'api key "[SECRET]" end'
 
 
+def test_many_spans_in_one_text():
+    """A long text of numbers is done in seconds, and added spans overlap nothing taken before them."""
+    import time
+
+    from sparkloom.llm.pii import KINDS, candidates, find, seen
+
+    text = " ; ".join(f"415 555 {i:04d} a{'0f' * 20}{i:05d} +1415555{i:04d}" for i in range(8000))
+    model = {seen(text, a, b, k): 0.9 for a, b, k in candidates(text)}
+    began = time.process_time()
+    base, added = find(text, model)
+    assert time.process_time() - began < 60 and len(base) >= 8000 and len(added) >= 8000
+    spans = sorted((a, b) for a, b, _ in added)
+    assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:])) and {k for *_, k in added} <= set(KINDS)
+
+
 def test_rare_kinds_do_not_change_with_size():
     """A kind of fixed count keeps its probabilities while the others grow."""
     from sparkloom.llm.pii import span_features, train_classifier
@@ -309,6 +333,12 @@ def test_language_odd_rows(spark, odd, empty):
     assert keep_identified(odd).columns == odd.columns
 
 
+def test_numerals_are_no_letters():
+    from sparkloom.llm.langid import has_letter
+
+    assert not any(map(has_letter, ["½", "² ①", "12 Ⅷ!", " "])) and all(map(has_letter, ["½a", "é", "漢", "ª"]))
+
+
 def test_language_stage_drops_only_unknown(spark, docs):
     """The exact rows that go: null and letterless texts, and none of several languages; nothing where nothing is learnt."""
     import corpus_pipeline as P
@@ -352,6 +382,19 @@ def _items(row, texts, held):
     return only[3], only[4], row[5]
 
 
+def test_decontamination_longest_match_and_repeated_items(spark, monkeypatch):
+    """Items that share a window: the longest match is that of the item that goes on as the text does. Several blocks change nothing."""
+    from sparkloom.llm import decontaminate as dc
+
+    head = " ".join(f"w{i}" for i in range(10))
+    items = spark.createDataFrame([(1, f"{head} a b c d"), (2, f"{head} x y"), (3, f"{head} x y"), (4, "solo"), (None, head), (5, None), (6, " ")], "item_id long, text string")
+    docs = frame(spark, [(1, f"q {head} x y"), (2, f"{head} a b z"), (3, "no solo here"), (4, head[:-3]), (5, None)])
+    for size in (32 << 20, 40):
+        monkeypatch.setattr(dc, "BLOCK_BYTES", size)
+        got = {r["doc_id"]: (r["longest"], r["items"], r["hits"]) for r in dc.find_matches(docs, items).collect()}
+        assert got == {1: (12, ["1", "2", "3"], [[1, 13]]), 2: (12, ["1", "2", "3"], [[0, 12]]), 3: (1, ["4"], [[1, 2]]), 4: (0, [], []), 5: (0, [], [])}
+
+
 def test_decontamination_empty(spark, empty, odd):
     from sparkloom.llm.decontaminate import contamination
 
@@ -380,6 +423,26 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == brute_force(texts)
 
 
+@pytest.mark.parametrize("deviations", [4.5, None])
+def test_near_duplicates_in_many_blocks(spark, monkeypatch, deviations):
+    """Buckets of several blocks, hubs of several parts and bounded hand-overs give the brute-force components."""
+    from sparkloom.llm import neardup as nd
+
+    for name, value in (("BLOCK", 3), ("SPOKES", 2), ("HELD", 4)):
+        monkeypatch.setattr(nd, name, value)
+    rng = np.random.default_rng(3)
+    texts = []
+    for group in range(4):
+        base = [f"g{group}w{i}" for i in range(60)]
+        for _ in range(12):
+            words = list(base)
+            for at in rng.integers(0, 60, rng.integers(0, 6)):
+                words[at] = f"x{rng.integers(0, 1000)}"
+            texts.append((len(texts), " ".join(words)))
+    got = sorted(tuple(r) for r in nd.near_duplicates(frame(spark, texts), deviations=deviations).collect())
+    assert got == nd.brute_force(texts) and len({g[2] for g in got}) < len(texts) - 10
+
+
 def test_near_duplicates_odd_rows(spark, odd, empty):
     from sparkloom.llm.neardup import keep_one_of_each, near_duplicates
 
@@ -434,6 +497,31 @@ def test_token_files(spark, docs, odd, empty, tmp_path):
     assert read_token_files(spark, write_token_files(empty, f"file://{tmp_path}/c")).count() == 0
 
 
+def test_pieces_equal_the_librarys():
+    """Every plain code point, after a letter, a digit and white space, and before them."""
+    from sparkloom.llm.bitplanes import ByteBpe, default_vocabulary
+
+    bpe = ByteBpe(default_vocabulary(), cache=100_000)
+    plain = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and not bpe.odd(chr(c))]
+    assert len(plain) > 30_000
+    for lo in range(0, len(plain), 50):
+        text = "".join(f"a{c}b 1{c}2 {c}{c}\n{c} " for c in plain[lo : lo + 50])
+        assert bpe.encode(text) == bpe.whole(text)
+    for text in ("x½", "\x1c a", " ", "", "<|endoftext|>", "w" * 70 + " " + "w" * 70, "don't  \n\n they'll '"):
+        assert bpe.encode(text) == bpe.whole(text)
+    assert len(bpe.kept) + len(bpe.kept.older) < 1000
+
+
+def test_rows_of_one_id_may_lie_in_several_files(spark, tmp_path):
+    from sparkloom.llm.bitplanes import read_token_files, write_token_files
+
+    rows = frame(spark, [(7, f"text {i}") for i in range(40)] + [(7, "text 1"), (8, None), (None, "n")])
+    files = write_token_files(rows, f"file://{tmp_path}/x", parts=5)
+    got = sorted((r["start"], r["n_tokens"], r["doc_id"]) for r in read_token_files(spark, files).collect())
+    assert len(files) > 1 and [g[2] for g in got] == [None, *[7] * 41, 8]
+    assert [g[0] for g in got] == [sum(g[1] for g in got[:i]) for i in range(len(got))]
+
+
 def test_bit_planes_round_trip(tmp_path):
     from sparkloom.llm.bitplanes import Reader, Writer, from_planes, to_planes
 
@@ -477,6 +565,23 @@ def test_warc(spark, tmp_path):
     assert read_records(spark, write_archives(none, f"file://{tmp_path}/e")).count() == 0
 
 
+def test_warc_repeated_rows(spark, tmp_path):
+    """Of equal rows one is the response; every record has an id of its own."""
+    from sparkloom.llm.warc import read_records, records_in, write_archives
+
+    big = "y" * 3000
+    pages = [(1, "a", big), (1, "a", big), (0, "b", big), (1, "a", "z" * 2000), (2, "c", "small"), (2, "c", "small"), (None, "n", "w" * 1200), (None, "n", "w" * 1200)]
+    files = write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"), f"file://{tmp_path}/r", parts=3, chunk=700)
+    got = sorted((str(r["page_id"]), r["payload_bytes"], r["record_type"], r["refers_to"]) for r in read_records(spark, files).collect())
+    assert got == sorted(
+        [("1", 3000, "response", None), ("1", 3000, "revisit", 1), ("0", 3000, "revisit", 1), ("1", 2000, "response", None)]
+        + [("2", 5, "response", None)] * 2 + [("None", 1200, "response", None)] * 2,
+        key=lambda r: (r[0], r[1], r[2]),
+    )
+    heads = {head["warc-record-id"] for f in files for head, *_ in records_in(f)}
+    assert len(heads) == len(pages)
+
+
 # ---------------------------------------------------------------- BPE
 
 
@@ -485,11 +590,12 @@ def test_bpe_equals_the_library(spark, docs, odd, empty):
 
     from sparkloom.llm.bpe import WordBpe, default_vocabulary, digest_documents, encode_documents
 
-    library, own = Tokenizer.from_file(default_vocabulary()), WordBpe(default_vocabulary(), cache=50)
-    odd_texts = ["", "  ", "İstanbul ΣΑΣ é  x y don't 's'S'T 123½ ²", "a\x1cb \x85c", "<|startoftext|>Hi<|endoftext|> <|endoftext|>", "漢字かな🙂👨‍👩‍👧 ﬁ ß ẞ", "</w> a</w>", "̀abc ​z", "a'll've'", "K Å Ω ǅ", "x" * 500]
+    library, own = Tokenizer.from_file(default_vocabulary()), WordBpe(default_vocabulary(), cache=50_000)
+    odd_texts = ["", "  ", "İstanbul ΣΑΣ é  x y don't 's'S'T 123½ ²", "a\x1cb \x85c", "<|startoftext|>Hi<|endoftext|> <|endoftext|>", "漢字かな🙂👨‍👩‍👧 ﬁ ß ẞ", "</w> a</w>", "̀abc ​z", "a'll've'", "K Å Ω ǅ J̌a", "x" * 500, "ab" * 3000, "thequickbrownfox" * 40, "é" * 700]
     for t in odd_texts + [r["text"] for r in docs.limit(60).collect()]:
         ids = library.encode(t, add_special_tokens=False).ids
-        assert own.encode(t) == (np.array(ids, "<u4").tobytes(), library.decode(ids, skip_special_tokens=False))
+        got = own.encode(t)
+        assert (got, own.decode(got)) == (np.array(ids, "<u4").tobytes(), library.decode(ids, skip_special_tokens=False))
     rows = {r["doc_id"]: r for r in digest_documents(odd).collect()}
     assert rows[0]["n_tokens"] == rows[1]["n_tokens"] == 0 and rows[0]["ids_sha256"] == hashlib.sha256(b"").hexdigest()
     assert digest_documents(odd).count() == len(ODD) and encode_documents(empty).count() == 0
