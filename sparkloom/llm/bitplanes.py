@@ -42,7 +42,7 @@ BLOCK = 1 << 16
 GROUP = 1 << 14
 LEVEL = 1
 #: Bytes of texts in a file, about; bytes that a worker keeps for pieces; characters that are cut into pieces at once.
-FILE_BYTES, CACHE_BYTES, AT_ONCE = 256 << 20, 64 << 20, 1 << 20
+FILE_BYTES, CACHE_BYTES, AT_ONCE = 256 << 20, 192 << 20, 1 << 20
 assert array("I").itemsize == 4 and sys.byteorder == "little", "ids are laid out as the machine lays them out"
 
 
@@ -169,7 +169,7 @@ class Reader:
 
 # The vocabulary's pattern, and the code points among which Python's classes of letters, digits and white space
 # are the vocabulary's; a text with any other code point goes to the library whole.
-PIECES = r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+PIECES = r" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 PLAIN = (
     "\\t-\\r -\\u00b1\\u00b4-\\u00b8\\u00ba\\u00bb\\u00bf-\\u052f\\u2000-\\u206f\\u20a0-\\u20cf\\u2190-\\u245f\\u2500-\\u2775\\u2794-\\u2bff"
     "\\u3000-\\u3006\\u3008-\\u3020\\u3040-\\u30ff\\u4e00-\\u9fef\\uac00-\\ud7a3\\uff01-\\uffef\\U0001f300-\\U0001faff"
@@ -199,8 +199,10 @@ class ByteBpe:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def piece(self, piece: str) -> bytes:
-        """A piece's ids; the model reads each byte as one letter."""
-        return array("I", [t.id for t in self.parts(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        """A piece's ids; the model reads each byte as one letter, which for printable ASCII but the blank is the byte itself."""
+        plain = piece.isascii() and piece.isprintable()
+        read = piece.replace(" ", self.letters[32]) if plain else piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.parts(read)]).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
