@@ -187,7 +187,7 @@ def find_column(headers: Column, names: list[str]) -> Column:
 
 def months_of(cells: Column) -> Column:
     """Distinct months (1 to 12) of each cell's first d/d date."""
-    m = F.transform(cells, lambda c: F.regexp_extract(F.coalesce(c, F.lit("")), r"\b(\d{1,2})/\d{1,2}", 1).try_cast("int"))
+    m = F.transform(cells, lambda c: F.regexp_extract(F.coalesce(c, F.lit("")), r"\b(\d{1,2})\s*/\s*\d{1,2}\b", 1).try_cast("int"))
     return F.array_distinct(F.filter(m, lambda x: x.between(1, 12)))
 
 

@@ -211,7 +211,7 @@ def tables(parsed: DataFrame) -> DataFrame:
     before = F.reverse(F.filter(heads, lambda h: h["i"] < F.col("n")))
     after = F.filter(heads, lambda h: h["i"] > F.col("n"))
     named = lambda hs: F.get(F.filter(F.slice(hs, 1, 6), lambda h: h["t"].rlike(X.TERM_WORD)), F.lit(0))["t"]
-    heading = F.coalesce(named(before), named(after), F.get(before, F.lit(0))["t"], F.lit(""))
+    heading = F.coalesce(named(before), named(after), F.lit(""))
     out = d.select("url", "n", heading.alias("heading"), F.get("b.cells", F.lit(0)).alias("headers"), F.slice("b.cells", 2, F.greatest(F.size("b.cells") - 1, F.lit(0))).alias("rows"))
     return out.withColumnRenamed("n", "table_no")
 

@@ -42,15 +42,19 @@ def top_k(scored: DataFrame, k: int, key: str, order: list[Column]) -> DataFrame
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = POOL, where: Column | None = None) -> DataFrame:
-    """Exact cosine top-k: queries (qid, qvec) against vectors (vec_id, embedding, ...), after the metadata filter."""
+def vector_scores(queries: DataFrame, vectors: DataFrame, where: Column | None = None) -> DataFrame:
+    """Exact cosines of queries (qid, qvec) and the vectors (vec_id, embedding, ...) that pass the metadata filter."""
     rows = vectors.filter(where) if where is not None else vectors
     rows = rows.withColumn("_norm", norm(F.col("embedding")))
     both = pair_up(queries.withColumn("_qnorm", norm(F.col("qvec"))), rows)
     size = F.col("_norm") * F.col("_qnorm")
     score = F.when(size == 0, 0.0).otherwise(dot(F.col("qvec"), F.col("embedding")) / size)
-    scored = both.withColumn("embed_score", F.round(score, 6)).drop("_norm", "_qnorm", "qvec", "embedding")
-    return top_k(scored, k, "qid", [F.desc("embed_score"), F.asc("vec_id")])
+    return both.withColumn("embed_score", F.round(score, 6)).drop("_norm", "_qnorm", "qvec", "embedding")
+
+
+def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = POOL, where: Column | None = None) -> DataFrame:
+    """Exact cosine top-k: queries (qid, qvec) against vectors (vec_id, embedding, ...), after the metadata filter."""
+    return top_k(vector_scores(queries, vectors, where), k, "qid", [F.desc("embed_score"), F.asc("vec_id")])
 
 
 def merge_queries(found: DataFrame, k: int) -> DataFrame:

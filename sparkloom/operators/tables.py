@@ -25,11 +25,11 @@ def is_deadline_table(headers: Column) -> Column:
 
 
 def table_term(headers: Column, rows: Column, heading: Column) -> Column:
-    """Season of the dates' months and the table's first year (else the heading's); else the heading's term."""
+    """Season of the dates' months with the first year of the cells (else the heading's, else none); without such dates, the heading's term."""
     cells = F.flatten(rows)
     season = X.season_of(X.months_of(cells))
-    year = F.coalesce(F.nullif(F.regexp_extract(F.array_join(F.concat(headers, cells), " "), r"\b(20\d{2})\b", 1), F.lit("")), F.nullif(F.regexp_extract(heading, r"\b(20\d{2})\b", 1), F.lit("")))
-    return F.when((season != "") & year.isNotNull(), F.concat(season, F.lit(" "), year)).otherwise(X.first_term(heading))
+    year = F.coalesce(F.nullif(F.regexp_extract(F.array_join(cells, " "), r"\b(20\d{2})\b", 1), F.lit("")), F.nullif(F.regexp_extract(heading, r"\b(20\d{2})\b", 1), F.lit("")))
+    return F.when(season != "", F.concat_ws(" ", season, year)).otherwise(X.first_term(heading))
 
 
 def _value(headers: Column, row: Column, names: tuple[str, ...]) -> Column:

@@ -42,6 +42,14 @@ TABLES = [
     ("u3", 0, "Winter 2026", ["Event", "Last day to withdraw"], [["A", "12/23"], ["B", "1/5"]]),
 ]
 
+#: Also a year in a header only, another year in a cell, months without a year, no date at all.
+TERM_TABLES = [
+    *TABLES,
+    ("u4", 0, "Dates of 2023", ["Event 2024", "Last day to add"], [["A", "9 / 8"], ["B", "10/1/2025"]]),
+    ("u4", 1, "Dates", ["Event 2024", "Waitlist ends"], [["A", "6/30"], ["B", "9/123"]]),
+    ("u4", 2, "In SPRING 2027 and later", ["Event", "Add or drop"], [["A", "13/40"]]),
+]
+
 SEED_SCHEMA = "seed_no int, topic string, question string, must_any array<string>, prefer_any array<string>, max_answer_chars int"
 SEEDS = [
     (0, "one", "What is the first thing?", ["the", "and"], ["tion", "with"], 900),

@@ -328,11 +328,10 @@ def vector_topk_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
 k AS (SELECT qid, vec_id, label, embed_score, row_number() OVER (PARTITION BY qid ORDER BY rank) AS place FROM c WHERE n <= 2) SELECT * FROM k WHERE place <= 6""")
 def diversity_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most two of a label, top 6."""
-    from pyspark.sql import Window
-
-    s = V.vector_top_k(_queries_of(spark, sf_dir), table(spark, sf_dir, "embeddings"), 1 << 30)
-    c = S.rank_within(s, ["qid", "label"], [F.col("rank")], "n").filter("n <= 2")
-    return c.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).filter("place <= 6").select("qid", "vec_id", "label", "embed_score", "place")
+    order = [F.desc("embed_score"), F.asc("vec_id")]
+    s = V.vector_scores(_queries_of(spark, sf_dir), table(spark, sf_dir, "embeddings"))
+    c = S.rank_within(s, ["qid", "label"], order, "n").filter("n <= 2")
+    return S.rank_within(c, ["qid"], order, "place").filter("place <= 6").select("qid", "vec_id", "label", "embed_score", "place")
 
 
 # ---------------------------------------------------------------- ranking
@@ -559,9 +558,19 @@ def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.sections(H.parse_pages(table(spark, sf_dir, "pages")))
 
 
-@query("""SELECT * FROM (VALUES ('u1', 0, 'Fall 2025', true), ('u1', 1, '', false), ('u2', 0, 'Spring 2026', true), ('u3', 0, 'Winter 2026', true)) t(url, table_no, term, is_deadline)""")
+_JOINED = "lower(array_to_string(headers, ' | '))"
+
+
+@query(rf"""WITH {values('t', 'url, table_no, heading, headers, rows', X_.TERM_TABLES)},
+m AS (SELECT *, list_filter(list_transform(flatten(rows), lambda c: TRY_CAST(regexp_extract(c, '\b(\d{{1,2}})\s*/\s*\d{{1,2}}\b', 1) AS INT)), lambda x: x BETWEEN 1 AND 12) AS ms,
+  regexp_extract(array_to_string(flatten(rows), ' '), '\b(20\d{{2}})\b', 1) AS y1, regexp_extract(heading, '\b(20\d{{2}})\b', 1) AS y2, regexp_extract(heading, '(?i)(fall|spring|summer|winter)\s+20\d{{2}}') AS h FROM t),
+n AS (SELECT *, len(list_distinct(list_intersect(ms, [9, 10, 11]))) AS fa, len(list_distinct(list_intersect(ms, [2, 3, 4, 5]))) AS sp, len(list_distinct(list_intersect(ms, [6, 7, 8]))) AS su, len(list_distinct(list_intersect(ms, [12, 1]))) AS wi FROM m),
+b AS (SELECT *, greatest(fa, sp, su, wi) AS best FROM n)
+SELECT url, table_no, CASE WHEN best > 0 THEN trim(CASE best WHEN fa THEN 'Fall' WHEN sp THEN 'Spring' WHEN su THEN 'Summer' ELSE 'Winter' END || ' ' || CASE WHEN y1 <> '' THEN y1 ELSE y2 END)
+  ELSE upper(left(h, 1)) || lower(substr(h, 2)) END AS term,
+({_JOINED} LIKE '%last day%' AND {_JOINED} LIKE '%withdraw%') OR {' OR '.join(f"contains({_JOINED}, '{p}')" for p in ('add/drop', 'add or drop', *T.DEADLINE_HEADERS))} AS is_deadline FROM b""")
 def season_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = frame(spark, X_.TABLE_SCHEMA, X_.TABLES)
+    t = frame(spark, X_.TABLE_SCHEMA, X_.TERM_TABLES)
     return t.select("url", "table_no", T.table_term(F.col("headers"), F.col("rows"), F.col("heading")).alias("term"), T.is_deadline_table(F.col("headers")).alias("is_deadline"))
 
 

@@ -73,8 +73,8 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks of JSON lines; blank lines are skipped, broken ones too."""
-    return spark.read.schema(CHUNK_SCHEMA).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).json(path)
+    """Chunks of JSON lines; blank lines are skipped, a broken one is an error."""
+    return spark.read.schema(CHUNK_SCHEMA).option("mode", "FAILFAST").option("recursiveFileLookup", True).json(path)
 
 
 def read_table_rows(spark: SparkSession, path: str) -> DataFrame:

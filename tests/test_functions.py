@@ -233,6 +233,10 @@ def test_sources_and_sinks(spark, tmp_path):
     assert S.changed(spark.createDataFrame([("u1", "new"), ("u3", None)], "url string, html string"), again).count() == 2
     writers.write_json(spark.createDataFrame([("c1", "text")], "id string, text string"), str(tmp_path / "chunks"))
     assert readers.read_chunks(spark, str(tmp_path / "chunks")).first()["id"] == "c1"
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "x.jsonl").write_text('{"id": "c1"}\n\n{"id": \n', encoding="utf-8")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.read_chunks(spark, str(tmp_path / "broken")).collect()
     fetched = readers.fetch(pages, lambda u, e, m: (None, "not-modified") if u == "u1" else (1 / 0, "ok"))
     assert dict((r["url"], r["status"]) for r in fetched.collect()) == {"u1": "not-modified", "u2": "error"}
 
