@@ -18,6 +18,8 @@ CHROME = (
     "download page (pdf)", "what can we help you find?", "view all results", "university twitter", "university facebook", "university youtube",
 )
 ONCE = ("program requirements", "required courses", "required core courses", "elective courses", "electives", "culminating experience", "total credits", "course list")
+TABLE_MARK = "### Table "
+PROGRAMS = "catalog-programs"
 COURSE_CODES = ("CSIT", "MATH", "AMAT", "STAT", "PHYS")
 
 
@@ -118,26 +120,43 @@ def squeeze(c: Column) -> Column:
 def windows(text: Column, target: int | Column = TARGET, overlap: int = OVERLAP, snap_ends: bool = False) -> Column:
     """array<string> of a text's windows; a text of at most two targets is one piece."""
     target = F.lit(target) if isinstance(target, int) else target
-    slid = F.transform(window_starts(text, target, overlap), lambda s: X.strip(safe_slice(text, s, s + target, snap_ends=snap_ends)))
-    return F.when(F.length(text) <= 2 * target, F.array(text)).otherwise(slid)
+    return F.when(F.length(text) <= 2 * target, F.array(text)).otherwise(slid(text, target, overlap, snap_ends))
+
+
+def slid(text: Column, target: Column, overlap: int = OVERLAP, snap_ends: bool = False) -> Column:
+    """array<string> of a text's windows, however short it is."""
+    return F.transform(window_starts(text, target, overlap), lambda s: X.strip(safe_slice(text, s, s + target, snap_ends=snap_ends)))
+
+
+def table_blocks(text: Column) -> Column:
+    """array<string> of the pieces that begin with the mark of an extracted table; what stands before the first mark is a piece too."""
+    blocks = F.filter(F.transform(F.split(text, TABLE_MARK), X.strip), lambda b: b != "")
+    return F.transform(blocks, lambda b: F.concat(F.lit(TABLE_MARK), b))
 
 
 def chunk_documents(docs: DataFrame, snap_ends: bool = False, id_by_section: bool = True) -> DataFrame:
     """Chunks of (source_url, source_title, bucket, tags, md): one row a chunk, ids kept first.
 
     ``id_by_section`` adds the section's number to what an id is made from, so that sections of equal headings don't collide;
-    without it the later of two equal ids is dropped.
+    without it the later of two equal ids is dropped. A document without a section is one section; a section with marks of extracted
+    tables is cut at them; program pages of the catalog are cleaned, then their courses put on one line, and have longer windows.
     """
-    catalog = F.col("bucket").startswith("catalog")
-    cleaned = F.when(catalog, clean_catalog_text(normalize_courses(X.collapse_course_header(F.col("md"))))).otherwise(F.col("md"))
+    catalog = F.coalesce(F.col("bucket") == PROGRAMS, F.lit(False))
+    md = F.coalesce(F.col("md"), F.lit(""))
+    cleaned = F.when(catalog, normalize_courses(clean_catalog_text(md))).otherwise(md)
     # materialised step by step, so that each text is worked out once
     d = docs.withColumn("_md", cleaned).withColumn("_target", F.when(catalog, CATALOG_TARGET).otherwise(TARGET))
-    d = d.select("*", F.posexplode(heading_sections(F.col("_md"))).alias("_s", "_sec")).withColumn("_text", squeeze(F.col("_sec.text")))
-    d = d.select("*", F.posexplode(windows(F.col("_text"), F.col("_target"), snap_ends=snap_ends)).alias("_i", "text"))
+    d = d.withColumn("_secs", heading_sections(F.col("_md")))
+    whole = F.array(F.struct(F.array().cast("array<string>").alias("headings"), F.col("_md").alias("text")))
+    d = d.withColumn("_secs", F.when(F.size("_secs") == 0, whole).otherwise(F.col("_secs")))
+    d = d.select("*", F.posexplode("_secs").alias("_s", "_sec")).drop("_secs").withColumn("_text", F.col("_sec.text"))
+    d = d.withColumns({"_tables": F.col("_text").contains(TABLE_MARK), "_long": squeeze(F.col("_text"))})
+    pieces = F.when(F.col("_tables"), table_blocks(F.col("_text"))).when(F.length("_text") <= 2 * F.col("_target"), F.array("_text"))
+    d = d.select("*", F.posexplode(pieces.otherwise(slid(F.col("_long"), F.col("_target"), snap_ends=snap_ends))).alias("_i", "text"))
     heads = F.col("_sec.headings")
     i = F.concat(F.col("_s"), F.lit("."), F.col("_i") + 1) if id_by_section else (F.col("_i") + 1)
     out = d.select(
-        F.when(X.is_table_block(F.col("text")), X.table_chunk_id(F.col("source_url"), heads, i)).otherwise(X.chunk_id(F.col("source_url"), heads, i)).alias("id"),
+        F.when(F.col("_tables"), X.table_chunk_id(F.col("source_url"), heads, i)).otherwise(X.chunk_id(F.col("source_url"), heads, i)).alias("id"),
         "source_url",
         F.col("source_title").alias("title"),
         "bucket",
@@ -145,7 +164,7 @@ def chunk_documents(docs: DataFrame, snap_ends: bool = False, id_by_section: boo
         heads.alias("headings"),
         F.coalesce(F.try_element_at(heads, F.lit(-1)), F.lit("")).alias("section_heading"),
         "text",
-        X.is_table_block(F.col("text")).alias("is_table"),
+        (F.col("_tables") | X.is_table_block(F.col("text"))).alias("is_table"),
         X.section_label(heads).alias("section"),
         X.infer_term(F.col("text"), heads).alias("term"),
         F.col("_s").alias("section_no"),

@@ -143,6 +143,21 @@ def test_chunk_ids_are_unique_and_collide_without_section_numbers(spark):
     assert [r["text"] for r in C.chunk_documents(md, id_by_section=False).collect()] == ["x"]
 
 
+def test_chunk_documents_sections(spark):
+    """Table marks cut a section, a document without a section is one, only program pages are cleaned, short sections stay as they are."""
+    rows = [
+        ("u1", "t", "registrar", [], "# H\nlead\n### Table 1\n| a |\n### Table 2\n| b |"), ("u2", "t", "policies", [], ""), ("u3", "t", "catalog-courses", [], "# C\nPrint this page\na\n\n\n\nb"),
+        ("u4", "t", "catalog-programs", [], "# P\nPrint this page\nMATH 101\nNumbers\n3"), ("u5", "t", None, [], None),
+    ]
+    d = spark.createDataFrame(rows, "source_url string, source_title string, bucket string, tags array<string>, md string")
+    got = {}
+    for r in C.chunk_documents(d).orderBy("source_url", "section_no", "piece_no").collect():
+        got.setdefault(r["source_url"], []).append((r["text"], r["is_table"]))
+    assert got["u2"] == got["u5"] == [("", False)] and got["u3"] == [("Print this page\na\n\n\n\nb", False)]
+    assert len(got["u4"]) == 1 and "Print" not in got["u4"][0][0] and "MATH 101 Numbers (3 credits)" in got["u4"][0][0]
+    assert any("| a |" in t for t, _ in got["u1"]) and any("| b |" in t for t, _ in got["u1"])
+
+
 def test_catalog_cleaning(spark):
     text = "Search Catalog\nProgram Requirements\nline\nline\nProgram Requirements\n\nCourse List Code Title Credits\nCSIT 515\nSoftware Engineering\n3\nMATH 101\nCalculus"
     got = one(spark, "t string", (text,), C.clean_catalog_text(C.normalize_courses(F.col("t"))))[0]
