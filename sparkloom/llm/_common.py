@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import math
 import tempfile
 import uuid
@@ -90,11 +89,6 @@ class Stage:
             if path := getattr(df, "_stage_path", None):
                 drop_folder(self.spark, path)
 
-    def tidy(self) -> None:
-        """Lets Spark remove the shuffle files of jobs that are over: it does so once the driver has collected their garbage."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
 
 def map_frames(df: DataFrame, f, schema) -> DataFrame:
     """``mapInPandas`` with batches of at most BATCH_ROWS rows and BATCH_BYTES bytes, so that a worker, and the JVM's side of the
