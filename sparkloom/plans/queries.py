@@ -248,7 +248,9 @@ def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunk ids, kept first."""
     d = table(spark, sf_dir, "documents").select("doc_id", C.squeeze(F.col("text")).alias("x")).filter("x is not null")
-    w = d.select("doc_id", F.posexplode(C.windows(F.col("x"))).alias("piece", "chunk"))
+    # an id needs a window's number only, so no window's text is made
+    starts = F.when(F.length("x") <= 2 * C.TARGET, F.array(F.lit(0))).otherwise(C.window_starts(F.col("x"), C.TARGET, C.OVERLAP))
+    w = d.select("doc_id", F.posexplode(starts).alias("piece", "start"))
     url = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
     return S.keep_first(w.select(X.chunk_id(url, F.array().cast("array<string>"), F.col("piece") + 1).alias("id"), "doc_id", "piece"), ["id"], ["doc_id", "piece"])
 
