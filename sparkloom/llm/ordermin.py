@@ -33,6 +33,8 @@ LONG = 32
 ENTRIES, TUPLE = 64, 2
 #: Visits after which few entries still hold fewer than TUPLE k-mers.
 DEALT = 448
+#: Visits of round 0 kept in a text of more than twice as many k-mers; an entry that holds too few of them looks up all.
+LEAST_RANKS = 896
 #: Places are kept in so many low bits: an array of Spark's holds fewer than 2 ** 28 numbers, as it has less than 2 ** 31 bytes.
 PLACE_BITS = 28
 PLACES = (1 << PLACE_BITS) - 1
@@ -62,27 +64,34 @@ def numbered_kmers(text: Column, piece: int = PIECE, k: int = K) -> Column:
     def of_hashes(h: Column) -> Column:
         last = F.greatest(F.size(h) - k, F.lit(0))
         kmers = F.transform(F.sequence(F.lit(0), last), lambda i: packed(F.xxhash64(*[F.get(h, i + j) for j in range(k)]), i))
-        # sorted, equal k-mers are neighbours in text order: a run's start gives its occurrence numbers
-        return let(F.sort_array(kmers), lambda s: let(starts(s), lambda b: numbers(s, b)))
+        # sorted, equal k-mers are neighbours in text order
+        return let(F.sort_array(kmers), lambda s: let(F.filter(s, lambda v, i: repeats(s, v, i)), lambda again: numbers(s, again)))
 
-    def starts(s: Column) -> Column:
-        return F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i == 0) | (i == F.size(s)) | (hash_of(F.get(s, i)) != hash_of(F.get(s, i - 1))))
+    def repeats(s: Column, v: Column, i: Column) -> Column:
+        """Whether v, at place i of s, has the same hash as the one before it."""
+        return (i > 0) & (F.shiftright(v.bitwiseXOR(F.get(s, i - 1)), PLACE_BITS) == 0)
 
     def number(v: Column, i: Column) -> Column:
         return packed(F.xxhash64(hash_of(v), i), v)
 
-    def numbers(s: Column, b: Column) -> Column:
-        single = F.transform(s, lambda v: number(v, F.lit(0)))
-        runs = F.transform(F.slice(b, 1, F.size(b) - 1), lambda lo, r: F.when(F.get(b, r + 1) - lo == 1, F.array(number(F.get(s, lo), F.lit(0)))).otherwise(F.transform(F.slice(s, lo + 1, F.get(b, r + 1) - lo), number)))
-        return F.when(F.size(b) == F.size(s) + 1, single).otherwise(F.flatten(runs))
+    def numbers(s: Column, again: Column) -> Column:
+        """First occurrences have the number 0; of the others, which are few, runs give the numbers."""
+        first = F.transform(F.when(F.size(again) == 0, s).otherwise(F.filter(s, lambda v, i: ~repeats(s, v, i))), lambda v: number(v, F.lit(0)))
+        return F.when(F.size(again) == 0, first).otherwise(F.concat(first, let(starts(again), lambda b: later(again, b))))
+
+    def starts(s: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i == F.size(s)) | ~repeats(s, F.get(s, i), i))
+
+    def later(s: Column, b: Column) -> Column:
+        return F.flatten(F.transform(F.slice(b, 1, F.size(b) - 1), lambda lo, r: F.transform(F.slice(s, lo + 1, F.get(b, r + 1) - lo), lambda v, i: number(v, i + 1))))
 
     return let(F.transform(tokens, lambda x: F.xxhash64(x)), lambda h: F.when(F.size(h) == 0, none).otherwise(of_hashes(h)))
 
 
-def fingerprint(text: Column, entries: int = ENTRIES, size: int = TUPLE, dealt: int = DEALT) -> Column:
+def fingerprint(text: Column, entries: int = ENTRIES, size: int = TUPLE, dealt: int = DEALT, kept: int = LEAST_RANKS) -> Column:
     """array<long> of an entry each: the hash of its tuple; null: the text has no k-mer. Null texts count as empty.
 
-    A visit is one number: entry, round, rank and place, from the leading bits down. ``dealt`` changes the cost only.
+    A visit is one number: entry, round, rank and place, from the leading bits down. ``dealt`` and ``kept`` change the cost only.
     """
     bits = (entries - 1).bit_length()
     ways, low = 1 << bits, 64 - 2 * bits
@@ -102,6 +111,11 @@ def fingerprint(text: Column, entries: int = ENTRIES, size: int = TUPLE, dealt:
         head = F.shiftleft(F.shiftleft(e, bits).bitwiseOR(r), low)
         return head.bitwiseOR(rank.bitwiseAND(F.lit((1 << low) - 1 - PLACES))).bitwiseOR(v.bitwiseAND(F.lit(PLACES)))
 
+    def in_first(v: Column) -> Column:
+        """visit(v, start(v), 0): the hash's leading part is the entry, what follows the rank."""
+        kept = ((1 << 64) - (1 << (64 - bits)) - (1 << 64)) | PLACES
+        return v.bitwiseAND(F.lit(kept)).bitwiseOR(F.shiftrightunsigned(v, bits).bitwiseAND(F.lit((1 << low) - 1 - PLACES)))
+
     def in_round(v: Column, r: Column) -> Column:
         return visit(v, (start(v) + r * step(v)).bitwiseAND(F.lit(ways - 1)), r)
 
@@ -114,7 +128,7 @@ def fingerprint(text: Column, entries: int = ENTRIES, size: int = TUPLE, dealt:
         return visit(v, e, ((e - start(v)) * inverse).bitwiseAND(F.lit(ways - 1)))
 
     def firsts(s: Column) -> Column:
-        return F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (entry(F.get(s, i)) != entry(F.get(s, i - 1))))
+        return F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.shiftrightunsigned(F.get(s, i).bitwiseXOR(F.get(s, i - 1)), 64 - bits) != 0))
 
     def tuples(x: Column, s: Column, b: Column) -> Column:
         picked = F.transform(b, lambda lo: F.struct(entry(F.get(s, lo)).alias("e"), F.filter(F.slice(s, lo + 1, size), lambda v: entry(v) == entry(F.get(s, lo))).alias("own")))
@@ -130,9 +144,18 @@ def fingerprint(text: Column, entries: int = ENTRIES, size: int = TUPLE, dealt:
         by_place = F.sort_array(F.transform(own, lambda v: F.shiftleft(v.bitwiseAND(F.lit(PLACES)), 64 - PLACE_BITS).bitwiseOR(F.shiftrightunsigned(v, PLACE_BITS))))
         return F.xxhash64(F.transform(by_place, lambda x: x.bitwiseAND(F.lit((1 << (64 - PLACE_BITS)) - 1))))
 
+    def least_ranks(x: Column) -> Column:
+        """The k-mers whose rank in round 0 is among the least ``kept`` of size(x), or about so many: each entry's least are there if any TUPLE are."""
+        ranks = 64 - PLACE_BITS - bits
+        bound = F.floor(F.lit(kept << ranks) / F.size(x)).cast("long")
+        return let(bound, lambda t: F.filter(x, lambda v: F.shiftrightunsigned(F.shiftleft(v, bits), bits + PLACE_BITS) < t))
+
     def selected(x: Column) -> Column:
-        rounds = F.least(F.lit(ways), F.ceil(F.lit(dealt) / F.size(x))).cast("long")
-        visits = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), rounds - 1), lambda r: F.transform(x, lambda v: in_round(v, r))))
+        n = F.size(x)
+        rounds = F.least(F.lit(ways), F.ceil(F.lit(dealt) / n)).cast("long")
+        more = F.flatten(F.transform(F.sequence(F.lit(1).cast("long"), rounds - 1), lambda r: F.transform(x, lambda v: in_round(v, r))))
+        first = lambda y: F.transform(y, in_first)
+        visits = F.when(n > 2 * kept, first(least_ranks(x))).when(rounds > 1, F.concat(first(x), more)).otherwise(first(x))
         # in sorted order an entry's visits are neighbours, for the entry is the leading part
         return let(F.sort_array(visits), lambda s: let(firsts(s), lambda b: tuples(x, s, b)))
 

@@ -191,10 +191,11 @@ def test_fingerprints_do_not_depend_on_rounds_worked_out(spark):
 
     rng = random.Random(6)
     texts = [" ".join(rng.choices([f"w{i}" for i in range(90)], k=n)) for n in (1, 2, 3, 4, 9, 30, 200, 700)]
-    of = lambda dealt, entries: fingerprint(F.col("t"), entries=entries, dealt=dealt)
+    texts.append("same " * 700)
+    of = lambda dealt, entries, kept=10**6: fingerprint(F.col("t"), entries=entries, dealt=dealt, kept=kept)
     for entries in (64, 48, 16):
-        rows = spark.createDataFrame([(t,) for t in texts], "t string").select(of(1, entries).alias("a"), of(448, entries).alias("b"), of(10**9, entries).alias("c")).collect()
-        assert all(r["a"] == r["b"] == r["c"] and None not in r["a"] and len(r["a"]) == entries for r in rows)
+        rows = spark.createDataFrame([(t,) for t in texts], "t string").select(of(1, entries).alias("a"), of(448, entries).alias("b"), of(10**9, entries).alias("c"), of(448, entries, 20).alias("d")).collect()
+        assert all(r["a"] == r["b"] == r["c"] == r["d"] and None not in r["a"] and len(r["a"]) == entries for r in rows)
 
 
 def test_fingerprints_small_buckets_and_odd_rows(spark, odd, empty):
