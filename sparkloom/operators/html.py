@@ -174,15 +174,18 @@ def page_title(parsed: DataFrame) -> Column:
 def sections(parsed: DataFrame, known: tuple[str, ...] = X.ANCHORS) -> DataFrame:
     """Section rows (url, title, text, ordinal): an overview and one a known anchor; else one an h2 or h3; else the page.
 
-    Each block's text is in one section only. Pages that split into fewer than two sections give one row.
+    Each block's text is in one section only. Everything is worked out in the page's own row. Pages that split into fewer than two sections give one row.
     """
     d = parsed.select("url", page_title(parsed).alias("page_title"), content(F.col("blocks")).alias("blocks"))
     marks = F.transform("blocks", lambda b: X.canonical_anchor(b["anchor"], known))
     d = d.withColumn("marks", marks).withColumn("by_anchor", F.exists("marks", lambda m: m.isNotNull()))
-    rows = d.select("url", "page_title", "by_anchor", F.posexplode(F.arrays_zip("blocks", "marks")).alias("n", "x"))
-    head = F.when(F.col("by_anchor"), F.col("x.marks")).otherwise(F.when((F.col("x.blocks.kind") == "heading") & F.col("x.blocks.level").isin(2, 3), X.slugify(F.col("x.blocks.text"))))
-    title = F.when((F.col("x.blocks.kind") == "heading"), F.col("x.blocks.text")).otherwise(head)
-    part = F.struct(F.col("n"), head.alias("h"), title.alias("t"), F.col("x.blocks.text").alias("text"))
+
+    def part(b: Column, mark: Column) -> Column:
+        is_head = b["kind"] == "heading"
+        head = F.when(F.col("by_anchor"), mark).otherwise(F.when(is_head & b["level"].isin(2, 3), X.slugify(b["text"])))
+        return F.struct(head.alias("h"), F.when(is_head, b["text"]).otherwise(head).alias("t"), b["text"].alias("text"))
+
+    d = d.filter(F.size("blocks") > 0).withColumn("parts", F.zip_with("blocks", "marks", part))
     start = F.array(F.struct(F.lit(None).cast("string").alias("h"), F.lit("").alias("t"), F.array().cast("array<string>").alias("lines")))
 
     def add(acc: Column, b: Column) -> Column:
@@ -193,7 +196,7 @@ def sections(parsed: DataFrame, known: tuple[str, ...] = X.ANCHORS) -> DataFrame
         more = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["h"].alias("h"), last["t"].alias("t"), F.array_append(last["lines"], b["text"]).alias("lines"))))
         return F.when(b["h"].isNotNull() & ~F.coalesce(known_already, F.lit(False)), F.array_append(acc, fresh)).otherwise(more)
 
-    grouped = rows.groupBy("url", "page_title").agg(F.array_sort(F.collect_list(part)).alias("parts")).withColumn("secs", F.filter(F.aggregate("parts", start, add), lambda s: F.size(s["lines"]) > 0))
+    grouped = d.withColumn("secs", F.filter(F.aggregate("parts", start, add), lambda s: F.size(s["lines"]) > 0))
     whole = F.array(F.struct(F.lit(None).cast("string").alias("h"), F.lit("").alias("t"), F.flatten(F.transform("secs", lambda s: s["lines"])).alias("lines")))
     out = grouped.withColumn("secs", F.when(F.size("secs") >= 2, F.col("secs")).otherwise(whole)).select("url", "page_title", F.posexplode("secs").alias("ordinal", "s"))
     at = F.when(F.col("s.h").isNull(), F.col("url")).otherwise(F.concat("url", F.lit("#"), F.col("s.h")))
