@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
+from sparkloom.functions.arrays import let
 from sparkloom.operators.selection import keep_first
 
 TARGET, CATALOG_TARGET, OVERLAP, PAD = 1200, 2200, 200, 40
@@ -90,27 +91,36 @@ def window_starts(text: Column, target: int | Column = TARGET, overlap: int = OV
     return F.when(F.length(text) <= target, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), last), lambda i: i * step))
 
 
+def _snapped(wide: Column, lo: Column, hi: Column, is_first: Column, is_last: Column, pad: int, snap_ends: bool) -> Column:
+    """wide[lo:hi] with both ends moved to word boundaries within ``pad``; ``wide`` is the piece with what stands ``pad`` round it."""
+
+    def cut(w: Column) -> Column:
+        head, lo, hi = w["head"], w["lo"], w["hi"]
+        lead, trail = (F.length(F.regexp_extract(c, f"^{NOT_BOUNDARY}*", 0)) for c in (head, F.reverse(w["tail"])))
+        new_lo = F.when(lead < F.length(head), lo + lead + 1).otherwise(lo)
+        new_hi = F.when(trail < F.length(w["tail"]), hi - trail).otherwise(hi)
+        if not snap_ends:
+            new_lo, new_hi = F.when(is_first, lo).otherwise(new_lo), F.when(is_last, hi).otherwise(new_hi)
+        return let(F.struct(new_lo.alias("lo"), new_hi.alias("hi")), lambda e: F.when(e["lo"] < e["hi"], F.substring(w["wide"], e["lo"] + 1, e["hi"] - e["lo"])).otherwise(w["wide"]))
+
+    back = F.greatest(hi - pad, F.lit(0))
+    parts = F.struct(wide.alias("wide"), lo.alias("lo"), hi.alias("hi"), F.substring(wide, lo + 1, F.lit(pad)).alias("head"), F.substring(wide, back + 1, hi - back).alias("tail"))
+    return let(parts, cut)
+
+
 def safe_slice(text: Column, start: Column, end: Column, pad: int = PAD, snap_ends: bool = False) -> Column:
     """text[start:end] with both ends moved to word boundaries within ``pad``.
 
     ``snap_ends`` also moves the first start and the last end, which loses the first and perhaps the last word;
     without it a window that begins or ends with the text keeps it all. If the ends cross, the padded piece is returned.
     """
-    n = F.length(text)
-    end = F.least(end, n)
-    lead = F.length(F.regexp_extract(F.substring(text, start + 1, F.lit(pad)), f"^{NOT_BOUNDARY}*", 0))
-    found = lead < F.least(F.lit(pad), n - start)
-    lo = F.when(found, start + lead + 1).otherwise(start)
-    back_from = F.greatest(end - pad, F.lit(0))
-    tail = F.substring(text, back_from + 1, end - back_from)
-    trail = F.length(F.regexp_extract(F.reverse(tail), f"^{NOT_BOUNDARY}*", 0))
-    hi = F.when(trail < F.length(tail), end - trail).otherwise(end)
-    if not snap_ends:
-        lo = F.when(start == 0, F.lit(0)).otherwise(lo)
-        hi = F.when(end == n, n).otherwise(hi)
-    padded_lo = F.greatest(start - pad, F.lit(0))
-    padded = F.substring(text, padded_lo + 1, F.least(end + pad, n) - padded_lo)
-    return F.when(lo < hi, F.substring(text, lo + 1, hi - lo)).otherwise(padded)
+
+    def of(t: Column) -> Column:
+        n, start, end, before = t["n"], t["s"], F.least(t["e"], t["n"]), F.least(t["s"], F.lit(pad))
+        wide = F.substring(text, start - before + 1, F.least(end + pad, n) - start + before)
+        return let(wide, lambda w: _snapped(w, before, before + end - start, start == 0, end == n, pad, snap_ends))
+
+    return let(F.struct(F.length(text).alias("n"), start.alias("s"), end.alias("e")), of)
 
 
 def squeeze(c: Column) -> Column:
@@ -123,9 +133,24 @@ def windows(text: Column, target: int | Column = TARGET, overlap: int = OVERLAP,
     return F.when(F.length(text) <= 2 * target, F.array(text)).otherwise(slid(text, target, overlap, snap_ends))
 
 
-def slid(text: Column, target: Column, overlap: int = OVERLAP, snap_ends: bool = False) -> Column:
-    """array<string> of a text's windows, however short it is."""
-    return F.transform(window_starts(text, target, overlap), lambda s: X.strip(safe_slice(text, s, s + target, snap_ends=snap_ends)))
+def slid(text: Column, target: Column, overlap: int = OVERLAP, snap_ends: bool = False, pad: int = PAD) -> Column:
+    """array<string> of a text's windows, however short it is.
+
+    The text is cut into steps once and a window is put together from the steps it covers, so the time is linear in
+    the text's length: a substring of the whole text would be looked for from its beginning, at every window.
+    """
+    step = target - overlap
+    steps = F.regexp_extract_all(text, F.concat(F.lit("(?s).{1,"), step.cast("string"), F.lit("}")), F.lit(0))
+    covered = F.ceil((target + pad) / step).cast("int")
+
+    def window(t: Column, s: Column, i: Column) -> Column:
+        before, end = F.when(i == 0, F.lit(0)).otherwise(F.lit(pad)), F.least(s + target, t["n"])
+        near = F.concat(F.coalesce(F.right(F.get(t["p"], i - 1), F.lit(pad)), F.lit("")), F.array_join(F.slice(t["p"], i + 1, covered), ""))
+        wide = F.substring(near, F.lit(1), before + F.least(end + pad, t["n"]) - s)
+        return let(wide, lambda w: X.strip(_snapped(w, before, before + end - s, i == 0, end == t["n"], pad, snap_ends)))
+
+    parts = F.struct(F.length(text).alias("n"), steps.alias("p"), window_starts(text, target, overlap).alias("s"))
+    return let(parts, lambda t: F.transform(t["s"], lambda s, i: window(t, s, i)))
 
 
 def table_blocks(text: Column) -> Column:
