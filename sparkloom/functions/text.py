@@ -55,9 +55,9 @@ def overlap_of_tokens(q: Column, d: Column) -> Column:
 
 
 def overlap_of_numbered(q: Column, d: Column) -> Column:
-    """The same of token arrays that were numbered once, for many pairs."""
+    """The same of token arrays that were numbered once, for many pairs. The set is made from the second array, the query's, which is the shorter one."""
     n = F.size(q).cast("long") * F.size(d)
-    return F.when(n == 0, 0.0).otherwise(F.size(F.array_intersect(q, d)) / F.sqrt(n.cast("double")))
+    return F.when(n == 0, 0.0).otherwise(F.size(F.array_intersect(d, q)) / F.sqrt(n.cast("double")))
 
 
 def token_f1(pred: Column, gold: Column) -> Column:
@@ -144,16 +144,16 @@ def collapse_course_header(c: Column) -> Column:
     return F.regexp_replace(c, r"(?i)(Course List\s+Code\s+Title\s+Credits\s+)+", "Course List\nCode\nTitle\nCredits\n")
 
 
-def trim_answer(c: Column, limit: int) -> Column:
-    """Stripped if short enough; else leading whole paragraphs that fit; else the first characters."""
+def trim_answer(c: Column, limit: int, between: str = "\n\n") -> Column:
+    """Stripped if short enough; else leading whole paragraphs (parted by ``between``) that fit; else the first characters."""
     start = F.struct(F.lit("").alias("s"), F.lit(False).alias("over"))
 
     def add(acc: Column, p: Column) -> Column:
-        fits = ~acc["over"] & (F.length(acc["s"]) + F.when(acc["s"] == "", 0).otherwise(2) + F.length(p) <= limit)
-        joined = F.when(acc["s"] == "", p).otherwise(F.concat(acc["s"], F.lit("\n\n"), p))
+        fits = ~acc["over"] & (F.length(acc["s"]) + F.when(acc["s"] == "", 0).otherwise(len(between)) + F.length(p) <= limit)
+        joined = F.when(acc["s"] == "", p).otherwise(F.concat(acc["s"], F.lit(between), p))
         return F.struct(F.when(fits, joined).otherwise(acc["s"]).alias("s"), (~fits).alias("over"))
 
-    kept = F.aggregate(F.split(c, "\n\n"), start, add, lambda a: a["s"])
+    kept = F.aggregate(F.split(c, between), start, add, lambda a: a["s"])
     return F.when(F.length(c) <= limit, strip(c)).when(kept != "", strip(kept)).otherwise(F.substring(c, 1, limit))
 
 

@@ -23,18 +23,26 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
-def pair_up(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """Every query beside every row of the scan: the stated query set is broadcast while its measured size allows it, else it is taken in blocks."""
-    size = queries.select(F.sum(F.octet_length(F.to_json(F.struct(*queries.columns)))).alias("b")).first()["b"] or 0
-    blocks = max(1, -(-size // BROADCAST_BYTES))
+def size_of(rows: DataFrame) -> int:
+    """Bytes of all rows, as JSON."""
+    return rows.select(F.sum(F.octet_length(F.to_json(F.struct(*rows.columns)))).alias("b")).first()["b"] or 0
+
+
+def pair_up(queries: DataFrame, rows: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Every query beside every row of the scan: the stated query set is broadcast while its measured size allows it.
+
+    A larger one is dealt to blocks of at most about that size, the rows to as many groups as there are shuffle partitions, and one
+    join on (block, group) sets every block beside every group. The plan is of one size, however many blocks there are.
+    """
+    blocks = max(1, -(-size_of(queries) // most))
     if blocks == 1:
         return rows.join(F.broadcast(queries), F.lit(True))
-    spread = F.pmod(F.xxhash64(*queries.columns), F.lit(blocks))
-    out = None
-    for b in range(blocks):
-        part = rows.join(F.broadcast(queries.filter(spread == b)), F.lit(True))
-        out = part if out is None else out.unionByName(part)
-    return out
+    groups = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    spread = lambda df, n: F.pmod(F.xxhash64(*df.columns, F.monotonically_increasing_id()), F.lit(n)).cast("int")
+    dealt = queries.withColumn("_block", spread(queries, blocks)).withColumn("_group", every(groups))
+    grouped = rows.withColumn("_group", spread(rows, groups)).withColumn("_block", every(blocks))
+    return grouped.join(dealt.hint("merge"), ["_block", "_group"]).drop("_block", "_group")
 
 
 def top_k(scored: DataFrame, k: int, key: str, order: list[Column]) -> DataFrame:

@@ -292,3 +292,27 @@ def test_discovery_and_embeddings(spark):
     assert {r["id"]: r["embedding"] for r in embed(rows, lambda: lambda ts: [[len(t), 1] for t in ts]).collect()} == {1: [2.0, 1.0], 2: [0.0, 1.0]}
     v = rows.select(hashed_vector(F.col("text"), 8).alias("v")).collect()
     assert sum(map(abs, v[0]["v"])) == 1 and v[1]["v"] == [0.0] * 8
+
+
+def test_large_query_sets_meet_every_row_once(spark):
+    q, r = spark.range(101).select(F.col("id").alias("a")), spark.range(300).select(F.col("id").alias("b"))
+    both = V.pair_up(q, r, most=100)
+    assert both.columns == ["b", "a"] and both.count() == both.distinct().count() == 101 * 300
+
+
+def test_windows_equal_slices_of_the_whole_text(spark):
+    texts = ["", "ab", "é" * 700, "wörd, " * 300, "x" * 130 + " " + "yz " * 90, "𝄞 a" * 111]
+    for target, overlap, snap in ((100, 20, False), (97, 50, True), (60, 0, False)):
+        got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(C.slid(F.col("t"), F.lit(target), overlap, snap)).collect()]
+        for t, g in zip(texts, got, strict=True):
+            n, step, want = len(t), target - overlap, []
+            for s in range(0, 1 if n <= target else -(-(n - target) // step) * step + 1, step):
+                e = min(s + target, n)
+                edge = " \t\n\r\f\x0b.,;:!?)]"
+                head, tail = t[s : s + 40], t[max(e - 40, 0) : e]
+                lead = next((i for i, c in enumerate(head) if c in edge), len(head))
+                trail = next((i for i, c in enumerate(tail[::-1]) if c in edge), len(tail))
+                lo = s if lead == len(head) or (s == 0 and not snap) else s + lead + 1
+                hi = e if trail == len(tail) or (e == n and not snap) else e - trail
+                want.append((t[lo:hi] if lo < hi else t[max(s - 40, 0) : min(e + 40, n)]).strip())
+            assert g == want
