@@ -422,7 +422,15 @@ def required_courses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query("SELECT * FROM (VALUES (1, '12/2/2025'), (2, '4/2'), (3, NULL), (4, NULL), (5, NULL), (6, NULL)) t(id, deadline)")
+_ENDS = "contains(lower({0}), 'final day to wd') OR contains(lower({0}), 'final day to withdraw')"
+_FULL = "contains(lower(x), 'full term') OR regexp_matches(lower(x), '^\\| full[ \t]') OR contains(lower(x), '| full |')"
+
+
+@query(f"""WITH {values('t', 'id, text', X_.DEADLINE_TEXTS)}, l AS (SELECT id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM t),
+h AS (SELECT id, l, list_position(list_transform(l, lambda x: {_ENDS.format('x')}), true) AS hd FROM l),
+c AS (SELECT id, list_position(list_transform(string_split(l[hd], '|'), lambda x: {_ENDS.format('x')}), true) AS col, l[hd + 1:len(l)] AS below FROM h WHERE hd > 0),
+r AS (SELECT id, col, coalesce(list_filter(below, lambda x: {_FULL})[1], list_filter(below, lambda x: NOT starts_with(x, '| ---') AND contains(lower(x), '| full'))[1]) AS line FROM c)
+SELECT t.id, nullif(regexp_extract(trim(string_split(line, '|')[col]), '\\d{{1,2}}/\\d{{1,2}}(?:/\\d{{2,4}})?'), '') AS deadline FROM t LEFT JOIN r USING (id)""")
 def table_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, "id int, text string", X_.DEADLINE_TEXTS).select("id", A.table_deadline(F.col("text")).alias("deadline"))
 
@@ -572,10 +580,15 @@ def season_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("url", "table_no", T.table_term(F.col("headers"), F.col("rows"), F.col("heading")).alias("term"), T.is_deadline_table(F.col("headers")).alias("is_deadline"))
 
 
-@query("""SELECT * FROM (VALUES ('u1', 0, 0, 'Fall 2025', '9/8', '11/4'), ('u1', 0, 1, 'Fall 2025', '9/3', '10/1'), ('u2', 0, 0, 'Spring 2026', NULL, '4/2/2026'), ('u2', 0, 1, 'Spring 2026', NULL, NULL), ('u3', 0, 0, 'Winter 2026', NULL, NULL), ('u3', 0, 1, 'Winter 2026', NULL, NULL))
-t(url, table_no, row_no, term, last_day_to_add_drop, final_day_to_withdraw)""")
+_CELL = lambda names: "coalesce(" + ", ".join(f"CASE WHEN list_contains(low, '{n}') THEN nullif(trim(cells[list_position(low, '{n}')]), '') END" for n in names) + ")"
+
+
+@query(f"""WITH s AS ({ORACLES['season_inference']}), {values('tt', 'url, table_no, heading, headers, rows', X_.TERM_TABLES)},
+r AS (SELECT url, table_no, list_transform(headers, lambda h: lower(trim(h))) AS low, unnest(range(1, len(rows) + 1)) AS i, rows FROM tt), c AS (SELECT url, table_no, low, i - 1 AS row_no, rows[i] AS cells FROM r),
+o AS (SELECT url, table_no, row_no, coalesce(nullif(s.term, ''), {_CELL(T.TERM_NAMES)}) AS term, {_CELL(T.ADD_NAMES)} AS last_day_to_add_drop, {_CELL(T.WITHDRAW_NAMES)} AS final_day_to_withdraw FROM c JOIN s USING (url, table_no))
+SELECT * FROM o WHERE term IS NOT NULL OR final_day_to_withdraw IS NOT NULL""")
 def calendar_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.calendar(frame(spark, X_.TABLE_SCHEMA, X_.TABLES))
+    return T.calendar(frame(spark, X_.TABLE_SCHEMA, X_.TERM_TABLES))
 
 
 _TABLE_VALUES = values("t", "url, table_no, heading, headers, rows", X_.TABLES)
@@ -620,3 +633,127 @@ def index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts (an extension; the same function runs on a stream)."""
     return incremental.windowed_counts(table(spark, sf_dir, "events"))
+
+
+# ---------------------------------------------------------------- parts of the operators above, by themselves
+
+
+@query("""SELECT doc_id, 'sha1:' || sha1('doc/' || doc_id || '::row::' || text) AS row_id, 'sha1:' || sha1('doc/' || doc_id || '::H1: ' || lang || ';H2: ' || source || '::table::' || doc_id) AS table_id
+FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL""")
+def row_and_table_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of row chunks and of table chunks."""
+    d = table(spark, sf_dir, "documents").filter("text is not null and lang is not null and source is not null")
+    u = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
+    heads = F.array(F.concat(F.lit("H1: "), "lang"), F.concat(F.lit("H2: "), "source"))
+    return d.select("doc_id", X.row_chunk_id(u, F.col("text")).alias("row_id"), X.table_chunk_id(u, heads, F.col("doc_id")).alias("table_id"))
+
+
+@query("""SELECT doc_id, CASE WHEN lang IS NULL THEN '' WHEN doc_id % 3 = 0 THEN 'calendar' ELSE lower(lang) || ' part: 2' END AS section,
+regexp_matches(text, '(?i)(withdraw|final day|last day|drop|deadline|add/?drop|adjustment)') AS has_deadline_words FROM documents""")
+def section_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of heading paths, and whether a text has deadline words."""
+    last = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("H3: The "), "lang", F.lit(" Calendar"))).otherwise(F.concat(F.lit("H2: "), "lang", F.lit(" Part: 2")))
+    heads = F.when(F.col("lang").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.lit("H1: Top"), last))
+    return table(spark, sf_dir, "documents").select("doc_id", X.section_label(heads).alias("section"), F.col("text").rlike(X.DEADLINE_WORDS).alias("has_deadline_words"))
+
+
+ANCHOR_IDS = [("requirementstextcontainer",), ("ProgramRequirements",), ("plan-ofstudytext",), ("sampleplantab",), ("policies",), ("nope",), ("tab",), (" coursestexttab ",), ("degree-requirements-overview",)]
+
+
+@query(f"""WITH {values('a', 'id', ANCHOR_IDS)}, b AS (SELECT id, regexp_replace(lower(trim(id)), '(textcontainer|container|texttab|tab)$', '') AS base FROM a),
+t AS (SELECT id, unnest([1, 2, 3, 4]) AS n, unnest([base, base || 'text', replace(base, '-', ''), replace(base, '_', '')]) AS name FROM b)
+SELECT id, arg_min(name, n) FILTER (list_contains({X_.literal(X.ANCHORS)}, name)) AS anchor FROM t GROUP BY id""")
+def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Element ids to known anchors."""
+    return frame(spark, "id string", ANCHOR_IDS).select("id", X.canonical_anchor(F.col("id")).alias("anchor"))
+
+
+@query(f"""WITH {_flat_candidates()}, u AS (SELECT * FROM raw UNION ALL SELECT qid, query, chunk_id + 100, 1 - embed_score, bm25, url, text, section_heading, b, term, t, w FROM raw),
+k AS (SELECT *, row_number() OVER (PARTITION BY qid, url, section_heading, left(text, 200) ORDER BY embed_score DESC, chunk_id) AS n FROM u) SELECT qid, chunk_id, CAST(round(embed_score, 6) AS DOUBLE) AS embed_score FROM k WHERE n = 1""")
+def candidate_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates found twice, each kept at its best place."""
+    c = _candidates(spark)
+    again = c.withColumns({"chunk_id": F.col("chunk_id") + 100, "embed_score": 1 - F.col("embed_score")})
+    return V.dedupe_candidates(c.unionByName(again)).select("qid", "chunk_id", F.round("embed_score", 6).alias("embed_score"))
+
+
+_ASKS = _ANY("query", A.ADVISOR_WORDS)
+
+
+@query(f"""WITH {_SCORED}, o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY coalesce({_ASKS} AND contains(lurl, 'school-of-computing') AND {_ANY('text', ('advisor', 'graduate program coordinator', 'gpc'))}, false) DESC, rank) AS first FROM v WHERE rank <= 5)
+SELECT qid, url, bucket, coalesce(section_heading, '') AS title FROM o WHERE first = 1""")
+def primary_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main source of each question."""
+    return A.primary_sources(R.rerank(_candidates(spark), 5)).select("qid", "url", "bucket", "title")
+
+
+REQUIRED = ["https://uni.example.com/needed/", "https://uni.example.com/policies/"]
+
+
+@query(f"WITH {values('r', 'url', [(u,) for u in REQUIRED])} SELECT url FROM r WHERE url NOT IN (SELECT url FROM pages WHERE url IS NOT NULL)")
+def required_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Required URLs that no page has."""
+    return S.missing_urls(table(spark, sf_dir, "pages"), REQUIRED)
+
+
+FRAGMENTS = (("/en/1", "first"), ("/en/", "english"), (".html", "file"))
+
+
+@query("SELECT page_id, CASE " + " ".join(f"WHEN contains(lower(url), '{f}') THEN '{b}'" for f, b in FRAGMENTS) + " ELSE '' END AS bucket FROM pages")
+def fragment_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets by fragments of URLs."""
+    return table(spark, sf_dir, "pages").select("page_id", S.bucket_from_url(F.col("url"), FRAGMENTS).alias("bucket"))
+
+
+@query(rf"""WITH {_PAGE_URLS}, m AS (SELECT 'see [a](' || path || '#x) and [b](/b' || path || '/?q) or [c](mailto:x)' AS md FROM u),
+t AS (SELECT unnest(regexp_extract_all(md, '\]\((/[^)#?\s]+)', 1)) AS target FROM m) SELECT DISTINCT rtrim(target, '/') AS target FROM t""")
+def markdown_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct absolute-path targets of markdown links."""
+    path = U.path_of(F.col("url"))
+    return S.link_targets(table(spark, sf_dir, "pages").select(F.concat(F.lit("see [a]("), path, F.lit("#x) and [b](/b"), path, F.lit("/?q) or [c](mailto:x)")).alias("text")))
+
+
+@query("SELECT DISTINCT lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)) AS host FROM pages WHERE regexp_matches(url, '^[a-zA-Z]+://[^/?#]+') AND lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)) <> 'blog.tiontion.example.com'")
+def unknown_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts of pages that aren't known yet."""
+    return D.new_hosts(table(spark, sf_dir, "pages"), ["blog.tiontion.example.com"])
+
+
+@query("""WITH now AS (SELECT url, sha1(min(coalesce(html, ''))) AS h FROM pages WHERE page_id % 2 = 0 GROUP BY url), old AS (SELECT DISTINCT url, sha1('old') AS h FROM pages WHERE page_id % 3 = 0)
+SELECT url, h AS content_sha1, 'today' AS last_fetch FROM now UNION ALL SELECT url, h, 'before' FROM old WHERE url NOT IN (SELECT url FROM now)""")
+def state_after_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fetch state after a run over half of the pages."""
+    p, n = table(spark, sf_dir, "pages"), F.lit(None).cast("string")
+    old = p.filter("page_id % 3 = 0").select("url", n.alias("etag"), n.alias("last_modified"), F.sha1(F.lit("old")).alias("content_sha1"), F.lit("before").alias("last_fetch")).distinct()
+    now = p.filter("page_id % 2 = 0").groupBy("url").agg(F.min(F.coalesce("html", F.lit(""))).alias("html"))
+    return S.next_state(now, old, "today").select("url", "content_sha1", "last_fetch")
+
+
+@query("""WITH old AS (SELECT DISTINCT url, sha1(url) AS etag FROM pages WHERE page_id % 3 = 0), u AS (SELECT DISTINCT url FROM pages WHERE url IS NOT NULL)
+SELECT url, etag, starts_with(url, 'https://blog') AS needs_render, regexp_matches(url, '/[0-9]+\\.html$') AS needs_tables FROM u LEFT JOIN old USING (url)""")
+def fetch_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a fetch of each page's URL needs."""
+    p = table(spark, sf_dir, "pages")
+    state = p.filter("page_id % 3 = 0").select("url", F.sha1("url").alias("etag"), F.lit(None).cast("string").alias("last_modified"))
+    plan = D.fetch_plan(p.select("url").filter("url is not null").distinct(), state, ["https://blog"], [], [r"/[0-9]+\.html$"])
+    return plan.select("url", "etag", "needs_render", "needs_tables")
+
+
+@query(ORACLES["kb_argmax"].replace("SELECT seed_no, topic, doc_id, CAST(score AS BIGINT) AS score FROM r", "SELECT 'kb:' || left(sha1(question), 12) AS id, topic, doc_id AS chunk_id FROM r").replace("SELECT seed_no, topic, doc_id, 2 *", "SELECT seed_no, topic, question, doc_id, 2 *"))
+def knowledge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Knowledge items of the seed questions."""
+    n = F.lit(None).cast("string")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("id"), F.col("doc_id").alias("ordinal"), "text", n.alias("source_url"), n.alias("bucket"), F.array().cast("array<string>").alias("headings"))
+    return A.knowledge_items(frame(spark, X_.SEED_SCHEMA, X_.SEEDS), d.drop("doc_id")).select("id", "topic", "chunk_id")
+
+
+@query(f"WITH j AS ({ORACLES['label_metrics']}) SELECT category, accuracy FROM j")
+def category_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean accuracy by category, a bar chart's data."""
+    return writers.accuracy_bars(label_metrics(spark, sf_dir))
+
+
+@query(f"WITH {_JUDGED} SELECT id, question, category, CAST(substring_match AS VARCHAR) AS substring_match, CAST(em AS VARCHAR) AS \"EM\", printf('%.3f', f1) AS \"F1\", '' AS intent, coalesce(CAST(source_correct AS VARCHAR), '') AS source_correct, coalesce(primary_url, '') AS primary_url FROM j")
+def eval_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluation's table as it is written."""
+    return writers.eval_rows(_judged(spark).withColumn("intent", F.lit("")))
