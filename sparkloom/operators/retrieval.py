@@ -118,13 +118,15 @@ class HashedVectors:
         return F.array(*out)
 
     def index(self, vectors: DataFrame) -> DataFrame:
-        """A row a vector and table: (table, code, ...); write it partitioned by table."""
-        return vectors.withColumn("_codes", self.codes(F.col("embedding"))).select("*", F.posexplode("_codes").alias("table", "code")).drop("_codes")
+        """A row a vector and table: (table, code, vec_id), without the vectors; write it partitioned by table."""
+        return vectors.select("vec_id", F.posexplode(self.codes(F.col("embedding"))).alias("table", "code"))
 
-    def search(self, queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    def search(self, queries: DataFrame, index: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+        """Ids alone meet in the cells and are made distinct; vectors are fetched for the pairs that are left."""
         near = F.array(F.lit(0), *[F.lit(1 << b) for b in range(self.bits)])
-        probes = queries.withColumn("_codes", self.codes(F.col("qvec"))).select("qid", "qvec", F.posexplode("_codes").alias("table", "_code"))
-        probes = probes.select("qid", "qvec", "table", F.explode(F.transform(near, lambda m: F.col("_code").bitwiseXOR(m))).alias("code"))
-        hits = keep_first(index.join(probes, ["table", "code"]).drop("table", "code"), ["qid", "vec_id"], ["vec_id"])
+        probes = queries.select("qid", F.posexplode(self.codes(F.col("qvec"))).alias("table", "_code"))
+        probes = probes.select("qid", "table", F.explode(F.transform(near, lambda m: F.col("_code").bitwiseXOR(m))).alias("code"))
+        pairs = index.join(probes, ["table", "code"]).select("qid", "vec_id").distinct()
+        hits = pairs.join(vectors, "vec_id").join(queries, "qid")
         score = dot(F.col("qvec"), F.col("embedding")) / (norm(F.col("qvec")) * norm(F.col("embedding")))
         return top_k(hits.withColumn("embed_score", F.round(score, 6)).drop("qvec", "embedding"), k, "qid", [F.desc("embed_score"), F.asc("vec_id")])

@@ -211,7 +211,14 @@ def page_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.keep_first(p, ["key"], ["page_id"])
 
 
-@query("SELECT * FROM (VALUES ('https://uni.example.com/pages.xml', 'https://uni.example.com/a?x=1&y=2', '2025-01-02', 0), ('https://uni.example.com/pages.xml', 'https://uni.example.com/b/', '', 1)) t(sitemap, url, lastmod, ordinal)")
+_SKIPPED = " AND ".join(f"NOT contains(sitemap, '{x}')" for x in readers.SKIPPED_SITEMAPS)
+
+
+@query(rf"""WITH {values('f', 'sitemap, xml', X_.SITEMAPS)}, i AS (SELECT unnest(regexp_extract_all(xml, '(?s)<sitemap>.*?</sitemap>')) AS e FROM f WHERE sitemap LIKE '%sitemap_index.xml'),
+c AS (SELECT trim(regexp_extract(e, '(?s)<loc>(.*?)</loc>', 1)) AS sitemap FROM i), k AS (SELECT DISTINCT sitemap FROM c WHERE {_SKIPPED} UNION SELECT 'https://uni.example.com/broken.xml'),
+e AS (SELECT sitemap, regexp_extract_all(xml, '(?s)<url>.*?</url>') AS es FROM k JOIN f USING (sitemap)), x AS (SELECT sitemap, es, unnest(range(len(es))) AS ordinal FROM e),
+v AS (SELECT sitemap, ordinal, trim(regexp_extract(es[ordinal + 1], '(?s)<loc>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</loc>', 1)) AS raw, trim(regexp_extract(es[ordinal + 1], '(?s)<lastmod>(.*?)</lastmod>', 1)) AS lastmod FROM x)
+SELECT sitemap, replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS url, lastmod, CAST(ordinal AS INTEGER) AS ordinal FROM v WHERE raw <> ''""")
 def sitemap_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index expanded to its children, their URLs; users and taxonomies are left out, a broken file gives none."""
     files = frame(spark, "sitemap string, xml string", X_.SITEMAPS)
@@ -272,7 +279,14 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.chunk_documents(frame(spark, X_.MD_SCHEMA, X_.MD_DOCS))
 
 
-@query("SELECT * FROM (VALUES ('u1', '104', 'Computational Concepts', 3, 'Learn things.' || chr(10) || chr(10) || 'More.', 0), ('u1', '515', 'Software Engineering', 4, '', 1), ('u1', '999', 'Seminar', 1, 'last', 2)) t(url, number, title, credits, body, ordinal)")
+_COURSE = r"'^CSIT\s+(\d{3})\s+(.*?)\s*\((\d+)\s+credits?\)\s*$'"
+
+
+@query(rf"""WITH {values('d', 'url, md', X_.COURSE_DOCS)}, l AS (SELECT url, string_split(md, chr(10)) AS ls FROM d), u AS (SELECT url, unnest(range(len(ls))) AS i, ls FROM l),
+h AS (SELECT url, i, ls[i + 1] AS line, trim(regexp_replace(regexp_replace(replace(ls[i + 1], chr(160), ' '), '^\s*\*\*(.*?)\*\*\s*$', '\1'), '\s+', ' ', 'g')) AS head FROM u),
+g AS (SELECT *, regexp_matches(head, {_COURSE}) AS starts, sum(CAST(regexp_matches(head, {_COURSE}) AS INTEGER)) OVER (PARTITION BY url ORDER BY i) AS n FROM h)
+SELECT url, regexp_extract(any_value(head) FILTER (starts), {_COURSE}, 1) AS number, regexp_extract(any_value(head) FILTER (starts), {_COURSE}, 2) AS title, CAST(regexp_extract(any_value(head) FILTER (starts), {_COURSE}, 3) AS INTEGER) AS credits,
+regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT starts), ''), '^\s+|\s+$', '', 'g') AS body, CAST(n - 1 AS INTEGER) AS ordinal FROM g WHERE n > 0 GROUP BY url, n""")
 def course_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.split_courses(frame(spark, "url string, md string", X_.COURSE_DOCS))
 
@@ -319,7 +333,7 @@ def vector_topk_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The approximate path: hyperplane codes in several tables, exact scores of what they find."""
     v = table(spark, sf_dir, "embeddings")
     h = V.HashedVectors(64)
-    return h.search(_queries_of(spark, sf_dir), h.index(v), 10).select("qid", "vec_id", "embed_score", "rank")
+    return h.search(_queries_of(spark, sf_dir), h.index(v), v, 10).select("qid", "vec_id", "embed_score", "rank")
 
 
 @query(f"""WITH {_vector_sql()}, c AS (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY rank) AS n FROM r),
@@ -406,7 +420,10 @@ def hybrid_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 CASES = [(2, "withdraw winter", "deadline", "registrar/add-drop", "registrar", 3), (3, "semester end", "calendar", None, None, 1), (4, "required courses", None, "computer-science-ms", "catalog-programs", 5), (8, "nothing", "policy", None, None, 1)]
 
 
-@query("SELECT * FROM (VALUES ('withdraw winter', true, true, true, true), ('semester end', true, true, true, true), ('required courses', true, true, true, true), ('nothing', false, true, true, false)) t(name, intent_ok, url_ok, bucket_ok, passed)")
+@query(f"""WITH {_SCORED}, {values('cs', 'qid, name, expect_intent, expect_url, expect_bucket, top_k', CASES)},
+j AS (SELECT cs.*, o.intent = expect_intent AS i, o.rank <= top_k AND contains(o.url, expect_url) AS u, o.rank <= top_k AND o.bucket = expect_bucket AS b FROM cs LEFT JOIN (SELECT qid, intent, url, bucket, rank FROM v WHERE rank <= 5) o USING (qid)),
+w AS (SELECT name, expect_intent IS NULL OR coalesce(bool_or(i), false) AS intent_ok, expect_url IS NULL OR coalesce(bool_or(u), false) AS url_ok, expect_bucket IS NULL OR coalesce(bool_or(b), false) AS bucket_ok FROM j GROUP BY name, expect_intent, expect_url, expect_bucket)
+SELECT *, intent_ok AND url_ok AND bucket_ok AS passed FROM w""")
 def regression_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expectations of intent, URL and bucket of the first ranks."""
     cases = frame(spark, "qid int, name string, expect_intent string, expect_url string, expect_bucket string, top_k int", CASES)
@@ -416,7 +433,13 @@ def regression_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 COURSES = [("u1", "Overview\nRequired Courses\nCSIT 515 Software Engineering (3 credits)\nCSIT 545 Architecture\nCSIT 515 Again (9 credits)\nElective Courses\nCSIT 600 Other (3 credits)"), ("u2", "CSIT 100 Not required (3 credits)")]
 
 
-@query("SELECT * FROM (VALUES ('u1', 'CSIT 515', 'Software Engineering', 3), ('u1', 'CSIT 545', 'Architecture', NULL)) t(url, code, title, credits)")
+_CODE = r"'^[*-]?\s*([A-Z]{3,4}\s?\d{3})\s+(.*?)(?:\s*\((\d+) credits?\))?$'"
+
+
+@query(f"""WITH {values('d', 'url, text', COURSES)}, l AS (SELECT url, string_split(text, chr(10)) AS ls FROM d), u AS (SELECT url, unnest(range(len(ls))) AS i, ls FROM l), t AS (SELECT url, i, trim(ls[i + 1]) AS line FROM u),
+a AS (SELECT url, min(i) AS lo FROM t WHERE contains(lower(line), 'required c') GROUP BY url), z AS (SELECT t.url, min(i) AS hi FROM t JOIN a USING (url) WHERE i > lo AND contains(lower(line), 'elective') GROUP BY t.url),
+r AS (SELECT t.url, i, regexp_extract(line, {_CODE}, 1) AS code, regexp_extract(line, {_CODE}, 2) AS title, CAST(nullif(regexp_extract(line, {_CODE}, 3), '') AS INTEGER) AS credits FROM t JOIN a USING (url) LEFT JOIN z USING (url) WHERE i >= lo AND (hi IS NULL OR i < hi) AND regexp_matches(line, {_CODE}))
+SELECT url, code, title, credits FROM (SELECT *, row_number() OVER (PARTITION BY url, code ORDER BY i) AS n FROM r) WHERE n = 1""")
 def required_courses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.required_courses(frame(spark, "url string, text string", COURSES))
 
@@ -757,3 +780,48 @@ def category_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def eval_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evaluation's table as it is written."""
     return writers.eval_rows(_judged(spark).withColumn("intent", F.lit("")))
+
+
+CELLS = [(1, " **Required  Courses** "), (2, "x<BR/>y&nbsp;z<br >  w"), (3, "a  \t b"), (4, ""), (5, "**half"), (6, "plain")]
+
+
+@query(rf"""WITH {values('c', 'id, t', CELLS)} SELECT id, trim(regexp_replace(regexp_replace(replace(t, chr(160), ' '), '^\s*\*\*(.*?)\*\*\s*$', '\1'), '\s+', ' ', 'g')) AS heading,
+regexp_replace(regexp_replace(regexp_replace(t, '(?i)<br\s*/?>', ' / ', 'g'), '(?i)&nbsp;|\x{{00a0}}', ' ', 'g'), '[ \t]{{2,}}', ' ', 'g') AS cell FROM c""")
+def heading_and_cell_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heading lines without bold marks, and table cells without HTML blanks."""
+    return frame(spark, "id int, t string", CELLS).select("id", X.heading_line(F.col("t")).alias("heading"), X.html_cell(F.col("t")).alias("cell"))
+
+
+REQUIREMENT_ROWS = [
+    (1, "What are the required courses?", 1, "catalog-programs", "Elective Courses"), (1, "What are the required courses?", 2, "catalog-programs", "Required Courses"), (1, "What are the required courses?", 3, "policies", "Elective rules"),
+    (2, "electives beside required courses?", 1, "catalog-programs", "Electives"), (3, "program requirements", 1, "catalog-programs", "Electives A"), (3, "program requirements", 2, "catalog-programs", "Electives B"),
+    (4, "hello", 1, "catalog-programs", "Electives"), (5, "degree requirements", 1, "catalog-programs", None), (5, "degree requirements", 2, "catalog-programs", "Elective Program Requirements"), (5, "degree requirements", 3, "catalog-programs", "Free electives"),
+]
+_NAMED = ("required courses", "required core", "program requirements", "degree requirements")
+
+
+@query(f"""WITH {values('r', 'qid, query, rank, bucket, section_heading', REQUIREMENT_ROWS)}, d AS (SELECT *, {_ANY('query', _NAMED)} AND NOT contains(lower(query), 'elective') AND bucket = 'catalog-programs' AND NOT {_ANY("coalesce(section_heading, '')", _NAMED)} AND contains(lower(coalesce(section_heading, '')), 'elective') AS gone FROM r),
+k AS (SELECT *, count(*) FILTER (NOT gone) OVER (PARTITION BY qid) AS n_left FROM d) SELECT qid, rank, section_heading FROM k WHERE n_left = 0 OR NOT gone""")
+def requirement_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of electives left out of questions about required courses."""
+    return A.requirement_sections(frame(spark, "qid int, query string, rank int, bucket string, section_heading string", REQUIREMENT_ROWS)).select("qid", "rank", "section_heading")
+
+
+ROW_TEXTS = [("u1", "Fall 2025", "**Term:** Full", "registrar", "Fall 2025", True), ("u1", "Fall 2025", "**Term:** A", "policies", "", False), ("u2", "", "x", "registrar", None, None)]
+
+
+@query(f"WITH {values('r', 'url, section_heading, text, bucket, term, words', ROW_TEXTS)} SELECT 'sha1:' || sha1(url || '::row::' || text) AS id, url AS source_url, 'Calendar Row' AS title, section_heading, true AS is_table, 'calendar' AS section, term, words AS has_deadline_words FROM r WHERE bucket IN ('registrar')")
+def table_row_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table rows of the allowed buckets as chunks."""
+    r = frame(spark, "url string, section_heading string, text string, bucket string, term string, has_deadline_words boolean", ROW_TEXTS)
+    return C.row_chunks(r, ["registrar"]).select("id", "source_url", "title", "section_heading", "is_table", "section", "term", "has_deadline_words")
+
+
+TERM_CASES = [(1, "a\n**TERM:** Spring 2026 \nb", "H1: Fall 2025"), (2, "in WINTER 2024", "H1: Dates of fall 2025"), (3, "in WINTER 2024, Fall 2025", "H1: Dates"), (4, "Fallout 2024 and prefall 2025", "H1: x"), (5, "", "")]
+
+
+@query(r"WITH " + values("t", "id, text, heading", TERM_CASES) + r""", f AS (SELECT id, trim(regexp_extract(text, '(?m)^\*\*TERM:\*\*\s*(.+)$', 1)) AS mark, regexp_extract(heading, '(?i)\b(fall|spring|summer|winter)\s+(20\d{2})\b') AS a, regexp_extract(text, '(?i)\b(fall|spring|summer|winter)\s+(20\d{2})\b') AS b FROM t)
+SELECT id, coalesce(nullif(mark, ''), nullif(upper(left(a, 1)) || lower(substr(a, 2)), ''), upper(left(b, 1)) || lower(substr(b, 2))) AS term FROM f""")
+def chunk_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chunk's term: its mark's, else its headings', else its text's."""
+    return frame(spark, "id int, text string, heading string", TERM_CASES).select("id", X.infer_term(F.col("text"), F.array("heading")).alias("term"))

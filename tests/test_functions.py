@@ -188,7 +188,7 @@ def test_hashed_search_recall(spark):
     q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
     exact = {(r["qid"], r["vec_id"]) for r in V.vector_top_k(q, v, 10).collect()}
     h = V.HashedVectors(64)
-    found = {(r["qid"], r["vec_id"]) for r in h.search(q, h.index(v), 10).collect()}
+    found = {(r["qid"], r["vec_id"]) for r in h.search(q, h.index(v), v, 10).collect()}
     assert len(exact & found) / len(exact) >= 0.9
 
 
