@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -17,10 +18,12 @@ BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, local runs) is a temporary folder set up.
+    Only where the session names none and runs on one machine (tests, local runs) is a temporary folder set up.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -90,16 +93,35 @@ class Stage:
                 drop_folder(self.spark, path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS rows and BATCH_BYTES bytes, each only where it is higher or unbounded.
+
+    Spark reads these settings when a plan runs, so they stay lowered for the session's later plans.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if not 0 < bytes_of(spark.conf.get(key)) <= most:
+            spark.conf.set(key, most)
+
+
+def bytes_of(setting: str) -> int:
+    """The number that a setting such as 8388608, 8m or 67108864b stands for."""
+    number, unit = re.fullmatch(r"(-?\d+)([a-z]*)", setting.strip().lower()).groups()
+    return int(number) << 10 * "bkmgtp".index(unit[:1] or "b")
+
+
 def map_frames(df: DataFrame, f, schema) -> DataFrame:
-    """``mapInPandas`` with batches of at most BATCH_ROWS rows and BATCH_BYTES bytes, so that a worker, and the JVM's side of the
-    exchange, hold a few megabytes of texts at a time. It lowers the session's settings where they are higher."""
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """``mapInPandas`` with bounded batches, so that a worker, and the JVM's side of the exchange, hold a few megabytes of texts at a time."""
+    bound_batches(df.sparkSession)
     return df.mapInPandas(f, schema)
 
 
+def map_batches(df: DataFrame, f, schema) -> DataFrame:
+    """``mapInArrow`` with bounded batches."""
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(f, schema)
+
+
 def docs_only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that extra columns never clash with those an operator adds."""
     return df.select(*[df[n] for n in names])

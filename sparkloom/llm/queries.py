@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.llm import infill
 from sparkloom.llm.bitplanes import op8_token_files
 from sparkloom.llm.bpe import op10_bpe
 from sparkloom.llm.decontaminate import op6_suffix_arrays
@@ -30,8 +31,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": op8_token_files,
         "op9_warc": op9_warc,
         "op10_bpe": op10_bpe,
+        "op11_fill_in_middle": infill.op11_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_fill_in_middle": infill.ORACLE_SQL}
