@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import infill, late
+from sparkloom.llm import infill, late, substrings
 from sparkloom.llm.bitplanes import op8_token_files
 from sparkloom.llm.bpe import op10_bpe
 from sparkloom.llm.decontaminate import op6_suffix_arrays
@@ -33,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_bpe": op10_bpe,
         "op11_fill_in_middle": infill.op11_fill_in_middle,
         "op12_late_overwrite": late.op12_late_overwrite,
+        "op13_repeated_passages": substrings.op13_repeated_passages,
     }
 
 
