@@ -5,7 +5,7 @@ How the windows that must meet come into one shard, without moving whole texts:
 1. Texts are written once as files. Beside each text lie its segments: the least hash of the GRAM-word runs in a window is the
    window's mark, and neighbouring windows with one mark are a segment. Equal windows have equal marks.
 2. Of the segments only (mark, hash, place) is dealt, by mark; equal ones are combined in the task that reads them and again
-   after the exchange. A mark that stands once in the corpus can't hold a repeated window, and its segments go.
+   after the exchange. The one segment of a mark can't hold a repeated window unless its own words hold the mark twice; else it goes.
 3. Of each different segment left one copy is cut from the files and dealt by mark to shards. A mark with more than HOT
    different segments (a common line in many contexts) is dealt once more, by the next mark of its windows.
 4. A shard is a compressed FM-index (``fmindex``) of its segments, weighted by their copies. All its segments are streamed
@@ -41,7 +41,7 @@ SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 K1, K2, K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-SEGMENT = np.dtype([("m", "<i8"), ("s", "<i8"), ("at", "<u4"), ("w", "u1")])
+SEGMENT = np.dtype([("m", "<i8"), ("s", "<i8"), ("at", "<u4"), ("w", "u1"), ("own", "?")])
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -138,6 +138,11 @@ def cut_segments(h: np.ndarray, counts: np.ndarray, window: int, gram: int, most
         owner = text[at]
         seg["m"], seg["s"], seg["w"] = marks[at].view(np.int64), s.view(np.int64), w
         seg["at"] = lo + at - first[owner]
+        # whether the mark stands more than once in the segment's own words, without which no window can repeat in it
+        size = w + window - gram
+        before = np.cumsum(size) - size
+        own = r[gram][np.repeat(at - before, size) + np.arange(before[-1] + size[-1])] == np.repeat(marks[at], size)
+        seg["own"] = np.add.reduceat(own, before, dtype=np.int64) > 1
         cuts = np.flatnonzero(np.diff(owner)) + 1
         for part, o in zip(np.split(seg, cuts), owner[np.concatenate([[0], cuts])], strict=True):
             out[o].append(part)
@@ -223,7 +228,7 @@ class Texts:
 
 
 def occurrences(texts: Texts, combined: bool) -> DataFrame:
-    """Every segment: (m, s, n, file, row, at, w); ``combined``: equal ones that a task reads together are one row with their number n."""
+    """Every segment: (m, s, n, file, row, at, w, own); ``combined``: equal ones that a task reads together are one row with their number n."""
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -231,7 +236,7 @@ def occurrences(texts: Texts, combined: bool) -> DataFrame:
         def out() -> pd.DataFrame:
             seg = np.concatenate([np.frombuffer(x, SEGMENT) for _, _, x in held])
             times = [len(x) // SEGMENT.itemsize for _, _, x in held]
-            x = pd.DataFrame({"m": seg["m"], "s": seg["s"], "n": np.ones(len(seg), np.int64), "file": np.repeat([f for f, _, _ in held], times), "row": np.repeat([r for _, r, _ in held], times), "at": seg["at"].astype(np.int64), "w": seg["w"].astype(np.int32)})
+            x = pd.DataFrame({"m": seg["m"], "s": seg["s"], "n": np.ones(len(seg), np.int64), "file": np.repeat([f for f, _, _ in held], times), "row": np.repeat([r for _, r, _ in held], times), "at": seg["at"].astype(np.int64), "w": seg["w"].astype(np.int32), "own": seg["own"]})
             if combined:
                 order = np.lexsort((x["s"], x["m"]))
                 x = x.iloc[order]
@@ -252,16 +257,16 @@ def occurrences(texts: Texts, combined: bool) -> DataFrame:
 
     file, row = texts.place
     rows = texts.table.filter(F.octet_length("segs") > 0).select(file.alias("file"), row.alias("row"), "segs")
-    return map_frames(rows, unpack, "m long, s long, n long, file long, row long, at long, w int")
+    return map_frames(rows, unpack, "m long, s long, n long, file long, row long, at long, w int, own boolean")
 
 
 def candidates(texts: Texts) -> DataFrame:
-    """One copy of each different segment whose mark stands more than once: (m, s, n, hot, file, row, at, w)."""
+    """One copy of each different segment whose mark has more than one segment, or stands twice in it: (m, s, n, hot, file, row, at, w, own)."""
     rows = occurrences(texts, True).repartition("m")
-    each = rows.groupBy("m", "s").agg(F.sum("n").alias("n"), F.min(F.struct("file", "row", "at", "w")).alias("o"))
+    each = rows.groupBy("m", "s").agg(F.sum("n").alias("n"), F.min(F.struct("file", "row", "at", "w", "own")).alias("o"))
     of_mark = Window.partitionBy("m")
     each = each.select("m", "s", "n", "o", F.sum("n").over(of_mark).alias("all"), F.count("*").over(of_mark).alias("kinds"))
-    return each.filter("all > 1").select("m", "s", "n", (F.col("kinds") > HOT).alias("hot"), "o.*")
+    return each.filter("all > 1 OR o.own").select("m", "s", "n", (F.col("kinds") > HOT).alias("hot"), "o.*")
 
 
 def copies(texts: Texts, chosen: DataFrame, window: int, gram: int) -> DataFrame:

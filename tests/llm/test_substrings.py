@@ -85,17 +85,28 @@ def test_passages_against_brute_force(spark, window):
 
 
 def test_passages_with_hot_marks_small_shards_and_pieces(spark, monkeypatch):
-    """Marks beyond the bound are dealt by two marks; many shards; texts longer than a piece."""
+    """Marks beyond the bound are dealt by two marks; the sizes of pieces, shards and batches change no result."""
     from sparkloom.llm import substrings as S
 
-    for name, value in (("HOT", 3), ("SHARD_WORDS", 300), ("PIECE", 2000), ("AT_ONCE", 150), ("COMBINED", 64)):
-        monkeypatch.setattr(S, name, value)
     r = random.Random(5)
     say = lambda n: " ".join(f"v{r.randrange(3000)}" for _ in range(n))
     line, passage = say(14), say(50)
-    texts = [(i, f"{say(30)} {line} {say(30)} {passage} {say(20)}") for i in range(40)] + [(50, say(2000)), (51, "x" * 5000 + " " + passage)]
+    texts = [(i, f"{say(30)} {line} {say(30)} {passage} {say(20)}") for i in range(40)] + [(50, say(2000)), (51, "x" * 5000 + " " + passage), (52, "again " * 60), (53, f"{say(40)} {'a b c ' * 30}")]
+    monkeypatch.setattr(S, "HOT", 3)
     check(spark, texts)
 
+    whole = list(S.text_segments([t for _, t in texts], 35, 8, 94))
+    for name, value in (("PIECE", 2000), ("AT_ONCE", 150)):
+        monkeypatch.setattr(S, name, value)
+    for (n, a), (k, b), (_, t) in zip(whole, S.text_segments([t for _, t in texts], 35, 8, 94), texts, strict=True):
+        assert n == k == len(t.split())
+        marks = [{i: x["m"] for x in np.frombuffer(y, S.SEGMENT) for i in range(x["at"], x["at"] + x["w"])} for y in (a, b)]
+        assert marks[0] == marks[1] and set(marks[0]) == set(range(max(0, n - 34)))
+
+    rows = [(i % 3, i % 3, i, 0, 1, " ".join(["w"] * 35 if i % 2 else say(40).split()).encode()) for i in range(12)]
+    whole = S.of_shard(rows, 35)
+    assert sorted(whole["s"]) == [1, 3, 5, 7, 9, 11] and set(whole["hi"] - whole["lo"]) == {35}
+
 
 def test_passages_of_no_rows(spark):
     from sparkloom.llm.substrings import remove_repeated
