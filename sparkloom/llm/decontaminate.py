@@ -13,9 +13,10 @@ pass over the stream of documents, so any number of items is handled and a worke
 from __future__ import annotations
 
 import hashlib
+import uuid
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ from sparkloom.llm._common import docs_only, map_frames
 #: Words of a window.
 WINDOW = 10
 #: Bytes of benchmark text in a block, which bounds what is broadcast.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 #: Documents of a shard at most.
 SHARD_ROWS = 4096
 
@@ -41,50 +42,75 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Block:
-    """Benchmark texts (with the ids of the items that have them) as word numbers, their known pairs, and each distinct window."""
+    """Benchmark texts (with the ids of the items that have them) as word numbers under one suffix array, and each distinct window.
+
+    About 40 bytes a word of the items, and the vocabulary. Windows lie in the order of their words; those of items shorter
+    than a window are whole items.
+    """
 
     def __init__(self, items: list[tuple[list[int | None], str | None]], window: int = WINDOW):
         self.vocab: dict[bytes, int] = {}
-        self.items = [(i, np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws], ">u4")) for i, t in items if (ws := words_of(t))]
-        self.shortest = min([window, *(len(s) for _, s in self.items)])
+        held = [(i, np.fromiter((self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws), np.int64, len(ws))) for i, t in items if (ws := words_of(t))]
+        self.ids = [i for i, _ in held]
+        sizes = np.array([len(s) for _, s in held], np.int64)
+        words = np.concatenate([x for _, s in held for x in (s, [0])]) if held else np.zeros(0, np.int64)
+        del held
+        ends = np.cumsum(sizes + 1) - 1
         self.base = np.uint64(len(self.vocab) + 1)
-        pairs = [s[:-1].astype(np.uint64) * self.base + s[1:] for _, s in self.items]
-        self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.uint64)
-        #: Window bytes -> the items' numbers in the block; equal windows are searched once.
-        self.windows: dict[bytes, set[int]] = {}
-        self.tails: dict[bytes, list[bytes]] = {}  # the test suffixes that begin with a window, sorted
-        #: The windows that begin with a pair of words, or are one word; a shard is searched only for those whose beginning it holds.
-        self.by_start: dict[int, list[bytes]] = {}
-        for number, (_, s) in enumerate(self.items):
-            w = min(window, len(s))
-            raw = s.tobytes()
-            for j in range(len(s) - w + 1):
-                key = raw[4 * j : 4 * (j + w)]
-                if key not in self.windows:
-                    self.windows[key], self.tails[key] = set(), []
-                    self.by_start.setdefault(self.start(s[j : j + 2].tolist() if w > 1 else [int(s[j])]), []).append(key)
-                self.windows[key].add(number)
-                self.tails[key].append(raw[4 * j :])
-        for key, own in self.tails.items():
-            self.tails[key] = sorted(set(own))
-
-    def start(self, words: list[int]) -> int:
-        """The number of a pair of words; of a word alone, less than any pair's."""
-        return words[0] if len(words) == 1 else words[0] * int(self.base) + words[1]
-
-    def present(self, s: np.ndarray) -> Iterator[bytes]:
-        """The windows whose beginning occurs in a shard's runs."""
-        starts = [np.unique(s[s > 0])] if self.shortest == 1 else []
+        self.order = suffix_array(words).astype(np.int32)
+        left = np.repeat(ends, sizes + 1) - np.arange(len(words))  # words from a place to its item's end
+        self.left, self.item = left.astype(np.int32), np.repeat(np.arange(len(sizes)), sizes + 1).astype(np.int32)
+        short = np.flatnonzero((sizes > 0) & (sizes < window))
+        self.shortest = int(min([window, *sizes[short].tolist()]))
+        # windows of full length: neighbours in the suffix array that agree in as many words
+        rows = np.flatnonzero(left[self.order] >= window).astype(np.int32)
+        same = np.ones(max(0, len(rows) - 1), bool)
+        for j in range(window):
+            column = words[self.order[rows] + j]
+            same &= column[1:] == column[:-1]
+        first = np.flatnonzero(np.concatenate([[True], ~same])) if len(rows) else np.zeros(0, np.int64)
+        #: First and last row of each window in the suffix array; the rows between all begin with it.
+        self.lo, self.hi = rows[first], rows[np.append(first[1:], len(rows)) - 1] + 1 if len(rows) else rows
+        self.window = window
+        at = self.order[self.lo]
+        self.codes = self.start(words[at], words[np.minimum(at + 1, max(0, len(words) - 1))] if window > 1 else None)
+        pairs = words[:-1].astype(np.uint64) * self.base + words[1:].astype(np.uint64)
+        self.pairs = np.unique(pairs[(words[:-1] > 0) & (words[1:] > 0)])
+        self.raw = words.astype(">u4").tobytes()
+        #: Whole short items by their first words' number: (bytes, item numbers).
+        self.short: dict[int, dict[bytes, list[int]]] = {}
+        for n in short.tolist():
+            lo = int(ends[n] - sizes[n])
+            code = int(self.start(words[lo : lo + 1], words[lo + 1 : lo + 2] if sizes[n] > 1 else None)[0])
+            self.short.setdefault(code, {}).setdefault(self.raw[4 * lo : 4 * int(ends[n])], []).append(n)
+
+    def start(self, first: np.ndarray, second: np.ndarray | None) -> np.ndarray:
+        """The numbers of pairs of words; of words alone, less than any pair's."""
+        first = first.astype(np.uint64)
+        return first if second is None else first * self.base + second.astype(np.uint64)
+
+    def present(self, s: np.ndarray) -> Iterator[tuple[bytes, set[int], tuple[int, int] | None]]:
+        """The windows whose beginning occurs in a shard's runs: their words, their items, their rows in the suffix array."""
+        starts = [np.unique(s[s > 0]).astype(np.uint64)] if self.shortest == 1 else []
         if len(s) > 1:
-            starts.append(np.unique(s[:-1].astype(np.uint64) * self.base + s[1:].astype(np.uint64)))
-        for start in chain.from_iterable(x.tolist() for x in starts):
-            yield from self.by_start.get(start, ())
+            starts.append(np.unique(self.start(s[:-1], s[1:])))
+        for some in starts:
+            lo, hi = np.searchsorted(self.codes, some), np.searchsorted(self.codes, some, side="right")
+            for k in np.flatnonzero(lo < hi).tolist():
+                for n in range(lo[k], hi[k]):
+                    rows = int(self.lo[n]), int(self.hi[n])
+                    at = int(self.order[rows[0]])
+                    yield self.raw[4 * at : 4 * (at + self.window)], set(self.item[self.order[rows[0] : rows[1]]].tolist()), rows
+            if self.short:
+                for code in some.tolist():
+                    for key, found in self.short.get(code, {}).items():
+                        yield key, set(found), None
 
     def runs(self, ids: np.ndarray) -> np.ndarray:
         """Which words of a shard can belong to a match: they lie in a run of known pairs (or words) long enough."""
         if self.shortest == 1:
             return ids > 0
-        codes = ids[:-1].astype(np.uint64) * self.base + ids[1:]
+        codes = ids[:-1].astype(np.uint64) * self.base + ids[1:].astype(np.uint64)
         at = np.searchsorted(self.pairs, codes)
         known = (ids[:-1] > 0) & (ids[1:] > 0) & (self.pairs[np.minimum(at, len(self.pairs) - 1)] == codes) if len(self.pairs) else np.zeros(len(codes), bool)
         edge = np.flatnonzero(np.diff(np.concatenate(([False], known, [False])).astype(np.int8)))
@@ -97,19 +123,22 @@ class Block:
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Suffix positions in order, by prefix doubling until all ranks differ."""
-    n = len(s)
-    rank = np.unique(s, return_inverse=True)[1].astype(np.int64) + 1
-    step = 1
+    """Suffix positions in order, by prefix doubling until all ranks differ; about 40 bytes a word at the peak."""
+    n, step = len(s), 1
+    if not n:
+        return np.zeros(0, np.int64)
+    rank = s.astype(np.int64) + 1
     while True:
-        second = np.zeros(n, np.int64)
-        second[: max(0, n - step)] = rank[step:]
-        key = rank * (rank.max() + 1 if n else 1) + second
-        order = np.argsort(key, kind="stable")
-        fresh = np.empty(n, np.int64)
-        fresh[order] = np.cumsum(np.concatenate(([1], (np.diff(key[order]) != 0).astype(np.int64)))) if n else 0
-        rank, step = fresh, step * 2
-        if not n or rank.max() == n or step > n:
+        key = rank * (int(rank.max()) + 1)
+        key[: max(0, n - step)] += rank[step:]
+        order = np.argsort(key)
+        key = key[order]
+        fresh = np.ones(n, np.int32)
+        np.cumsum(np.concatenate([[True], key[1:] != key[:-1]]), out=fresh)
+        del key
+        rank[order] = fresh
+        step *= 2
+        if fresh[-1] == n or step > n:
             return order
 
 
@@ -133,20 +162,31 @@ class Shard:
         lo = bisect_left(self.order, prefix, key=key)
         return lo, bisect_right(self.order, prefix, lo, key=key) if lo < len(self.order) and key(self.order[lo]) == prefix else lo
 
-    def longest(self, p: int, suffixes: list[bytes]) -> int:
-        """Words that the shard's suffix at p has in common with one of the sorted test suffixes: a neighbour of its place among them."""
-        here = self.raw[4 * p : 4 * p + max(map(len, suffixes))]
-        at = bisect_left(suffixes, here)
-        return max(self.match(p, s) for s in suffixes[max(0, at - 1) : at + 1])
-
-    def match(self, p: int, suffix: bytes) -> int:
-        """Words that the shard's suffix at p and a test suffix have in common."""
-        here = self.raw[4 * p : 4 * p + len(suffix)]
-        lo, hi = 0, len(here) // 4
+    def longest(self, p: int, block: Block, rows: tuple[int, int]) -> int:
+        """Words that the shard's suffix at p has in common with an item's: with a neighbour of its place in the rows of the suffix array."""
+        lo, hi, best = *rows, 0
         while lo < hi:
-            mid = (lo + hi + 1) // 2
-            lo, hi = (mid, hi) if here[: 4 * mid] == suffix[: 4 * mid] else (lo, mid - 1)
-        return lo
+            mid = (lo + hi) // 2
+            at = int(block.order[mid])
+            n = self.match(p, block, at)
+            best = max(best, n)
+            here, there = self.raw[4 * (p + n) : 4 * (p + n + 1)], block.raw[4 * (at + n) : 4 * (at + n + 1)] if n < block.left[at] else b""
+            lo, hi = (lo, mid) if here <= there else (mid + 1, hi)
+        return best
+
+    def match(self, p: int, block: Block, at: int) -> int:
+        """Words that the shard's suffix at p and an item's at a place have in common."""
+        most, n, step = int(block.left[at]), 0, 64
+        while n < most:
+            k = min(step, most - n)
+            here, there = self.raw[4 * (p + n) : 4 * (p + n + k)], block.raw[4 * (at + n) : 4 * (at + n + k)]
+            if here != there:
+                k = min(len(here), len(there)) // 4
+                a, b = np.frombuffer(here, ">u4", k), np.frombuffer(there, ">u4", k)
+                differ = np.flatnonzero(a != b)
+                return n + (int(differ[0]) if len(differ) else k)
+            n, step = n + k, 2 * step
+        return n
 
 
 def search_shard(texts: list[str | None], block: Block, window: int = WINDOW) -> list[tuple[int, list[list[int]], set, int]]:
@@ -163,17 +203,17 @@ def search_shard(texts: list[str | None], block: Block, window: int = WINDOW) ->
     items: dict[int, set] = {}
     longest: dict[int, int] = {}
     if shard.order:
-        for key in block.present(shard.words):
+        for key, found_items, rows in block.present(shard.words):
             lo, hi = shard.span(key)
             if lo == hi:
                 continue
-            found = shard.order[lo:hi]
+            found, size = shard.order[lo:hi], len(key) // 4
             places = shard.spots[np.array(found)]
             for q, p, d in zip(found, places.tolist(), (np.searchsorted(starts, places, "right") - 1).tolist(), strict=True):
-                spans.setdefault(d, []).append([p - starts[d], p - starts[d] + len(key) // 4])
-                items.setdefault(d, set()).update(block.windows[key])
-                longest[d] = max(longest.get(d, 0), shard.longest(q, block.tails[key]))
-    return [(len(ws), merged(spans.get(d, [])), {i for n in items.get(d, ()) for i in block.items[n][0]}, longest.get(d, 0)) for d, ws in enumerate(words)]
+                spans.setdefault(d, []).append([p - starts[d], p - starts[d] + size])
+                items.setdefault(d, set()).update(found_items)
+                longest[d] = max(longest.get(d, 0), shard.longest(q, block, rows) if rows else size)
+    return [(len(ws), merged(spans.get(d, [])), {i for n in items.get(d, ()) for i in block.ids[n]}, longest.get(d, 0)) for d, ws in enumerate(words)]
 
 
 def merged(spans: list[list[int]]) -> list[list[int]]:
@@ -199,6 +239,17 @@ def block_items(texts: DataFrame, block: int) -> list[tuple[list[int | None], st
     return [(r["ids"], r["text"]) for r in texts.filter(F.col("block") == block).select("ids", "text").collect()]
 
 
+_built: dict[tuple, Block] = {}
+
+
+def built(token: str, shared, window: int) -> Block:
+    """The block of a broadcast, built once a worker; the worker keeps the one it used last."""
+    if (token, window) not in _built:
+        _built.clear()
+        _built[token, window] = Block(shared.value, window)
+    return _built[token, window]
+
+
 FOUND = "n_words long, hits array<array<long>>, items array<string>, longest long"
 
 
@@ -216,8 +267,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     for b in range(blocks):
         shared = docs.sparkSession.sparkContext.broadcast(block_items(items, b))
 
-        def find(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            block = Block(shared.value, window)
+        def find(batches: Iterator[pd.DataFrame], shared=shared, token=uuid.uuid4().hex) -> Iterator[pd.DataFrame]:
+            block = built(token, shared, window)
             for batch in batches:
                 for lo in range(0, len(batch), SHARD_ROWS):
                     part = batch.iloc[lo : lo + SHARD_ROWS].copy()
@@ -248,8 +299,8 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
     for b in range(blocks):
         shared = docs.sparkSession.sparkContext.broadcast(block_items(items, b))
 
-        def clean(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            block = Block(shared.value, window)
+        def clean(batches: Iterator[pd.DataFrame], shared=shared, token=uuid.uuid4().hex) -> Iterator[pd.DataFrame]:
+            block = built(token, shared, window)
             for batch in batches:
                 for lo in range(0, len(batch), SHARD_ROWS):
                     part = batch.iloc[lo : lo + SHARD_ROWS]

@@ -396,6 +396,30 @@ def test_decontamination_longest_match_and_repeated_items(spark, monkeypatch):
         assert got == {1: (12, ["1", "2", "3"], [[1, 13]]), 2: (12, ["1", "2", "3"], [[0, 12]]), 3: (1, ["4"], [[1, 2]]), 4: (0, [], []), 5: (0, [], [])}
 
 
+def test_decontamination_of_long_items(spark):
+    """Memory in proportion to the items' words; brute force beside items longer than documents."""
+    import tracemalloc
+
+    from sparkloom.llm.decontaminate import Block, brute_force, find_matches
+
+    r = random.Random(11)
+    say = lambda n: " ".join(f"w{int(r.paretovariate(0.5)) % 5000}" for _ in range(n))
+    long, other = say(100_000), say(4_000)
+    tracemalloc.start()
+    Block([([1], long)])
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+    words = long.split()
+    texts = [(1, " ".join(words[500:530])), (2, "x " + " ".join(words[99_980:])), (3, say(300)), (4, " ".join(words[7:16])), (5, f"{other} {' '.join(words[:12])}")]
+    small = " ".join(words[400:1600]), " ".join([*words[:200], *words[99_800:]])
+    items = [(7, small[0]), (8, small[1]), (9, other), (9, "w1 w1 w2")]
+    rows = find_matches(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = {x[0]: x for x in brute_force(texts, items)}
+    for x in rows:
+        assert (x["n_words"], sum(e - s for s, e in x["hits"]), len(x["items"])) == want[x["doc_id"]][1:4]
+    assert {x["doc_id"]: x["longest"] for x in rows} == {1: 30, 2: 20, 3: 3, 4: 0, 5: 4000}
+
+
 def test_decontamination_empty(spark, empty, odd):
     from sparkloom.llm.decontaminate import contamination
 
