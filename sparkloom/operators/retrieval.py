@@ -78,17 +78,57 @@ def sub_queries(questions: DataFrame) -> DataFrame:
     return questions.select("qid", "query", F.posexplode(texts).alias("sub", "sub_query"))
 
 
-def lexical_top_k(queries: DataFrame, docs: DataFrame, k: int, cap: int | None = None, cap_key: str = "source", chars: int | None = X.OVERLAP_CHARS) -> DataFrame:
-    """Top-k documents by token overlap of queries (qid, query) with their first ``chars`` characters (None: whole), at most ``cap`` of a source each."""
-    tokens = docs.withColumn("_d", numbered(X.tokenize(F.col("text") if chars is None else F.substring("text", 1, chars)))).drop("text")
-    both = pair_up(queries.select("qid", numbered(X.tokenize(F.col("query"))).alias("_q")), tokens)
-    scored = both.withColumn("score", F.round(X.overlap_of_numbered(F.col("_q"), F.col("_d")), 6)).drop("_q", "_d")
+def capped(scored: DataFrame, k: int, cap: int | None, cap_key: str) -> DataFrame:
+    """The first k documents of each question by score, then doc_id, at most ``cap`` of a source each; with their rank."""
     order = [F.desc("score"), F.asc("doc_id")]
     if cap:
         scored = scored.withColumn("_n", F.row_number().over(Window.partitionBy("qid", cap_key).orderBy(*order))).filter(F.col("_n") <= cap).drop("_n")
     return top_k(scored, k, "qid", order)
 
 
+def filled(best: DataFrame, queries: DataFrame, docs: DataFrame, k: int, cap: int | None, cap_key: str) -> DataFrame:
+    """``capped`` results with documents of score 0 behind them where fewer than k share a token.
+
+    Fewer than k sources are then in the results, and a source that isn't full has fewer than ``cap`` hits, all of them among the
+    results; so the first few documents of each source, and of those the first few, are enough.
+    """
+    rest = docs.drop("text")
+    if cap:
+        rest = top_k(rest, 2 * cap, cap_key, [F.asc("doc_id")]).drop("rank")
+    few = rest.orderBy("doc_id").limit(2 * k * (cap or 1) + 2 * k).agg(F.collect_list(F.struct(*rest.columns)).alias("p"))
+    none = queries.select("qid").withColumn("_p", few.scalar()).select("qid", F.explode("_p").alias("_d")).select("qid", "_d.*", F.lit(0.0).alias("score"))
+    both = best.drop("rank").withColumn("_hit", F.lit(True)).unionByName(none.withColumn("_hit", F.lit(False)))
+    known = F.max("_hit").over(Window.partitionBy("qid", "doc_id"))
+    return capped(both.withColumn("_known", known).filter(F.col("_hit") | ~F.col("_known")).drop("_hit", "_known"), k, cap, cap_key)
+
+
+def lexical_top_k(queries: DataFrame, docs: DataFrame, k: int, cap: int | None = None, cap_key: str = "source", chars: int | None = X.OVERLAP_CHARS) -> DataFrame:
+    """Top-k documents by token overlap of queries (qid, query) with their first ``chars`` characters (None: whole), at most ``cap`` of a source each.
+
+    The questions' tokens are an inverted index (token, question, count): a document's tokens that no question has fall away in the
+    first hash join, those left are counted, and each meets only the questions that have it. The index is broadcast while its
+    measured size allows it and is otherwise joined by token. (``LexicalIndex`` keeps an index of the documents.)
+    """
+    postings = question_postings(queries)
+    small = size_of(postings) <= BROADCAST_BYTES
+    near = lambda df: F.broadcast(df) if small else df
+    columns = [c for c in docs.columns if c != "text"]
+    tokens = docs.withColumn("_d", X.tokenize(F.col("text") if chars is None else F.substring("text", 1, chars)))
+    rows = tokens.select(F.monotonically_increasing_id().alias("_row"), F.size("_d").alias("_len"), *columns, "_d").select("_row", "_len", *columns, F.explode("_d").alias("_t"))
+    known = rows.join(near(postings.select("_t").distinct()), "_t", "left_semi")
+    counts = known.groupBy("_row", "_len", *columns, "_t").agg(F.count("*").alias("_n"))
+    same = counts.join(near(postings), "_t").groupBy("_row", "_len", *columns, "qid", "_m").agg(F.sum(F.least("_n", "_c")).alias("_same"))
+    score = F.round(F.col("_same") / F.sqrt(F.col("_m").cast("double") * F.col("_len")), 6)
+    scored = same.select("qid", *columns, score.alias("score"))
+    return filled(capped(scored, k, cap, cap_key), queries, docs, k, cap, cap_key)
+
+
+def question_postings(queries: DataFrame) -> DataFrame:
+    """The inverted index of questions (qid, query): a row a token and question, (_t, qid, _m tokens in all, _c times this one)."""
+    asked = queries.select("qid", X.tokenize(F.col("query")).alias("_q"))
+    return asked.select("qid", F.size("_q").alias("_m"), F.explode("_q").alias("_t")).groupBy("_t", "qid", "_m").agg(F.count("*").alias("_c"))
+
+
 def dedupe_candidates(rows: DataFrame) -> DataFrame:
     """Candidates once for each (question, url, heading, first 200 characters), at their best place."""
     return keep_first(rows.withColumn("_head", F.substring("text", 1, 200)), ["qid", "url", "section_heading", "_head"], [-F.col("embed_score"), "chunk_id"]).drop("_head")
