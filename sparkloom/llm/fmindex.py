@@ -111,9 +111,9 @@ class FmIndex:
         Every text is matched from its right end to the left, as far as the match occurs often enough. Where it breaks, at
         word p, no window over the broken match can occur; a short probe that starts right of p and grows until it breaks as
         well or spans all windows over p tells how far the next match may reach. Unrepeated text is thus left after a few
-        words a window.
+        words a window. A match that stands in its own text alone, and often enough there, does so for all that lies left of it.
         """
-        marks = np.zeros(self.size, bool)
+        marks, runs = np.zeros(self.size, bool), np.zeros(self.size + 1, np.int32)
         live = np.flatnonzero(self.lengths >= window)
         base, bound = self.starts[live], self.lengths[live].copy()
         end, at, probe = bound.copy(), bound.copy(), np.full(len(live), NONE)
@@ -122,6 +122,9 @@ class FmIndex:
             lo2, hi2 = self.extend(self.seq[base + at - 1], lo, hi)
             ok = self.weight[hi2] - self.weight[lo2] >= least
             at, lo, hi = np.where(ok, at - 1, at), np.where(ok, lo2, lo), np.where(ok, hi2, hi)
+            alone = ok & (hi - lo == 1)
+            np.add.at(runs, base[alone], 1)
+            np.add.at(runs, (base + end)[alone] - window + 1, -1)
             # a probe that has passed its word: it spans all windows over it, or it grows and starts again
             passed = ok & (at == probe)
             whole = passed & (end == np.minimum(bound, probe + window))
@@ -137,7 +140,7 @@ class FmIndex:
             end = np.where(new, np.minimum(bound, probe + 4), np.where(~ok & ~new, bound, end))
             again = grow | ~ok
             at, lo, hi = np.where(again, end, at), np.where(again, 0, lo), np.where(again, self.size, hi)
-            go = (bound >= window) & (again | (at > 0))
+            go = (bound >= window) & (again | (at > 0)) & ~alone
             if not go.all():
                 base, bound, end, at, probe, lo, hi = (x[go] for x in (base, bound, end, at, probe, lo, hi))
-        return marks
+        return marks | (np.cumsum(runs[:-1]) > 0)
