@@ -50,10 +50,34 @@ def clean_catalog_text(c: Column, chrome: tuple[str, ...] = CHROME) -> Column:
 
 
 def normalize_courses(c: Column, codes: tuple[str, ...] = COURSE_CODES) -> Column:
-    """A course code's line, the next non-blank line (title) and an optional line of one or two digits (credits) become one line."""
-    code = rf"(?im)^[ \t]*((?:{'|'.join(codes)})[\s ]?\s*\d{{3}})[ \t]*\r?\n(?:[ \t]*\n)*[ \t]*(?!(?:{'|'.join(codes)})\b)(\S[^\n]*?)[ \t]*"
-    with_credits = F.regexp_replace(c, code + r"\n(?:[ \t]*\n)*[ \t]*(\d{1,2})[ \t]*(?=\n|\z)", "$1 $2 ($3 credits)")
-    return F.regexp_replace(with_credits, code + r"(?=\n|\z)", "$1 $2")
+    """A line that begins with a course code, the next non-blank line (its title, unless that is a code) and a line of one or two digits behind the title (credits) become one line.
+
+    What stands behind the code on its own line stays. Blank lines behind a code or its title go, whether or not credits follow; all
+    other lines stay as they are. Every line's part follows from the two non-blank lines before it, so no state is folded.
+    """
+    code = rf"(?i)^(?:{'|'.join(codes)})[\s\u00a0]*\d{{3}}\b"
+
+    def of(t: Column) -> Column:
+        line = lambda k: F.get(t["lines"], F.get(t["at"], k))
+        text = lambda k: X.strip(F.coalesce(line(k), F.lit("")))
+        is_code = lambda k: (k >= 0) & F.coalesce(X.strip(line(k)).rlike(code), F.lit(False))
+        is_title = lambda k: is_code(k - 1) & ~is_code(k) & line(k).isNotNull()
+        is_credits = lambda k: is_title(k - 1) & ~is_code(k) & F.coalesce(X.strip(line(k)).rlike(r"^\d{1,2}$"), F.lit(False))
+        entry = lambda k: F.concat(text(k), F.when(is_title(k + 1), F.concat(F.lit(" "), text(k + 1), F.when(is_credits(k + 2), F.concat(F.lit(" ("), text(k + 2), F.lit(" credits)"))).otherwise(""))).otherwise(""))
+
+        def part(i: Column, k: Column) -> Column:
+            nxt = F.coalesce(F.get(t["at"], k + 1), F.size(t["lines"]))
+            blanks = F.slice(t["lines"], i + 2, nxt - i - 1)
+            none = F.array().cast("array<string>")
+            own = F.when(is_code(k), F.array(entry(k))).when(is_title(k) | is_credits(k), none).otherwise(F.array(line(k)))
+            return F.concat(own, F.when(is_code(k) | is_title(k), none).otherwise(blanks))
+
+        first = F.slice(t["lines"], F.lit(1), F.coalesce(F.get(t["at"], F.lit(0)), F.size(t["lines"])))
+        return F.array_join(F.concat(first, F.flatten(F.transform(t["at"], part))), "\n")
+
+    lines = F.split(c, r"\r\n|\n|\r")
+    numbered = let(lines, lambda x: F.struct(x.alias("lines"), F.filter(F.transform(x, lambda y, i: F.when(X.strip(y) != "", i)), lambda i: i.isNotNull()).alias("at")))
+    return let(numbered, of)
 
 
 def heading_sections(md: Column) -> Column:
@@ -159,16 +183,16 @@ def table_blocks(text: Column) -> Column:
     return F.transform(blocks, lambda b: F.concat(F.lit(TABLE_MARK), b))
 
 
-def chunk_documents(docs: DataFrame, snap_ends: bool = False, id_by_section: bool = True) -> DataFrame:
+def chunk_documents(docs: DataFrame, snap_ends: bool = False, id_by_section: bool = True, chrome: tuple[str, ...] = CHROME, codes: tuple[str, ...] = COURSE_CODES) -> DataFrame:
     """Chunks of (source_url, source_title, bucket, tags, md): one row a chunk, ids kept first.
 
     ``id_by_section`` adds the section's number to what an id is made from, so that sections of equal headings don't collide;
     without it the later of two equal ids is dropped. A document without a section is one section; a section with marks of extracted
-    tables is cut at them; program pages of the catalog are cleaned, then their courses put on one line, and have longer windows.
+    tables is cut at them; program pages of the catalog are cleaned of ``chrome``, then the courses of ``codes`` put on one line, and have longer windows.
     """
     catalog = F.coalesce(F.col("bucket") == PROGRAMS, F.lit(False))
     md = F.coalesce(F.col("md"), F.lit(""))
-    cleaned = F.when(catalog, normalize_courses(clean_catalog_text(md))).otherwise(md)
+    cleaned = F.when(catalog, normalize_courses(clean_catalog_text(md, chrome), codes)).otherwise(md)
     # materialised step by step, so that each text is worked out once
     d = docs.withColumn("_md", cleaned).withColumn("_target", F.when(catalog, CATALOG_TARGET).otherwise(TARGET))
     d = d.withColumn("_secs", heading_sections(F.col("_md")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import urls as U
@@ -55,6 +55,18 @@ def reason_counts(classified: DataFrame) -> DataFrame:
     return classified.groupBy("reason").agg(F.count("*").alias("n"))
 
 
+REASONS = ("kept", "excluded", "no_bucket", "policy_not_listed")
+
+
+def observed_reasons(classified: DataFrame, seen: Observation) -> DataFrame:
+    """The same rows; while they are written or read once, ``seen`` counts them by reason, so no second pass is needed.
+
+    ``seen.get`` has a count for each of REASONS, ``all`` beside them.
+    """
+    counts = [F.count(F.when(F.col("reason") == r, 1)).alias(r) for r in REASONS]
+    return classified.observe(seen, F.count(F.lit(1)).alias("all"), *counts)
+
+
 def keep_first(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """Of rows that agree in ``keys`` the first in ``order``, all columns.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
@@ -12,7 +12,9 @@ DEADLINE_HEADERS = ("last day to add", "last day to add/drop", "last day to with
 TERM_NAMES = ("term", "part of term", "part of term & description")
 ADD_NAMES = ("last day to add/drop (100% adjustment)", "last day to add/drop", "last day to add or drop 100%")
 WITHDRAW_NAMES = ("final day to withdraw", "final day to withdraw classes (50% adjustment)", "final day to withdraw classes  (50% adjustment)", "final day to wd")
-DESCRIPTION_NAMES = ("part of term", "description", "term", "session")
+DESCRIPTION_NAMES = ("part of term", "term & description", "description", "part of term & description")
+FINAL_NAMES = ("final day to withdraw", "final day to withdraw classes", "final day to wd")
+NO_HEADING = "Calendar"
 SESSION = r"(?i)(session\s+[abc])"
 
 
@@ -46,19 +48,78 @@ def calendar(tables: DataFrame) -> DataFrame:
     return out.filter("term is not null or final_day_to_withdraw is not null")
 
 
+def pipe_row(cells: Column) -> Column:
+    return F.concat(F.lit("| "), F.array_join(cells, " | ", ""), F.lit(" |"))
+
+
+def pipe_head(headers: Column) -> Column:
+    """A pipe table's header line and the rule below it."""
+    return F.concat(pipe_row(headers), F.lit("\n"), pipe_row(F.transform(headers, lambda h: F.lit("---"))))
+
+
 def row_records(tables: DataFrame, bucket: str | Column = "") -> DataFrame:
-    """One record a body row of each deadline table: url, section_heading, text ("**header:** value" lines), bucket, term, session, desc, final_withdraw, waitlist_ends, headers, has_deadline_words."""
+    """One record a body row of each deadline table.
+
+    type, url, section_heading ("Calendar" without a heading), text ("**header:** value" lines), bucket, term (the most frequent term of the row, the
+    heading and the table's term; else the table's), session (likewise, or null), desc, final_withdraw, waitlist_ends (the cell of the first
+    header that has one of the names, or null), headers, full_md (the row as a table of its own), has_deadline_words (true), table_no, row_no.
+    A row without text gives a record with an empty text.
+    """
     d = tables.filter(is_deadline_table(F.col("headers"))).withColumn("term", table_term(F.col("headers"), F.col("rows"), F.col("heading")))
     d = d.select("url", "table_no", "heading", "headers", "term", F.posexplode("rows").alias("row_no", "row"))
-    text = X.row_to_text(F.col("headers"), F.col("row"))
     low = F.transform("headers", lambda h: F.lower(h))
     column = lambda *names: F.get("row", X.find_column(low, list(names)))
-    sessions = F.regexp_extract_all(F.concat_ws(" ", "heading", F.array_join("row", " ")), F.lit(SESSION), F.lit(1))
-    out = d.select(
-        "url", F.col("heading").alias("section_heading"), text.alias("text"), (F.lit(bucket) if isinstance(bucket, str) else bucket).alias("bucket"), "term", X.most_common(sessions).alias("session"),
-        column(*DESCRIPTION_NAMES).alias("desc"), column("final day to w", "last day to withdraw").alias("final_withdraw"), column("waitlist ends").alias("waitlist_ends"), "headers", text.rlike(X.DEADLINE_WORDS).alias("has_deadline_words"), "table_no", "row_no",
+    said = F.concat_ws(" | ", F.array_join("row", " | ", ""), "heading", "term")
+    terms = F.regexp_extract_all(said, F.lit(X.TERM), F.lit(0))
+    return d.select(
+        F.lit("table_row").alias("type"), "url", F.coalesce(F.nullif(F.col("heading"), F.lit("")), F.lit(NO_HEADING)).alias("section_heading"), X.row_to_text(F.col("headers"), F.col("row")).alias("text"),
+        (F.lit(bucket) if isinstance(bucket, str) else bucket).alias("bucket"), F.coalesce(X.most_common(terms), F.col("term")).alias("term"), X.most_common(F.regexp_extract_all(said, F.lit(SESSION), F.lit(1))).alias("session"),
+        column(*DESCRIPTION_NAMES).alias("desc"), column(*FINAL_NAMES).alias("final_withdraw"), column("waitlist ends").alias("waitlist_ends"), "headers",
+        F.concat(pipe_head(F.col("headers")), F.lit("\n"), pipe_row(F.col("row"))).alias("full_md"), F.lit(True).alias("has_deadline_words"), "table_no", "row_no",
     )
-    return out.filter("text <> ''")
+
+
+def row_objects(records: DataFrame) -> DataFrame:
+    """Row records as they are written: type, url, section_heading, text, meta."""
+    meta = F.struct(F.lit(True).alias("table"), "bucket", "term", "session", "final_withdraw", "waitlist_ends", "desc", "headers", "full_md", "has_deadline_words")
+    return records.select("type", "url", "section_heading", "text", meta.alias("meta"))
+
+
+def table_markdown(tables: DataFrame) -> DataFrame:
+    """Per page (url, md): its tables in order, numbered, each under its SECTION and TERM marks."""
+    term = table_term(F.col("headers"), F.col("rows"), F.col("heading"))
+    d = tables.withColumn("_t", term).withColumn("_no", F.row_number().over(Window.partitionBy("url").orderBy("table_no")))
+    mark = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"**{name}:** "), c))
+    body = F.concat_ws("\n", pipe_head(F.col("headers")), F.array_join(F.transform("rows", pipe_row), "\n"))
+    one = F.concat_ws("\n\n", F.concat(F.lit("### Table "), F.col("_no").cast("string")), mark("SECTION", F.col("heading")), mark("TERM", F.col("_t")), body)
+    return d.groupBy("url").agg(F.sort_array(F.collect_list(F.struct("_no", one.alias("md")))).alias("l")).select("url", F.array_join(F.transform("l", lambda x: x["md"]), "\n\n").alias("md"))
+
+
+def table_summary(tables: DataFrame) -> DataFrame:
+    """Per page (url, summary): source, tables_found, rows under their own columns' names, normalized_calendar, as a VARIANT.
+
+    Columns are known only when a table is read, so a row is an object with its table's keys; of equal keys the first is kept.
+    """
+    cells = column_maps(tables).groupBy("url").agg(F.sort_array(F.collect_list(F.struct("table_no", "row_no", F.to_json("cells").alias("j")))).alias("r"))
+    days = calendar(tables).groupBy("url").agg(F.sort_array(F.collect_list(F.struct("table_no", "row_no", "term", "last_day_to_add_drop", "final_day_to_withdraw"))).alias("c"))
+    found = tables.groupBy("url").agg(F.count("*").alias("n")).join(cells, "url", "left").join(days, "url", "left")
+    calendar_json = F.coalesce(F.to_json(F.transform("c", lambda x: F.struct(x["term"].alias("term"), x["last_day_to_add_drop"].alias("last_day_to_add_drop"), x["final_day_to_withdraw"].alias("final_day_to_withdraw"))), {"ignoreNullFields": "false"}), F.lit("[]"))
+    rows = F.concat(F.lit("["), F.coalesce(F.array_join(F.transform("r", lambda x: x["j"]), ","), F.lit("")), F.lit("]"))
+    text = F.concat(F.lit('{"source":"table_extractor","tables_found":'), F.col("n").cast("string"), F.lit(',"rows":'), rows, F.lit(',"normalized_calendar":'), calendar_json, F.lit("}"))
+    return found.select("url", F.parse_json(text).alias("summary"))
+
+
+def write_table_exports(tables: DataFrame, folder: str) -> None:
+    """The three exports below a folder: markdown (a row a page, with its url), summaries and row records as JSON lines."""
+    table_markdown(tables).write.mode("overwrite").parquet(f"{folder}/markdown")
+    table_summary(tables).select(F.to_json(F.struct("url", "summary")).alias("value")).write.mode("overwrite").text(f"{folder}/summary")
+    row_objects(row_records(tables)).write.mode("overwrite").option("ignoreNullFields", False).json(f"{folder}/rows")
+
+
+def read_summaries(spark: SparkSession, folder: str) -> DataFrame:
+    """Written summaries (url, summary VARIANT), whatever keys their rows have."""
+    v = spark.read.text(f"{folder}/summary").select(F.parse_json("value").alias("v"))
+    return v.select(F.variant_get("v", "$.url", "string").alias("url"), F.variant_get("v", "$.summary", "variant").alias("summary"))
 
 
 def pipe_tables(docs: DataFrame) -> DataFrame:

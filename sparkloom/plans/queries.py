@@ -108,12 +108,22 @@ def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", F.round(X.token_f1(F.col("prev"), F.col("text")), 6).alias("f1"))
 
 
-_INTENT_Q = values("q", "qid, query", X_.INTENT_QUERIES)
+#: Questions: the fixtures', and each conversation's first turn behind one of their phrases, so that the work grows with the table.
+_ASKED = values("fq", "k, phrase", [(i, t) for i, (_, t) in enumerate(X_.INTENT_QUERIES)]) + """, ft AS (SELECT conv_id, coalesce(arg_min(text, turn), '') AS opening FROM conversations GROUP BY conv_id),
+fa AS (SELECT conv_id, 1000 + conv_id AS qid, phrase || ' ' || opening AS query FROM ft JOIN fq ON k = conv_id % 12)"""
+_INTENT_Q = _ASKED + ", " + values("q0", "qid, query", X_.INTENT_QUERIES) + ", q AS (SELECT * FROM q0 UNION ALL SELECT qid, query FROM fa)"
 _TITLE = "list_transform({}, lambda t: upper(t[1]) || lower(regexp_replace(substring(t, 2), '\\s+', ' ', 'g')))"
 
 
-def _intents(spark: SparkSession) -> DataFrame:
-    return frame(spark, "qid int, query string", X_.INTENT_QUERIES)
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, qid, query of each conversation."""
+    phrases = F.broadcast(frame(spark, "k int, phrase string", [(i, t) for i, (_, t) in enumerate(X_.INTENT_QUERIES)]))
+    first = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.coalesce(F.min_by("text", "turn"), F.lit("")).alias("opening"))
+    return first.join(phrases, F.col("conv_id") % 12 == F.col("k")).select("conv_id", (F.col("conv_id") + 1000).alias("qid"), F.concat("phrase", F.lit(" "), "opening").alias("query"))
+
+
+def _intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, "qid long, query string", X_.INTENT_QUERIES).unionByName(_asked(spark, sf_dir).select("qid", "query"))
 
 
 def _terms_sql(c: str) -> str:
@@ -124,20 +134,21 @@ def _terms_sql(c: str) -> str:
 @query(f"WITH {_INTENT_Q}, t AS (SELECT qid, {_terms_sql('query')} AS l FROM q) SELECT qid, len(l) AS n_terms, array_to_string(l, '|') AS terms, coalesce(nullif(regexp_extract(l[1], '(20\\d\\d)', 1), ''), '') AS first_year FROM t")
 def term_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = X.all_terms(F.col("query"))
-    return _intents(spark).select("qid", F.size(t).cast("long").alias("n_terms"), F.array_join(t, "|").alias("terms"), F.coalesce(X.term_year(F.get(t, F.lit(0))), F.lit("")).alias("first_year"))
+    return _intents(spark, sf_dir).select("qid", F.size(t).cast("long").alias("n_terms"), F.array_join(t, "|").alias("terms"), F.coalesce(X.term_year(F.get(t, F.lit(0))), F.lit("")).alias("first_year"))
 
 
-@query(f"""WITH {values('t', 'id, text', X_.TEXTS)},
+@query(f"""WITH {values('t0', 'id, text', X_.TEXTS)}, t AS (SELECT * FROM t0 UNION ALL SELECT 1000 + doc_id, text FROM documents WHERE text IS NOT NULL),
 a AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(text, '\\r', '', 'g'), '([\\p{{L}}\\p{{N}}_])-\\n([\\p{{L}}\\p{{N}}_])', '\\1\\2', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g') AS x, text FROM t)
 SELECT id, trim(array_to_string(list_transform(string_split(x, chr(10)), lambda l: trim(l, ' ' || chr(9) || chr(11) || chr(12))), chr(10)), ' ' || chr(10) || chr(9)) AS pdf_text,
 coalesce(nullif(regexp_replace(regexp_replace(lower(trim(text, ' ' || chr(10) || chr(13))), '\\s+', '-', 'g'), '[^a-z0-9-]', '', 'g'), ''), 'section') AS slug,
 regexp_matches(text, '\\|.+\\|.+\\|') AS is_table, sha1(text) AS sha1, 'kb:' || substring(sha1(text), 1, 12) AS kb_id,
 CASE WHEN length(text) > 10 THEN substring(text, 1, 10) || '…' ELSE text END AS snippet FROM a""")
 def text_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PDF text, slugs, table test, hashes and snippets of inline texts."""
+    """PDF text, slugs, table test, hashes and snippets of fixtures and of whole documents."""
     c = F.col("text")
     slug = X.slugify(F.regexp_replace(c, r"^\s+|\s+$", ""))
-    return frame(spark, "id int, text string", X_.TEXTS).select("id", X.clean_pdf_text(c).alias("pdf_text"), slug.alias("slug"), X.is_table_block(c).alias("is_table"), F.sha1(c).alias("sha1"), X.answer_id(c).alias("kb_id"), X.snippet(c, 10).alias("snippet"))
+    texts = frame(spark, "id long, text string", X_.TEXTS).unionByName(table(spark, sf_dir, "documents").filter("text is not null").select((F.col("doc_id") + 1000).alias("id"), "text"))
+    return texts.select("id", X.clean_pdf_text(c).alias("pdf_text"), slug.alias("slug"), X.is_table_block(c).alias("is_table"), F.sha1(c).alias("sha1"), X.answer_id(c).alias("kb_id"), X.snippet(c, 10).alias("snippet"))
 
 
 @query("""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l, length(text) AS n, text FROM documents),
@@ -358,16 +369,29 @@ _INTENT_SQL += f" WHEN {_TERM_SQL} AND {_ANY('query', R.CALENDAR_UNITS)} AND {_A
 regexp_matches(lower(query), '{R.DETECTORS['d_credits'][1]}') AS is_degree_credits FROM q""")
 def intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("query")
-    return _intents(spark).select("qid", "query", R.detect_intent(q).alias("intent"), R.is_requirements_question(q).alias("is_requirements"), R.is_degree_credits_question(q).alias("is_degree_credits"))
+    return _intents(spark, sf_dir).select("qid", "query", R.detect_intent(q).alias("intent"), R.is_requirements_question(q).alias("is_requirements"), R.is_degree_credits_question(q).alias("is_degree_credits"))
+
 
+#: Candidates: the fixtures', and every turn of a conversation behind the text, under the address, of one of the fixtures' pages.
+_PAGES_OF_FIXTURES = [(r[2], r[5], r[6], r[7], *r[8]) for r in X_.candidates()[:12]]
 
-def _candidates(spark: SparkSession) -> DataFrame:
-    return frame(spark, X_.CANDIDATE_SCHEMA, X_.candidates())
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = F.broadcast(frame(spark, "k int, url string, said string, section_heading string, bucket string, term string, is_table boolean, has_deadline_words boolean", _PAGES_OF_FIXTURES))
+    c = table(spark, sf_dir, "conversations").join(_asked(spark, sf_dir), "conv_id")
+    c = c.join(near, (F.col("turn") * 5 + F.floor(F.col("conv_id") / 12)) % 12 == F.col("k"))
+    turn, conv = F.col("turn"), F.col("conv_id")
+    scores = ((turn * 7 + conv * 3) % 10 / 10).alias("embed_score"), ((turn * 5 + conv) % 4 / 4).alias("bm25")
+    made = c.select("qid", "query", turn.alias("chunk_id"), *scores, "url", F.concat("said", F.lit(" "), "text").alias("text"), "section_heading", F.struct("bucket", "term", "is_table", "has_deadline_words").alias("meta"))
+    return frame(spark, X_.CANDIDATE_SCHEMA, X_.candidates()).withColumns({"qid": F.col("qid").cast("long"), "chunk_id": F.col("chunk_id").cast("long")}).unionByName(made)
 
 
 def _flat_candidates() -> str:
     rows = [(*r[:8], *r[8]) for r in X_.candidates()]
-    return values("raw", "qid, query, chunk_id, embed_score, bm25, url, text, section_heading, b, term, t, w", rows)
+    columns = "qid, query, chunk_id, embed_score, bm25, url, text, section_heading, b, term, t, w"
+    made = """raw AS (SELECT * FROM raw0 UNION ALL SELECT fa.qid, fa.query, c.turn, CAST((c.turn * 7 + c.conv_id * 3) % 10 AS DOUBLE) / 10, CAST((c.turn * 5 + c.conv_id) % 4 AS DOUBLE) / 4, p.url, p.said || ' ' || c.text, p.section_heading, p.b, p.term, p.t, p.w
+FROM conversations c JOIN fa USING (conv_id) JOIN fp p ON p.k = (c.turn * 5 + c.conv_id // 12) % 12)"""
+    return ", ".join([_ASKED, values("fp", "k, url, said, section_heading, b, term, t, w", _PAGES_OF_FIXTURES), values("raw0", columns, rows), made])
 
 
 def _season(c: str) -> str:
@@ -401,18 +425,18 @@ v AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY place) AS rank FROM
 @query(f"WITH {_SCORED} SELECT qid, chunk_id, intent, term_match, feats, final_score FROM s")
 def rule_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule points and blended scores of all candidates."""
-    return R.score_candidates(_candidates(spark)).select("qid", "chunk_id", "intent", "term_match", "feats", "final_score")
+    return R.score_candidates(_candidates(spark, sf_dir)).select("qid", "chunk_id", "intent", "term_match", "feats", "final_score")
 
 
 @query(f"WITH {_SCORED} SELECT qid, chunk_id, has_kw, kw_first, place FROM p")
 def guardrail_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.ranked(R.score_candidates(_candidates(spark))).select("qid", "chunk_id", "has_kw", "kw_first", F.col("place").cast("long").alias("place"))
+    return R.ranked(R.score_candidates(_candidates(spark, sf_dir))).select("qid", "chunk_id", "has_kw", "kw_first", F.col("place").cast("long").alias("place"))
 
 
 @query(f"WITH {_SCORED} SELECT qid, chunk_id, url, final_score, rank FROM v WHERE rank <= 5")
 def hybrid_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores, six-key order, guardrail, diversity, top 5."""
-    return R.rerank(_candidates(spark), 5).select("qid", "chunk_id", "url", "final_score", F.col("rank").cast("long").alias("rank"))
+    return R.rerank(_candidates(spark, sf_dir), 5).select("qid", "chunk_id", "url", "final_score", F.col("rank").cast("long").alias("rank"))
 
 
 # ---------------------------------------------------------------- answers and evaluation
@@ -427,7 +451,7 @@ SELECT *, intent_ok AND url_ok AND bucket_ok AS passed FROM w""")
 def regression_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expectations of intent, URL and bucket of the first ranks."""
     cases = frame(spark, "qid int, name string, expect_intent string, expect_url string, expect_bucket string, top_k int", CASES)
-    return A.regression(R.rerank(_candidates(spark), 5), cases)
+    return A.regression(R.rerank(_candidates(spark, sf_dir), 5), cases)
 
 
 COURSES = [("u1", "Overview\nRequired Courses\nCSIT 515 Software Engineering (3 credits)\nCSIT 545 Architecture\nCSIT 515 Again (9 credits)\nElective Courses\nCSIT 600 Other (3 credits)"), ("u2", "CSIT 100 Not required (3 credits)")]
@@ -473,7 +497,7 @@ def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole questions: ranked candidates, table look-up or a stand-in generator."""
-    return A.answer_questions(R.rerank(_candidates(spark), 6), lambda system, user: user.split("\n")[0])
+    return A.answer_questions(R.rerank(_candidates(spark, sf_dir), 6), lambda system, user: user.split("\n")[0])
 
 
 _SEEDS = values("s", "seed_no, topic, question, must_any, prefer_any, max_chars", X_.SEEDS)
@@ -695,7 +719,7 @@ def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 k AS (SELECT *, row_number() OVER (PARTITION BY qid, url, section_heading, left(text, 200) ORDER BY embed_score DESC, chunk_id) AS n FROM u) SELECT qid, chunk_id, CAST(round(embed_score, 6) AS DOUBLE) AS embed_score FROM k WHERE n = 1""")
 def candidate_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates found twice, each kept at its best place."""
-    c = _candidates(spark)
+    c = _candidates(spark, sf_dir)
     again = c.withColumns({"chunk_id": F.col("chunk_id") + 100, "embed_score": 1 - F.col("embed_score")})
     return V.dedupe_candidates(c.unionByName(again)).select("qid", "chunk_id", F.round("embed_score", 6).alias("embed_score"))
 
@@ -707,7 +731,7 @@ _ASKS = _ANY("query", A.ADVISOR_WORDS)
 SELECT qid, url, bucket, coalesce(section_heading, '') AS title FROM o WHERE first = 1""")
 def primary_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main source of each question."""
-    return A.primary_sources(R.rerank(_candidates(spark), 5)).select("qid", "url", "bucket", "title")
+    return A.primary_sources(R.rerank(_candidates(spark, sf_dir), 5)).select("qid", "url", "bucket", "title")
 
 
 REQUIRED = ["https://uni.example.com/needed/", "https://uni.example.com/policies/"]
@@ -825,3 +849,6 @@ SELECT id, coalesce(nullif(mark, ''), nullif(upper(left(a, 1)) || lower(substr(a
 def chunk_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chunk's term: its mark's, else its headings', else its text's."""
     return frame(spark, "id int, text string, heading string", TERM_CASES).select("id", X.infer_term(F.col("text"), F.array("heading")).alias("term"))
+
+
+from sparkloom.plans import derived  # noqa: E402,F401  registers its queries beside these

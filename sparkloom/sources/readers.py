@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.sources.snapshots import read_snapshot
+
 CHUNK_SCHEMA = "id string, source_url string, title string, bucket string, tags array<string>, headings array<string>, section_heading string, text string, is_table boolean, section string, term string, has_deadline_words boolean"
 STATE_SCHEMA = "url string, etag string, last_modified string, content_sha1 string, last_fetch string"
 #: Child sitemaps that are left out; names tried on a new host.
@@ -17,24 +19,33 @@ SKIPPED_SITEMAPS = ("taxonomies", "users")
 SITEMAP_NAMES = ("sitemap.xml", "sitemap_index.xml", "wp-sitemap.xml")
 
 
-def _elements(xml: Column, tag: str) -> Column:
-    return F.regexp_extract_all(xml, F.lit(rf"(?s)<{tag}\b[^>]*>(.*?)</{tag}>"), F.lit(1))
+#: What is read of either kind of sitemap; other elements are left out. Prefixes of names are ignored.
+SITEMAP_SCHEMA = "url array<struct<loc:string,lastmod:string>>, sitemap array<struct<loc:string>>, _broken string"
+
+
+def _parsed(files: DataFrame) -> DataFrame:
+    """Sitemap files (sitemap, xml) with their XML as a struct; comments are dropped, entities and CDATA are read as the XML reader does."""
+    plain = F.regexp_replace(F.regexp_replace("xml", r"(?s)<!--.*?-->", ""), r"\A\s+", "")
+    options = {"ignoreNamespace": "true", "columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE", "ignoreSurroundingSpaces": "true"}
+    return files.select("sitemap", "xml", F.from_xml(plain, SITEMAP_SCHEMA, options).alias("_x"))
 
 
-def _value(xml: Column, tag: str) -> Column:
-    raw = F.trim(F.regexp_extract(xml, rf"(?s)<{tag}\b[^>]*>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</{tag}>", 1))
-    return F.replace(F.replace(F.replace(raw, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
+def broken_sitemaps(files: DataFrame) -> DataFrame:
+    """The files (sitemap, xml) that are no well-formed XML; they give no URL."""
+    return _parsed(files).filter("xml is not null and (_x is null or _x._broken is not null)").select("sitemap", "xml")
 
 
 def sitemap_urls(files: DataFrame) -> DataFrame:
-    """(url, lastmod, ordinal) of urlset documents (sitemap, xml); a file that isn't one gives no row; a missing lastmod is ""."""
-    rows = files.select("sitemap", F.posexplode(_elements(F.col("xml"), "url")).alias("ordinal", "e"))
-    return rows.select("sitemap", _value(F.col("e"), "loc").alias("url"), _value(F.col("e"), "lastmod").alias("lastmod"), "ordinal").filter("url <> ''")
+    """(sitemap, url, lastmod, ordinal) of urlset documents (sitemap, xml); a file that isn't one gives no row; a missing lastmod is ""."""
+    rows = _parsed(files).filter("_x._broken is null").select("sitemap", F.posexplode("_x.url").alias("ordinal", "e"))
+    text = lambda c: F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"^\s+|\s+$", ""))
+    return rows.select("sitemap", text("e.loc").alias("url"), text("e.lastmod").alias("lastmod"), "ordinal").filter("url <> ''")
 
 
 def sitemap_children(files: DataFrame) -> DataFrame:
-    """(sitemap, child) of sitemapindex documents; children of skipped kinds are left out."""
-    rows = files.select("sitemap", F.posexplode(_elements(F.col("xml"), "sitemap")).alias("ordinal", "e")).select("sitemap", _value(F.col("e"), "loc").alias("child"), "ordinal")
+    """(sitemap, child, ordinal) of sitemapindex documents; children of skipped kinds are left out."""
+    rows = _parsed(files).filter("_x._broken is null").select("sitemap", F.posexplode("_x.sitemap").alias("ordinal", "e"))
+    rows = rows.select("sitemap", F.regexp_replace(F.coalesce("e.loc", F.lit("")), r"^\s+|\s+$", "").alias("child"), "ordinal")
     ok = F.col("child") != ""
     for s in SKIPPED_SITEMAPS:
         ok = ok & ~F.col("child").contains(s)
@@ -84,6 +95,11 @@ def read_table_rows(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("url", "section_heading", "text", "meta.bucket", "meta.term", "meta.has_deadline_words")
 
 
+def read_index(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The written index: its current version, or the one with that number."""
+    return read_snapshot(spark, path, version)
+
+
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A CSV file with a header as text columns; a byte-order mark is dropped, columns it lacks are null."""
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
 from sparkloom.operators.selection import keep_first
+from sparkloom.sources.snapshots import write_snapshot
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -43,9 +44,12 @@ def index_rows(chunks: DataFrame, vectors: DataFrame | None = None) -> DataFrame
     return flat if vectors is None else flat.join(vectors.select("id", "embedding"), "id")
 
 
-def write_index(chunks: DataFrame, path: str, vectors: DataFrame | None = None) -> None:
-    """Replaces the index: Parquet, a folder a bucket, so that a search in one bucket reads only that folder."""
-    index_rows(chunks, vectors).write.mode("overwrite").partitionBy("bucket").parquet(path)
+def write_index(chunks: DataFrame, path: str, vectors: DataFrame | None = None) -> int:
+    """Replaces the index by a new version, a folder a bucket, so that a search in one bucket reads only that folder; its number.
+
+    Readers of the version before keep their rows (``readers.read_index``).
+    """
+    return write_snapshot(index_rows(chunks, vectors), path, ("bucket",))
 
 
 def eval_rows(judged: DataFrame) -> DataFrame:

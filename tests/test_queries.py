@@ -6,7 +6,7 @@ import pytest
 from sparkloom.plans.queries import ORACLES, QUERIES
 from tests.conftest import DATA
 
-TABLES = "documents embeddings pages benchmark labels conversations events".split()
+TABLES = "documents embeddings pages benchmark labels conversations events nation region part supplier".split()
 
 
 @pytest.fixture(scope="module")
