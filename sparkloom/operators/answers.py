@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
+from sparkloom.functions.arrays import let
+from sparkloom.operators.chunking import COURSE_CODES
 from sparkloom.operators.ranking import is_requirements_question
 from sparkloom.operators.retrieval import pair_up
+from sparkloom.operators.selection import keep_first
 
 SNIPPETS, SNIPPET_CHARS = 6, 1000
 # Fixed values.
@@ -37,7 +40,8 @@ def table_deadline(text: Column) -> Column:
 def deadline_answers(ranked: DataFrame) -> DataFrame:
     """Deadline questions (ranked rows with terms) that a registrar table answers: qid, answer, url, bucket, title.
 
-    For each term (or none) the first registrar table of that term is looked up.
+    For each term (or none) the first registrar table of that term is looked up; the answer names the table's term, else its
+    heading, else the question's term.
     """
     rows = ranked.filter((F.col("intent") == "deadline") & (F.col("bucket") == "registrar") & F.col("is_table"))
     rows = rows.withColumn("term", F.explode(F.when(F.size("terms") > 0, F.col("terms")).otherwise(F.array(F.lit(None).cast("string")))))
@@ -45,7 +49,8 @@ def deadline_answers(ranked: DataFrame) -> DataFrame:
     rows = rows.filter(F.col("term").isNull() | where.contains(F.lower("term")) | F.lower(F.coalesce("section_heading", F.lit(""))).contains(F.lower("term")))
     first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("qid", "term").orderBy("rank"))).filter("_n = 1")
     found = first.withColumn("date", table_deadline(F.col("text"))).filter("date is not null")
-    found = found.withColumn("_t", F.coalesce("term", F.lit("this term"))).withColumn("_at", F.coalesce(F.array_position("terms", F.col("term")), F.lit(0)))
+    named = F.coalesce(F.nullif(F.col("chunk_term"), F.lit("")), F.nullif(F.col("section_heading"), F.lit("")), F.col("term"), F.lit("this term"))
+    found = found.withColumn("_t", named).withColumn("_at", F.coalesce(F.array_position("terms", F.col("term")), F.lit(0)))
     per = found.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("_at", "_t", "date", "url", "bucket", "section_heading"))).alias("x"))
     lead = "According to the Registrar's Add/Drop & Withdrawal calendar, "
     one = F.concat(F.lit(lead + "the Final Day to Withdraw for "), F.col("x")[0]["_t"], F.lit(" is **"), F.col("x")[0]["date"], F.lit("**."))
@@ -85,14 +90,14 @@ def prompts(ranked: DataFrame, system: str = SYSTEM_PROMPT) -> DataFrame:
 
 
 def primary_sources(ranked: DataFrame) -> DataFrame:
-    """Per question its main source: qid, url, bucket, title. Advisor questions prefer a school page that names advisors."""
+    """Per question its main source: qid, url, bucket, title (its heading, else its ``title`` where the rows have one). Advisor questions prefer a school page that names advisors."""
     q, url, text = F.lower("query"), F.lower("url"), F.lower("text")
     asks = F.lit(False)
     for w in ADVISOR_WORDS:
         asks = asks | q.contains(w)
     fits = asks & url.contains("school-of-computing") & (text.contains("advisor") | text.contains("graduate program coordinator") | text.contains("gpc"))
     best = ranked.withColumn("_n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.coalesce(fits, F.lit(False))), "rank"))).filter("_n = 1")
-    return best.select("qid", "url", "bucket", F.coalesce(F.nullif("section_heading", F.lit("")), F.lit("")).alias("title"))
+    return best.select("qid", "url", "bucket", F.coalesce(F.nullif("section_heading", F.lit("")), F.col("title") if "title" in ranked.columns else F.lit(None).cast("string"), F.lit("")).alias("title"))
 
 
 def generate(prompts_: DataFrame, generator: Callable[[str, str], str]) -> DataFrame:
@@ -172,16 +177,31 @@ def regression(ranked: DataFrame, cases: DataFrame) -> DataFrame:
     return per.select("name", *[c.alias(n) for n, c in ok.items()], (ok["intent_ok"] & ok["url_ok"] & ok["bucket_ok"]).alias("passed"))
 
 
-def required_courses(docs: DataFrame) -> DataFrame:
-    """Courses (url, code, title, credits) listed under a "required courses" line of a text and before the next elective line; each code once, the first."""
-    lines = F.transform(F.split("text", "\n"), lambda x: F.trim(x))
-    lo = F.array_position(F.transform(lines, lambda x: F.lower(x).contains("required c")), True)
-    after = F.slice(lines, F.greatest(lo, F.lit(1)).cast("int"), F.size(lines))
-    stop = F.array_position(F.transform(after, lambda x, i: (i > 0) & F.lower(x).contains("elective")), True)
-    block = F.when(lo == 0, F.array().cast("array<string>")).when(stop > 0, F.slice(after, F.lit(1), (stop - 1).cast("int"))).otherwise(after)
-    pattern = r"^[*-]?\s*([A-Z]{3,4}\s?\d{3})\s+(.*?)(?:\s*\((\d+) credits?\))?$"
-    rows = docs.select("url", F.posexplode(block).alias("n", "line")).filter(F.col("line").rlike(pattern))
-    x = lambda i: F.regexp_extract("line", pattern, i)
-    from sparkloom.operators.selection import keep_first
+#: Lines that begin the list of required courses, and beginnings of lines that end it.
+REQUIRED_STARTS = ("required courses", "required core courses")
+REQUIRED_STOPS = r"(?i)^(?:electives|elective courses|culminating experience|total credits)\b"
 
-    return keep_first(rows.select("url", x(1).alias("code"), x(2).alias("title"), F.nullif(x(3), F.lit("")).cast("int").alias("credits"), "n"), ["url", "code"], ["n"]).drop("n")
+
+def required_courses(docs: DataFrame, codes: tuple[str, ...] = COURSE_CODES) -> DataFrame:
+    """Courses (url, code, title, credits) of the lines between a text's first required-courses line and the next stop heading; each code once, the first.
+
+    A course is one line "CODE nnn Title (n credits)", or three: a code alone, its title, a line of one or two digits. A missing title
+    or number of credits is null. Texts without a required-courses line, null and empty texts give no row.
+    """
+    lines = F.filter(F.transform(F.split("text", r"\r\n|\n|\r"), X.strip), lambda x: x != "")
+    starts = lambda x: F.exists(F.array(*[F.lit(n) for n in REQUIRED_STARTS]), lambda n: F.contains(F.lower(x), n))
+    lo = F.array_position(F.transform("_l", starts), True).cast("int")
+    after = F.when(F.col("_lo") > 0, F.slice("_l", F.col("_lo") + 1, F.size("_l"))).otherwise(F.array().cast("array<string>"))
+    stop = F.array_position(F.transform("_a", lambda x: x.rlike(REQUIRED_STOPS)), True).cast("int")
+    d = docs.select("url", lines.alias("_l")).withColumn("_lo", lo).withColumn("_a", after).withColumn("_stop", stop)
+    d = d.select("url", F.when(F.col("_stop") > 0, F.slice("_a", F.lit(1), F.col("_stop") - 1)).otherwise(F.col("_a")).alias("_b"))
+    d = d.select("url", F.posexplode(let(F.col("_b"), lambda b: F.transform(b, lambda x, i: F.struct(x.alias("line"), F.get(b, i + 1).alias("title"), F.get(b, i + 2).alias("credits"))))).alias("n", "c"))
+    code = rf"(?i)^((?:{'|'.join(codes)})[\s\u00a0]*\d{{3}})\b"
+    full = code + r"[\s\u00a0]*[-–:]?\s*(.*?)\s*(?:\((\d+)\s+credits?\))?\s*$"
+    line = F.col("c.line")
+    x = lambda i: F.nullif(F.trim(F.regexp_extract(line, full, i)), F.lit(""))
+    alone = x(2).isNull() & x(3).isNull()
+    below = F.when(alone & ~F.col("c.title").rlike(code), F.col("c.title"))
+    number = F.when(below.isNotNull() & F.col("c.credits").rlike(r"^\d{1,2}$"), F.col("c.credits"))
+    rows = d.filter(line.rlike(code)).select("url", F.upper(F.trim(F.replace(F.regexp_extract(line, code, 1), F.lit("\u00a0"), F.lit(" ")))).alias("code"), F.coalesce(x(2), below).alias("title"), F.coalesce(x(3), number).cast("int").alias("credits"), "n")
+    return keep_first(rows, ["url", "code"], ["n"]).drop("n")

@@ -83,28 +83,29 @@ def normalize_courses(c: Column, codes: tuple[str, ...] = COURSE_CODES) -> Colum
 def heading_sections(md: Column) -> Column:
     """array<struct<headings: array, text: string>> of a markdown text, in order, sections without text left out.
 
-    A heading of level n replaces the path from place n on (a place in the path, so skipped levels don't leave gaps).
+    A heading of level n replaces the path from place n on (a place in the path, so skipped levels don't leave gaps). A mark without a
+    title is text. Sections are ranges of lines; only the headings' paths are folded, so the time is linear in the lines.
     """
-    part = "struct<headings:array<string>,lines:array<string>>"
-    start = F.struct(F.array().cast(f"array<{part}>").alias("done"), F.array().cast("array<string>").alias("path"), F.array().cast("array<string>").alias("lines"))
-
-    def flush(acc: Column) -> Column:
-        return F.array_append(acc["done"], F.struct(acc["path"].alias("headings"), acc["lines"].alias("lines")))
+    level = lambda x: F.length(F.regexp_extract(x, r"^(#{1,6})\s+\S", 1))
+    start = F.struct(F.array().cast("array<string>").alias("path"), F.array(F.array().cast("array<string>")).alias("paths"))
 
     def add(acc: Column, line: Column) -> Column:
-        level = F.length(F.regexp_extract(line, r"^(#{1,6})\s+\S", 1))
-        title = F.concat(F.lit("H"), level.cast("string"), F.lit(": "), F.trim(F.regexp_extract(line, r"^#{1,6}\s+(.*)$", 1)))
-        is_head = level > 0
-        path = F.array_append(F.slice(acc["path"], F.lit(1), F.greatest(level - 1, F.lit(0))), title)
-        return F.struct(
-            F.when(is_head, flush(acc)).otherwise(acc["done"]).alias("done"),
-            F.when(is_head, path).otherwise(acc["path"]).alias("path"),
-            F.when(is_head, F.array().cast("array<string>")).otherwise(F.array_append(acc["lines"], line)).alias("lines"),
-        )
-
-    done = F.aggregate(F.split(md, "\n"), start, add, flush)
-    parts = F.transform(done, lambda s: F.struct(s["headings"].alias("headings"), X.strip(F.array_join(s["lines"], "\n")).alias("text")))
-    return F.filter(parts, lambda s: s["text"] != "")
+        title = F.concat(F.lit("H"), level(line).cast("string"), F.lit(": "), F.trim(F.regexp_extract(line, r"^#{1,6}\s+(.*)$", 1)))
+        path = F.array_append(F.slice(acc["path"], F.lit(1), F.greatest(level(line) - 1, F.lit(0))), title)
+        return let(path, lambda p: F.struct(p.alias("path"), F.array_append(acc["paths"], p).alias("paths")))
+
+    def of(t: Column) -> Column:
+        paths = F.aggregate(F.transform(t["at"], lambda i: F.get(t["lines"], i)), start, add, lambda a: a["paths"])
+        bounds = F.concat(F.array(F.lit(-1)), t["at"], F.array(F.size(t["lines"])))
+        part = lambda y: F.zip_with(
+            y["paths"], F.sequence(F.lit(0), F.size(y["paths"]) - 1),
+            lambda p, i: F.struct(p.alias("headings"), X.strip(F.array_join(F.slice(t["lines"], F.get(y["bounds"], i) + 2, F.get(y["bounds"], i + 1) - F.get(y["bounds"], i) - 1), "\n")).alias("text")),
+        )
+        return let(F.struct(paths.alias("paths"), bounds.alias("bounds")), part)
+
+    lines = F.split(md, r"\r\n|\n|\r")
+    marked = let(lines, lambda x: F.struct(x.alias("lines"), F.filter(F.transform(x, lambda y, i: F.when(level(y) > 0, i)), lambda i: i.isNotNull()).alias("at")))
+    return F.filter(let(marked, of), lambda s: s["text"] != "")
 
 
 def window_starts(text: Column, target: int | Column = TARGET, overlap: int = OVERLAP) -> Column:

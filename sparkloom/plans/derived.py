@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.operators import answers as A
 from sparkloom.operators import chunking as C
 from sparkloom.operators import html as H
 from sparkloom.operators import selection as S
@@ -143,3 +144,25 @@ def table_summary_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.regexp_extract("url", r"(\d+)$", 1)
     row = F.from_json(F.to_json(F.variant_get("summary", "$.rows", "variant")), "array<map<string,string>>")
     return v.select("url", n.alias("k"), F.explode(row).alias("r")).select("url", F.col("r")[F.concat(F.lit("Key "), F.col("k"))].alias("own"), F.col("r")["Part of Term"].alias("part"))
+
+
+@query("""WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n, first_value(role) OVER (PARTITION BY conv_id ORDER BY turn) AS opener FROM conversations)
+SELECT conv_id, 'H1: Talk > H3: ' || opener || CASE WHEN n > 0 THEN ' > H3: ' || role ELSE '' END AS headings, 'turn ' || turn || ': ' || trim(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')) AS text, n FROM t""")
+def conversation_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heading sections of markdown made from conversations: a level is skipped, headings repeat, lines end in two ways."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role", F.trim(F.regexp_replace("text", "[^A-Za-z0-9]+", " ")).alias("said")).alias("t"))
+    turns = c.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    body = F.array_join(F.transform("t", lambda t: F.concat(F.lit("### "), t["role"], F.lit("\r\n\nturn "), t["turn"].cast("string"), F.lit(": "), t["said"], F.lit("\n"))), "\n")
+    secs = C.heading_sections(F.concat(F.lit("# Talk\n\n"), body))
+    return turns.select("conv_id", F.posexplode(secs).alias("n", "s")).select("conv_id", F.array_join("s.headings", " > ").alias("headings"), "s.text", F.col("n").cast("long").alias("n"))
+
+
+@query("""SELECT p_brand AS url, code, title, credits FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, code ORDER BY p_partkey) AS n FROM
+(SELECT p_brand, p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'CSIT ' ELSE 'MATH ' END || (100 + p_partkey % 700) AS code, p_name AS title, CAST(1 + p_size % 9 AS INTEGER) AS credits FROM part)) WHERE n = 1""")
+def required_course_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Required courses of lists made from parts, a brand a page: on one line or on three, up to the electives."""
+    p = table(spark, sf_dir, "part").select("p_brand", F.struct("p_partkey", "p_name", "p_size").alias("x")).groupBy("p_brand").agg(F.sort_array(F.collect_list("x")).alias("l"))
+    n, credits = lambda x: (100 + x["p_partkey"] % 700).cast("string"), lambda x: (1 + x["p_size"] % 9).cast("string")
+    one = lambda x: F.when(x["p_partkey"] % 2 == 0, F.concat(F.lit("CSIT "), n(x), F.lit(" - "), x["p_name"], F.lit(" ("), credits(x), F.lit(" credits)"))).otherwise(F.concat(F.lit("math "), n(x), F.lit("\n\n"), x["p_name"], F.lit("\n"), credits(x)))
+    text = F.concat(F.lit("CSIT 999 Before\nRequired Core Courses of all\n"), F.array_join(F.transform("l", one), "\n"), F.lit("\nElectives\nCSIT 998 Behind (3 credits)"))
+    return A.required_courses(p.select(F.col("p_brand").alias("url"), text.alias("text")))
