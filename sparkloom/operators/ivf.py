@@ -84,10 +84,15 @@ class InvertedFile:
 
         return df.filter(F.col(vector).isNotNull()).mapInPandas(run, f"{kinds}, _cells array<long>")
 
+    def assigned(self, vectors: DataFrame) -> DataFrame:
+        """Every row with its cell."""
+        if not self.cells:
+            return vectors.limit(0).withColumn("cell", F.lit(0).cast("long"))
+        return self._cells_of(vectors.filter("vec_id is not null"), "embedding", 1).withColumn("cell", F.get("_cells", F.lit(0))).drop("_cells")
+
     def index(self, vectors: DataFrame, path: str) -> DataFrame:
         """Writes a version of the rows by cell, a large cell in several files, and returns them: a search reads the row groups of its cells."""
-        rows = self._cells_of(vectors.filter("vec_id is not null"), "embedding", 1).withColumn("cell", F.get("_cells", F.lit(0))).drop("_cells") if self.cells else vectors.limit(0).withColumn("cell", F.lit(0).cast("long"))
-        write_snapshot(rows.repartitionByRange("cell", "vec_id").sortWithinPartitions("cell", "vec_id"), path)
+        write_snapshot(self.assigned(vectors).repartitionByRange("cell", "vec_id").sortWithinPartitions("cell", "vec_id"), path)
         return read_snapshot(vectors.sparkSession, path)
 
     def candidates(self, queries: DataFrame, index: DataFrame, probes: int | None = None) -> DataFrame:

@@ -80,16 +80,12 @@ def sitemap_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.sitemap_urls(files).select("url", "lastmod", "sitemap")
 
 
-def _searched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, InvertedFile]:
-    v = table(spark, sf_dir, "embeddings")
-    found = InvertedFile(v)
-    return v, found.index(v, snapshots.new_folder(spark, "cells")), found
-
-
 @query()
 def vector_topk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-10 of the query set in the nearest cells of an inverted file."""
-    _, index, found = _searched(spark, sf_dir)
+    v = table(spark, sf_dir, "embeddings")
+    found = InvertedFile(v)
+    index = found.index(v, snapshots.new_folder(spark, "cells"))
     return found.search(_queries_of(spark, sf_dir), index, 10).select("qid", "vec_id", "label", "embed_score", "rank")
 
 
@@ -98,7 +94,9 @@ def vector_cells_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows in the inverted file, queries asked, and whether nine tenths of the exact top-10 are found."""
     from sparkloom.operators.retrieval import vector_top_k
 
-    v, index, found = _searched(spark, sf_dir)
+    v = table(spark, sf_dir, "embeddings")
+    found = InvertedFile(v)
+    index = found.assigned(v)
     q = _queries_of(spark, sf_dir)
     exact = vector_top_k(q, v, 10).select("qid", "vec_id")
     hits = exact.join(found.search(q, index, 10).select("qid", "vec_id", F.lit(1).alias("hit")), ["qid", "vec_id"], "left")
@@ -108,11 +106,11 @@ def vector_cells_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT r AS reason, coalesce(n, 0) AS n FROM (SELECT unnest(['kept', 'excluded', 'no_bucket', 'policy_not_listed']) AS r) LEFT JOIN (SELECT reason, n FROM (" + ORACLES["drop_reasons"] + ")) ON reason = r")
 def drop_reasons_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reasons counted while the classified rows are written, in one job."""
+    """Reasons counted while the classified rows are written (here to nowhere), in one job."""
     from pyspark.sql import Observation
 
     seen = Observation("reasons")
-    snapshots.write_snapshot(S.observed_reasons(_classified(spark, sf_dir), seen), snapshots.new_folder(spark, "classified"))
+    S.observed_reasons(_classified(spark, sf_dir), seen).write.format("noop").mode("overwrite").save()
     return spark.createDataFrame([(r, seen.get[r]) for r in S.REASONS], "reason string, n long")
 
 
@@ -137,10 +135,8 @@ def table_row_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'https://x.example.com/' || s_nationkey AS url, CAST(s_suppkey AS VARCHAR) AS own, s_name AS part FROM supplier")
 def table_summary_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exports written and read again; each table's own column is found by its name."""
-    folder = snapshots.new_folder(spark, "exports")
-    T.write_table_exports(_sale_tables(spark, sf_dir), folder)
-    v = T.read_summaries(spark, folder)
+    """Summaries as VARIANT: each table's own column is found by its name."""
+    v = T.table_summary(_sale_tables(spark, sf_dir))
     n = F.regexp_extract("url", r"(\d+)$", 1)
     row = F.from_json(F.to_json(F.variant_get("summary", "$.rows", "variant")), "array<map<string,string>>")
     return v.select("url", n.alias("k"), F.explode(row).alias("r")).select("url", F.col("r")[F.concat(F.lit("Key "), F.col("k"))].alias("own"), F.col("r")["Part of Term"].alias("part"))
