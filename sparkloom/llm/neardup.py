@@ -21,6 +21,8 @@ every SPOKES pairs, so a hub is dealt to many tasks. Every other move is of keys
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -46,20 +48,27 @@ BLOCK, HELD = 4096, 1 << 19
 #: Pairs that the set of their smaller id is sent for.
 SPOKES = 1024
 _SEED = 0x5EED
+SPACE = re.compile(r"[\x20\x09-\x0D]")
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_powers = {"base": np.ones(1, np.uint64), "inverse": np.ones(1, np.uint64)}
+#: Bytes whose shingles are hashed at once; a word of more bytes than LONG counts as its digest.
+SLICE, LONG = 1 << 18, 1 << 12
+#: What precedes a digest that stands for a word.
+DIGEST = b"\x00sha256:"
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    """base ** i mod 2**64 for i < n (or of its inverse)."""
-    have = _powers[kind]
-    while len(have) < n:
-        by = BASE if kind == "base" else np.uint64(pow(int(BASE), -1, 1 << 64))
-        step = have[-1] * by
-        have = np.concatenate([have, have * step])
-    _powers[kind] = have
-    return have[:n]
+def _powers(by: int, n: int) -> np.ndarray:
+    """by ** i mod 2**64 for i < n."""
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, out * (out[-1] * np.uint64(by))])
+    return out[:n]
+
+
+#: Powers for a slice of words with those it shares with the one before.
+_SIZE = 2 * SLICE + 8 * LONG
+with np.errstate(over="ignore"):
+    POWERS, INVERSES = _powers(int(BASE), _SIZE), _powers(pow(int(BASE), -1, 1 << 64), _SIZE)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -69,22 +78,52 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles; with fewer words, of the whole sequence."""
-    parts = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not parts:
-        return np.zeros(0, np.uint64)
+def word_slices(text: str, words: int) -> Iterator[list[bytes]]:
+    """The text's words about SLICE bytes at a time, each slice with the last ``words`` - 1 words before it."""
+    before: list[bytes] = []
+    lo = 0
+    while lo < len(text):
+        hi = lo + SLICE // 4  # up to four bytes a character
+        if hi < len(text):
+            space = SPACE.search(text, hi)
+            hi = space.end() if space else len(text)
+        parts = text[lo:hi].encode("utf-8", "surrogatepass").lower().split()
+        if parts and hi - lo > LONG // 4 and max(map(len, parts)) > LONG:
+            parts = [DIGEST + hashlib.sha256(p).hexdigest().encode() if len(p) > LONG else p for p in parts]
+        parts = before + parts
+        if len(parts) > len(before):
+            yield parts
+        before = parts[len(parts) - words + 1 :] if len(parts) >= words else parts
+        lo = hi
+
+
+def slice_hashes(parts: list[bytes], n: int) -> np.ndarray:
+    """A 64-bit hash of every run of n words."""
     with np.errstate(over="ignore"):
         raw = np.frombuffer(b" ".join(parts), np.uint8)
         sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power("base", len(raw)), out=sums[1:])
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * POWERS[: len(raw)], out=sums[1:])
         gaps = np.flatnonzero(raw == 32)
         starts = np.concatenate(([0], gaps + 1))
         ends = np.concatenate((gaps, [len(raw)]))
-        n = min(words, len(starts))
         starts, ends = starts[: len(starts) - n + 1], ends[n - 1 :]
-        h = (sums[ends] - sums[starts]) * _power("inverse", len(raw) + 1)[starts]
-        return np.unique(mix(h ^ mix((ends - starts).astype(np.uint64))))
+        h = (sums[ends] - sums[starts]) * INVERSES[starts]
+        return mix(h ^ mix((ends - starts).astype(np.uint64)))
+
+
+def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's shingles; with fewer words, of the whole sequence. Memory beside the hashes is a slice's."""
+    held, more, size = np.zeros(0, np.uint64), [], 0
+    parts: list[bytes] = []
+    for parts in word_slices(text or "", words):
+        if len(parts) >= words:
+            more.append(np.unique(slice_hashes(parts, words)))
+            size += len(more[-1])
+            if size > max(len(held), SLICE):
+                held, more, size = np.unique(np.concatenate([held, *more])), [], 0
+    if not len(held) and not more:
+        return slice_hashes(parts, len(parts)) if parts else held
+    return more[0] if len(more) == 1 and not len(held) else np.unique(np.concatenate([held, *more]))
 
 
 def _multipliers(k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -468,6 +468,28 @@ def test_near_duplicates_in_many_blocks(spark, monkeypatch, deviations):
     assert got == nd.brute_force(texts) and len({g[2] for g in got}) < len(texts) - 10
 
 
+def test_shingles_of_long_texts_come_in_slices(monkeypatch):
+    """Slices change no hash; a long text takes little beside its own bytes and its hashes."""
+    import tracemalloc
+
+    from sparkloom.llm import neardup as N
+
+    r = random.Random(4)
+    say = lambda n: " ".join(f"w{r.randrange(3000)}é" for _ in range(n))
+    texts = [say(n).replace(" ", r.choice([" ", "\n", " \t\x0b"])) for n in (1, 4, 5, 6, 200, 3000)] + ["x" * 9000 + " b c d e f " + "y" * 20_000]
+    whole = [N.shingle_hashes(t) for t in texts]
+    for text, h in zip(texts, whole, strict=True):
+        words = text.encode().split()
+        assert len(h) == (len({tuple(words[i : i + 5]) for i in range(len(words) - 4)}) if len(words) >= 5 else 1)
+    long = (say(20_000) + " ") * 60
+    tracemalloc.start()
+    assert len(N.shingle_hashes(long)) == 20_000
+    assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    tracemalloc.stop()
+    monkeypatch.setattr(N, "SLICE", 400)
+    assert all((N.shingle_hashes(t) == h).all() for t, h in zip(texts, whole, strict=True))
+
+
 def test_near_duplicates_odd_rows(spark, odd, empty):
     from sparkloom.llm.neardup import keep_one_of_each, near_duplicates
 
