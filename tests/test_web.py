@@ -143,17 +143,17 @@ def test_cells_find_the_nearest(spark, tmp_path):
 def test_exports_keep_their_keys(spark, tmp_path):
     from sparkloom.operators import tables as T
 
-    t = spark.createDataFrame([("u", 0, "Fall 2025", ["Part of Term", "Final Day to WD", "Final Day to WD"], [["Full", "11/4", "x"], ["Session A", "", None]]), ("u", 3, "", ["A"], []), ("v", 0, "", ['say "q"', "B"], [["1", "2"]])], "url string, table_no int, heading string, headers array<string>, rows array<array<string>>")
+    t = spark.createDataFrame([("u", 0, "Fall 2025", ["Part of Term", "Final Day to Withdraw", "Final Day to Withdraw"], [["Full", "11/4", "x"], ["Session A", "", None]]), ("u", 3, "", ["A"], []), ("v", 0, "", ['say "q"', "B"], [["1", "2"]])], "url string, table_no int, heading string, headers array<string>, rows array<array<string>>")
     T.write_table_exports(t, f"file://{tmp_path}/x")
     rows = {r["url"]: r["j"] for r in T.read_summaries(spark, f"file://{tmp_path}/x").select("url", F.to_json("summary").alias("j")).collect()}
     import json
 
-    assert json.loads(rows["u"]) == {"source": "table_extractor", "tables_found": 2, "rows": [{"Part of Term": "Full", "Final Day to WD": "11/4"}, {"Part of Term": "Session A", "Final Day to WD": ""}], "normalized_calendar": [{"term": "Fall 2025", "last_day_to_add_drop": None, "final_day_to_withdraw": "11/4"}, {"term": "Fall 2025", "last_day_to_add_drop": None, "final_day_to_withdraw": None}]}
+    assert json.loads(rows["u"]) == {"source": "table_extractor", "tables_found": 2, "rows": [{"Part of Term": "Full", "Final Day to Withdraw": "11/4"}, {"Part of Term": "Session A", "Final Day to Withdraw": ""}], "normalized_calendar": [{"term": "Fall 2025", "last_day_to_add_drop": None, "final_day_to_withdraw": "11/4"}, {"term": "Fall 2025", "last_day_to_add_drop": None, "final_day_to_withdraw": None}]}
     assert json.loads(rows["v"])["rows"] == [{'say "q"': "1", "B": "2"}]
     md = {r["url"]: r["md"] for r in spark.read.parquet(f"file://{tmp_path}/x/markdown").collect()}
     assert md["u"].startswith("### Table 1\n\n**SECTION:** Fall 2025\n\n**TERM:** Fall 2025\n\n| Part of Term |") and "### Table 2\n\n| A |\n| --- |" in md["u"]
-    objects = [json.loads(r[0]) for r in spark.read.text(f"file://{tmp_path}/x/rows").collect()]
-    assert [o["text"] for o in objects] == ["**Part of Term:** Full\n**Final Day to WD:** 11/4\n**Final Day to WD:** x", "**Part of Term:** Session A"]
+    objects = sorted((json.loads(r[0]) for r in spark.read.text(f"file://{tmp_path}/x/rows").collect()), key=lambda o: -len(o["text"]))
+    assert [o["text"] for o in objects] == ["**Part of Term:** Full\n**Final Day to Withdraw:** 11/4\n**Final Day to Withdraw:** x", "**Part of Term:** Session A"]
     assert objects[0]["meta"]["term"] == "Fall 2025" and objects[1]["meta"]["session"] == "Session a" and objects[0]["meta"]["waitlist_ends"] is None
     assert [r["term"] for r in readers.read_table_rows(spark, f"file://{tmp_path}/x/rows").collect()] == []
 
