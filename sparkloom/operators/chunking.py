@@ -223,9 +223,26 @@ def chunk_documents(docs: DataFrame, snap_ends: bool = False, id_by_section: boo
     return keep_first(out, ["id"], ["source_url", "section_no", "piece_no"])
 
 
-def row_chunks(rows: DataFrame, allowed: list[str]) -> DataFrame:
+#: Buckets whose table rows become chunks where the configuration names none.
+ALLOWED = ("registrar",)
+
+
+def allowed_buckets(config: dict | None) -> list[str]:
+    """The configuration's ``allowed_buckets``; ``["*"]`` if they hold it; ALLOWED if the key is missing, empty or no list."""
+    found = (config or {}).get("allowed_buckets")
+    named = [x for x in (str(b).strip() for b in found) if x] if isinstance(found, list) else []
+    return ["*"] if "*" in named else list(dict.fromkeys(named)) if named or (isinstance(found, list) and found) else list(ALLOWED)
+
+
+def united_chunks(chunks: DataFrame, rows: DataFrame, config: dict | None = None) -> DataFrame:
+    """Documents' chunks and the row chunks of the allowed buckets as one table; documents' chunks have no has_deadline_words. Ids stay as they are, the first of equal ones kept."""
+    both = chunks.withColumn("has_deadline_words", F.lit(None).cast("boolean")).withColumn("_from", F.lit(0)).unionByName(row_chunks(rows, allowed_buckets(config)).withColumn("_from", F.lit(1)))
+    return keep_first(both, ["id"], ["_from", "source_url", "section_no", "piece_no"]).drop("_from")
+
+
+def row_chunks(rows: DataFrame, allowed: list[str] | tuple[str, ...] = ALLOWED) -> DataFrame:
     """Table rows (url, section_heading, text, bucket, term, has_deadline_words) of the allowed buckets (``*``: all) as chunks."""
-    kept = rows if "*" in allowed else rows.filter(F.col("bucket").isin(allowed))
+    kept = rows if "*" in allowed else rows.filter(F.col("bucket").isin(list(allowed)))
     return kept.select(
         X.row_chunk_id(F.col("url"), F.col("text")).alias("id"), F.col("url").alias("source_url"), F.lit("Calendar Row").alias("title"), "bucket", F.array().cast("array<string>").alias("tags"),
         F.array("section_heading").alias("headings"), "section_heading", "text", F.lit(True).alias("is_table"), F.lit("calendar").alias("section"), "term", F.lit(0).alias("section_no"), F.lit(1).alias("piece_no"), "has_deadline_words",

@@ -120,11 +120,20 @@ def topic_matches(text: Column, any_of: Sequence[str], must_one_of: Sequence[str
     return F.coalesce(out, F.lit(False))
 
 
-def topic_filter(docs: DataFrame, topics: dict[str, tuple[Sequence[str], Sequence[str]]], text: str = "text", ascii_words: bool = False) -> DataFrame:
-    """Adds in_scope: whether any topic matches; what is out of scope goes to quarantine by a filter."""
+#: The buckets whose documents a topic filter looks at.
+TOPIC_BUCKETS = ("policies", "policies-pdf", "uploads-pdf", "university-policies-pdf")
+
+
+def topic_filter(docs: DataFrame, topics: dict[str, tuple[Sequence[str], Sequence[str]]], text: str = "text", ascii_words: bool = False, buckets: Sequence[str] | None = None) -> DataFrame:
+    """Adds in_scope: whether any topic matches; what is out of scope goes to quarantine by a filter.
+
+    ``buckets`` (TOPIC_BUCKETS, say) limits the filter to documents of these buckets; all others, those without a bucket too, are in scope.
+    """
     out = F.lit(False)
     for any_of, must in topics.values():
         out = out | topic_matches(F.col(text), any_of, must, ascii_words=ascii_words)
+    if buckets is not None:
+        out = out | ~F.coalesce(F.col("bucket").isin(list(buckets)), F.lit(False))
     return docs.withColumn("in_scope", out)
 
 

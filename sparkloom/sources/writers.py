@@ -27,12 +27,6 @@ def front_matter(meta: dict[str, Column], md: Column) -> Column:
     return F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n\n"), md)
 
 
-def write_markdown(docs: DataFrame, path: str) -> None:
-    """Documents (source_url, source_title, bucket, md, ...) as text with front matter, a value a document."""
-    meta = {c: F.col(c) for c in docs.columns if c not in ("md", "tags")}
-    docs.select(front_matter(meta, F.col("md")).alias("value")).write.mode("overwrite").parquet(path)
-
-
 def index_rows(chunks: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
     """What an index keeps of chunks: ids once (the first), texts, flat metadata (lists joined; tags too), the vector if given."""
     flat = chunks.select(
