@@ -10,7 +10,8 @@ from sparkloom.functions.arrays import let
 from sparkloom.operators.selection import keep_first
 
 TARGET, CATALOG_TARGET, OVERLAP, PAD = 1200, 2200, 200, 40
-# Characters at which a window may be cut; lines of page chrome; headings kept once a document.
+# Characters at which a window may be cut; lines of page chrome; headings kept once a document; the mark of an
+# extracted table; the bucket of program pages; course codes.
 BOUNDARY = r"[ \t\n\r\f\x0B.,;:!?)\]]"
 NOT_BOUNDARY = r"[^ \t\n\r\f\x0B.,;:!?)\]]"
 CHROME = (
