@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
 from sparkloom.functions.arrays import numbered
+from sparkloom.operators import products as P
 from sparkloom.operators.selection import keep_first
 
 POOL = 200
@@ -62,7 +63,8 @@ def vector_scores(queries: DataFrame, vectors: DataFrame, where: Column | None =
 
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = POOL, where: Column | None = None) -> DataFrame:
     """Exact cosine top-k: queries (qid, qvec) against vectors (vec_id, embedding, ...), after the metadata filter."""
-    return top_k(vector_scores(queries, vectors, where), k, "qid", [F.desc("embed_score"), F.asc("vec_id")])
+    found = P.search(queries, vectors.filter(where) if where is not None else vectors, k)
+    return top_k(found, k, "qid", [F.desc("embed_score"), F.asc("vec_id")])
 
 
 def merge_queries(found: DataFrame, k: int) -> DataFrame:
