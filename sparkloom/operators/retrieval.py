@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as X
 from sparkloom.functions.arrays import numbered
 from sparkloom.operators import products as P
-from sparkloom.operators.selection import keep_first
+from sparkloom.operators.selection import keep_first, rank_within
 
 POOL = 200
 #: A question set up to this many bytes is broadcast; a larger one is dealt to the scan in blocks.
@@ -67,6 +67,16 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = POOL, where: C
     return top_k(found, k, "qid", [F.desc("embed_score"), F.asc("vec_id")])
 
 
+def diverse_top_k(queries: DataFrame, vectors: DataFrame, k: int, cap: int, cap_key: str) -> DataFrame:
+    """Exact cosine top-k with at most ``cap`` rows of a value of cap_key for each query; their place.
+
+    A row among the first k has no more rows before it in its own group of vectors than in all, so the groups' first k are enough.
+    """
+    order = [F.desc("embed_score"), F.asc("vec_id")]
+    few = rank_within(P.search(queries, vectors, k, cap, cap_key), ["qid", cap_key], order, "_n").filter(F.col("_n") <= cap).drop("_n")
+    return rank_within(few, ["qid"], order, "place").filter(F.col("place") <= k)
+
+
 def merge_queries(found: DataFrame, k: int) -> DataFrame:
     """Results of sub-queries (qid, sub, vec_id, embed_score) as one list a question: a candidate once, at its first place."""
     first = keep_first(found, ["qid", "vec_id"], ["sub", "rank"])

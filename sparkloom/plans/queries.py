@@ -351,10 +351,8 @@ def vector_topk_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
 k AS (SELECT qid, vec_id, label, embed_score, row_number() OVER (PARTITION BY qid ORDER BY rank) AS place FROM c WHERE n <= 2) SELECT * FROM k WHERE place <= 6""")
 def diversity_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most two of a label, top 6."""
-    order = [F.desc("embed_score"), F.asc("vec_id")]
-    s = V.vector_scores(_queries_of(spark, sf_dir), table(spark, sf_dir, "embeddings"))
-    c = S.rank_within(s, ["qid", "label"], order, "n").filter("n <= 2")
-    return S.rank_within(c, ["qid"], order, "place").filter("place <= 6").select("qid", "vec_id", "label", "embed_score", "place")
+    found = V.diverse_top_k(_queries_of(spark, sf_dir), table(spark, sf_dir, "embeddings"), 6, 2, "label")
+    return found.select("qid", "vec_id", "label", "embed_score", "place")
 
 
 # ---------------------------------------------------------------- ranking

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators import products as P
@@ -63,3 +64,15 @@ def test_rounded_as_spark_rounds(spark):
     x = np.array([0.1234565, -0.1234565, 0.0000005, -0.0000005, 1e-9, -1e-9, 0.9999995, 0.12345649999999999, 2.5e-6, 1.0, math.nan, *np.random.default_rng(1).uniform(-1, 1, 2000), *(np.arange(-999, 1000) / 1e6 + 5e-7)])
     got = spark.createDataFrame([(float(v),) for v in x], "x double").select("x", F.round("x", 6).alias("y")).collect()
     assert [repr(r["y"]) for r in got] == [repr(float(v)) for v in P.rounded(np.array([r["x"] for r in got]))]
+
+
+@pytest.mark.parametrize("sizes", [(8192, 16384, 1 << 21), (10, 40, 100)])
+@pytest.mark.parametrize("k, cap", [(3, 1), (6, 2), (9, 2)])
+def test_capped_top_k_is_that_of_all_pairs(spark, vectors, monkeypatch, sizes, k, cap):
+    for name, n in zip(("BLOCK_QUERIES", "GROUP_ROWS", "PAIRS"), sizes):
+        monkeypatch.setattr(P, name, n)
+    q, one_label = asked_of(vectors), vectors.withColumn("label", F.when(F.col("vec_id") % 97 == 0, 3).when(F.col("vec_id") % 41 == 0, F.lit(None)).otherwise(1))
+    for v in (vectors, one_label):
+        capped = V.vector_scores(q, v).withColumn("n", F.row_number().over(Window.partitionBy("qid", "label").orderBy(*by_score()))).filter(F.col("n") <= cap)
+        found = V.diverse_top_k(q, v, k, cap, "label").withColumnRenamed("place", "rank")
+        assert "NestedLoopJoin" not in plan_of(found) and rows_of(found.fillna(-1, ["label"])) == rows_of(V.top_k(capped, k, "qid", by_score()).fillna(-1, ["label"]))
