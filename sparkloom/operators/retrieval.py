@@ -174,11 +174,36 @@ class HashedVectors:
         return vectors.select("vec_id", F.posexplode(self.codes(F.col("embedding"))).alias("table", "code"))
 
     def search(self, queries: DataFrame, index: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-        """Ids alone meet in the cells and are made distinct; vectors are fetched for the pairs that are left."""
-        near = F.array(F.lit(0), *[F.lit(1 << b) for b in range(self.bits)])
-        probes = queries.select("qid", F.posexplode(self.codes(F.col("qvec"))).alias("table", "_code"))
-        probes = probes.select("qid", "table", F.explode(F.transform(near, lambda m: F.col("_code").bitwiseXOR(m))).alias("code"))
-        pairs = index.join(probes, ["table", "code"]).select("qid", "vec_id").distinct()
-        hits = pairs.join(vectors, "vec_id").join(queries, "qid")
-        score = dot(F.col("qvec"), F.col("embedding")) / (norm(F.col("qvec")) * norm(F.col("embedding")))
-        return top_k(hits.withColumn("embed_score", F.round(score, 6)).drop("qvec", "embedding"), k, "qid", [F.desc("embed_score"), F.asc("vec_id")])
+        """A vector's codes join it by id; blocks of queries meet groups of vectors, and a task scores the pairs that share a cell."""
+        codes = index.groupBy("vec_id").agg(F.collect_list(F.struct("table", "code")).alias("_codes"))
+        asked = queries.select("qid", "qvec", self.codes(F.col("qvec")).alias("_asked"))
+        found = P.search(asked, vectors.join(codes, "vec_id"), k, pairs=NearCodes(self.tables), extra=("_codes",))
+        return top_k(found, k, "qid", [F.desc("embed_score"), F.asc("vec_id")])
+
+
+class NearCodes:
+    """Pairs of queries (``_asked``: a code a table) and vectors (``_codes``: table, code) whose codes differ by one bit at most in some table."""
+
+    def __init__(self, tables: int):
+        self.tables = tables
+
+    def __call__(self, asked, found):
+        import numpy as np
+        import pyarrow.compute as pc
+
+        own = np.asarray(pc.list_flatten(asked.column("_asked")), np.int32).reshape(len(asked), self.tables)
+        row = np.asarray(pc.list_parent_indices(found.column("_codes")))
+        table, code = (np.asarray(pc.struct_field(pc.list_flatten(found.column("_codes")), f), np.int32) for f in ("table", "code"))
+        nth = P.places(np.lexsort((table, row)), row, table)  # an id that stands twice may have two codes
+        theirs = np.full((int(nth.max(initial=0)) + 1, self.tables, len(found)), -1, np.int32)  # -1 is near no code
+        theirs[nth, table, row] = code
+
+        def near(here: slice):
+            out = np.zeros((len(own[here]), len(found)), bool)
+            for codes in theirs:
+                for t in range(self.tables):
+                    x = own[here, t][:, None] ^ codes[t][None, :]
+                    out |= (x & (x - 1)) == 0
+            return out
+
+        yield np.arange(len(asked)), np.arange(len(found)), near

@@ -76,3 +76,18 @@ def test_capped_top_k_is_that_of_all_pairs(spark, vectors, monkeypatch, sizes, k
         capped = V.vector_scores(q, v).withColumn("n", F.row_number().over(Window.partitionBy("qid", "label").orderBy(*by_score()))).filter(F.col("n") <= cap)
         found = V.diverse_top_k(q, v, k, cap, "label").withColumnRenamed("place", "rank")
         assert "NestedLoopJoin" not in plan_of(found) and rows_of(found.fillna(-1, ["label"])) == rows_of(V.top_k(capped, k, "qid", by_score()).fillna(-1, ["label"]))
+
+
+def test_hashed_search_moves_no_pairs(spark, vectors):
+    v = vectors.filter("vec_id < 1000 or vec_id in (1040, 1020)").filter("size(embedding) = 4")
+    q, h = asked_of(v), V.HashedVectors(4)
+    index = h.index(v)
+    found = h.search(q, index, v, 10)
+    assert "CoGroup" in plan_of(found)
+    code, bit = {(r["vec_id"], r["table"]): r["code"] for r in index.collect()}, {0, *(1 << b for b in range(5))}
+    near = {(a["qid"], b["vec_id"]) for a in q.collect() for b in v.collect() if any(code[a["qid"], t] ^ code[b["vec_id"], t] in bit for t in range(8))}
+    pairs = spark.createDataFrame(list(near), "qid long, vec_id long")
+    want = V.top_k(V.vector_scores(q, v).join(pairs, ["qid", "vec_id"]), 10, "qid", by_score())
+    assert rows_of(found) == rows_of(want)
+    assert h.search(q, index.filter("vec_id % 2 = 0"), v, 10).filter("vec_id % 2 = 1").count() == 0
+    assert h.search(q, index, v.limit(0), 10).count() == 0
