@@ -6,10 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.operators.retrieval import BROADCAST_BYTES, dot, norm, size_of, top_k
+from sparkloom.operators import products as P
+from sparkloom.operators.retrieval import BROADCAST_BYTES, size_of, top_k
 from sparkloom.sources.snapshots import read_snapshot, write_snapshot
 
 #: Rows that centroids and probes are fitted on at most; cells at most; rounds of k-means.
@@ -101,8 +104,59 @@ class InvertedFile:
         return index.join(F.broadcast(asked) if size_of(queries) * max(1, self.probes) <= BROADCAST_BYTES else asked, "cell")
 
     def search(self, queries: DataFrame, index: DataFrame, k: int, probes: int | None = None) -> DataFrame:
-        """Top-k by exact cosine among the rows of the nearest cells; ties by vec_id."""
-        both = self.candidates(queries, index, probes)
-        size = norm(F.col("qvec")) * norm(F.col("embedding"))
-        score = F.round(F.when(size == 0, 0.0).otherwise(dot(F.col("qvec"), F.col("embedding")) / size), 6)
-        return top_k(both.withColumn("embed_score", score).drop("qvec", "embedding", "cell"), k, "qid", [F.desc("embed_score"), F.asc("vec_id")])
+        """Top-k by exact cosine among the rows of the nearest cells; ties by vec_id.
+
+        Cells are packed to groups of about ``products.GROUP_ROWS`` rows, a larger cell is dealt to several. A query goes to the groups that hold
+        one of its cells, once each with the cells it looks into there, and a task scores a cell's rows for the queries that look into it.
+        """
+        first, many, groups = self._packed(index)
+        kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, qvec {queries.schema['qvec'].dataType.simpleString()}"
+        n = min(self.cells, probes or self.probes)
+        shared = queries.sparkSession.sparkContext.broadcast((self.centroids, first, many))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            centroids, first, many = shared.value
+            for b in batches:
+                for lo in range(0, len(b), 64):
+                    some, out = b[lo : lo + 64], []
+                    for i, cells in enumerate(nearest(unit(np.array(some["qvec"].tolist(), np.float64)), centroids, n)):
+                        cells = np.sort(cells[many[cells] > 0])
+                        at = np.repeat(np.arange(len(cells)), many[cells])
+                        group = np.repeat(first[cells], many[cells]) + P.places(np.arange(len(at)), at)
+                        order = np.argsort(group, kind="stable")
+                        which, starts = np.unique(group[order], return_index=True)
+                        out += [(i, g, c) for g, c in zip(which, np.split(cells[at[order]], starts[1:]))]
+                    if out:
+                        rows, which, cells = zip(*out)
+                        yield some[["qid", "qvec"]].iloc[list(rows)].assign(_group=which, _cells=cells)
+
+        asked = queries.select("qid", "qvec")
+        asked = asked.filter("qvec is not null") if self.cells else asked.limit(0)
+        asked = asked.mapInPandas(run, f"{kinds}, _group int, _cells array<int>")
+        where = index.sparkSession.createDataFrame([(c, int(first[c]), int(many[c])) for c in range(len(first)) if many[c]], "cell long, _first int, _many int")
+        dealt = F.col("_first") + F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.col("_many")).cast("int")
+        rows = index.join(F.broadcast(where), "cell").withColumn("_group", dealt).drop("_first", "_many")
+        found = P.search(asked, rows, k, pairs=in_cells, dealt=(P.parts_of(queries.count(), P.BLOCK_QUERIES), groups), extra=("cell",))
+        return top_k(found, k, "qid", [F.desc("embed_score"), F.asc("vec_id")])
+
+    def _packed(self, index: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+        """Each cell's first group and how many it has (0: no rows), by the rows of at most MOST_CELLS cells; and the number of groups."""
+        first, many, at, held = np.zeros(self.cells, np.int64), np.zeros(self.cells, np.int64), 0, 0
+        for c, n in sorted(map(tuple, index.groupBy("cell").agg(F.count("*")).collect())):
+            if held and held + n > P.GROUP_ROWS:
+                at, held = at + 1, 0
+            first[c], many[c] = at, P.parts_of(n, P.GROUP_ROWS)
+            at, held = (at + many[c], 0) if n > P.GROUP_ROWS else (at, held + n)
+        return first, many, int(at) + 1
+
+
+def in_cells(asked: pa.Table, found: pa.Table):
+    """For each cell of a group: the queries that look into it and its rows."""
+    cell = np.asarray(found.column("cell"))
+    rows = np.argsort(cell, kind="stable")
+    known, starts = np.unique(cell[rows], return_index=True)
+    who, looked = np.asarray(pc.list_parent_indices(asked.column("_cells"))), np.asarray(pc.list_flatten(asked.column("_cells")))
+    order = np.argsort(looked, kind="stable")
+    who, looked = who[order], looked[order]
+    for c, of in zip(known, np.split(rows, starts[1:])):
+        yield who[slice(*np.searchsorted(looked, [c, c + 1]))], of, None

@@ -91,3 +91,17 @@ def test_hashed_search_moves_no_pairs(spark, vectors):
     assert rows_of(found) == rows_of(want)
     assert h.search(q, index.filter("vec_id % 2 = 0"), v, 10).filter("vec_id % 2 = 1").count() == 0
     assert h.search(q, index, v.limit(0), 10).count() == 0
+
+
+@pytest.mark.parametrize("most", [16384, 40])
+def test_cells_meet_only_the_queries_that_look_into_them(spark, vectors, monkeypatch, most):
+    from sparkloom.operators.ivf import InvertedFile
+
+    monkeypatch.setattr(P, "GROUP_ROWS", most)  # 40: the cell of the copies is dealt to several groups
+    v = vectors.filter("vec_id < 1000 or vec_id = 1020")
+    q, file = asked_of(v), InvertedFile(v, cells=6)
+    index = file.assigned(v).cache()
+    both = file.candidates(q, index, 2).select("qid", "vec_id").distinct()
+    found = file.search(q, index, 10, 2)
+    assert "CoGroup" in plan_of(found) and both.count() < q.count() * v.count()
+    assert rows_of(found) == rows_of(V.top_k(V.vector_scores(q, v).join(both, ["qid", "vec_id"]), 10, "qid", by_score()))
