@@ -105,3 +105,11 @@ def test_cells_meet_only_the_queries_that_look_into_them(spark, vectors, monkeyp
     found = file.search(q, index, 10, 2)
     assert "CoGroup" in plan_of(found) and both.count() < q.count() * v.count()
     assert rows_of(found) == rows_of(V.top_k(V.vector_scores(q, v).join(both, ["qid", "vec_id"]), 10, "qid", by_score()))
+
+
+def test_recall_compares_two_searches_by_products(spark):
+    from sparkloom.plans.derived import QUERIES
+    from tests.conftest import DATA
+
+    found = QUERIES["vector_cells_recall"](spark, DATA)
+    assert plan_of(found).count("CoGroup") >= 2 and "cells-" in str(found.inputFiles()) and found.first()["enough"]
