@@ -113,3 +113,15 @@ def test_recall_compares_two_searches_by_products(spark):
 
     found = QUERIES["vector_cells_recall"](spark, DATA)
     assert plan_of(found).count("CoGroup") >= 2 and "cells-" in str(found.inputFiles()) and found.first()["enough"]
+
+
+def scored_by_products(spark, name):
+    from sparkloom.plans.queries import QUERIES
+    from tests.conftest import DATA
+
+    plan = plan_of(QUERIES[name](spark, DATA))
+    return "CoGroup" in plan and "NestedLoopJoin" not in plan
+
+
+def test_merged_queries_score_by_products(spark):
+    assert scored_by_products(spark, "multi_query_merge")
