@@ -125,3 +125,7 @@ def scored_by_products(spark, name):
 
 def test_merged_queries_score_by_products(spark):
     assert scored_by_products(spark, "multi_query_merge")
+
+
+def test_filtered_search_scores_by_products(spark):
+    assert scored_by_products(spark, "vector_topk_filtered")
