@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.functions import text as X
 from sparkloom.functions.arrays import numbered
+from sparkloom.operators import overlaps as O
 from sparkloom.operators import products as P
 from sparkloom.operators.selection import keep_first, rank_within
 
 POOL = 200
 #: A question set up to this many bytes is broadcast; a larger one is dealt to the scan in blocks.
 BROADCAST_BYTES = 32 << 20
+#: Questions that every task of a lexical search holds, and documents of a group that more of them meet.
+QUESTION_BYTES, GROUP_BYTES = 4 << 20, 32 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -117,28 +124,35 @@ def filled(best: DataFrame, queries: DataFrame, docs: DataFrame, k: int, cap: in
 def lexical_top_k(queries: DataFrame, docs: DataFrame, k: int, cap: int | None = None, cap_key: str = "source", chars: int | None = X.OVERLAP_CHARS) -> DataFrame:
     """Top-k documents by token overlap of queries (qid, query) with their first ``chars`` characters (None: whole), at most ``cap`` of a source each.
 
-    The questions' tokens are an inverted index (token, question, count): a document's tokens that no question has fall away in the
-    first hash join, those left are counted, and each meets only the questions that have it. The index is broadcast while its
-    measured size allows it and is otherwise joined by token. (``LexicalIndex`` keeps an index of the documents.)
+    Documents' tokens meet a table of the questions' tokens inside tasks, which give their few best documents a question. The questions
+    go to every task while their measured size is at most QUESTION_BYTES; more of them are dealt to blocks, which meet groups of documents.
     """
-    postings = question_postings(queries)
-    small = size_of(postings) <= BROADCAST_BYTES
-    near = lambda df: F.broadcast(df) if small else df
     columns = [c for c in docs.columns if c != "text"]
-    tokens = docs.withColumn("_d", X.tokenize(F.col("text") if chars is None else F.substring("text", 1, chars)))
-    rows = tokens.select(F.monotonically_increasing_id().alias("_row"), F.size("_d").alias("_len"), *columns, "_d").select("_row", "_len", *columns, F.explode("_d").alias("_t"))
-    known = rows.join(near(postings.select("_t").distinct()), "_t", "left_semi")
-    counts = known.groupBy("_row", "_len", *columns, "_t").agg(F.count("*").alias("_n"))
-    same = counts.join(near(postings), "_t").groupBy("_row", "_len", *columns, "qid", "_m").agg(F.sum(F.least("_n", "_c")).alias("_same"))
-    score = F.round(F.col("_same") / F.sqrt(F.col("_m").cast("double") * F.col("_len")), 6)
-    scored = same.select("qid", *columns, score.alias("score"))
-    return filled(capped(scored, k, cap, cap_key), queries, docs, k, cap, cap_key)
-
-
-def question_postings(queries: DataFrame) -> DataFrame:
-    """The inverted index of questions (qid, query): a row a token and question, (_t, qid, _m tokens in all, _c times this one)."""
     asked = queries.select("qid", X.tokenize(F.col("query")).alias("_q"))
-    return asked.select("qid", F.size("_q").alias("_m"), F.explode("_q").alias("_t")).groupBy("_t", "qid", "_m").agg(F.count("*").alias("_c"))
+    tokens = docs.select(*columns, X.tokenize(F.col("text") if chars is None else F.substring("text", 1, chars)).alias("_d"))
+    schema = T.StructType([queries.schema["qid"], *[docs.schema[c] for c in columns], T.StructField("score", T.DoubleType())])
+    O.bound_batches(docs.sparkSession)
+    size = size_of(asked)
+    if size <= QUESTION_BYTES:
+        shared = docs.sparkSession.sparkContext.broadcast(asked.toArrow())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = O.Questions(shared.value).best((pa.Table.from_batches([b]) for b in batches), k, cap, cap_key)
+            if best is not None:
+                yield from best.select(schema.names).to_batches()
+
+        scored = tokens.mapInArrow(run, schema)
+    else:
+        blocks = P.parts_of(size, QUESTION_BYTES)
+        groups = P.parts_of(docs.select(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0, GROUP_BYTES)
+
+        def meet(some: pa.Table, found: pa.Table) -> pa.Table:
+            best = O.Questions(some).best((found.slice(i, O.BATCH_ROWS) for i in range(0, len(found), O.BATCH_ROWS)), k, cap, cap_key)
+            return found.slice(0, 0).drop_columns(["_d"]).append_column("qid", some.column("qid").slice(0, 0)).append_column("score", pa.array([], pa.float64())) if best is None else best
+
+        asked, tokens = asked.withColumn("_group", P.every(groups)), tokens.withColumn("_group", P.deal(tokens.select(*columns), groups, 2))
+        scored = P.meet(asked, tokens, meet, schema, (blocks, groups))
+    return filled(capped(scored, k, cap, cap_key), queries, docs, k, cap, cap_key)
 
 
 def dedupe_candidates(rows: DataFrame) -> DataFrame:
