@@ -56,3 +56,11 @@ def test_tokens_and_pairs_are_not_shuffled(spark, tables):
     some = O.Questions(q.select("qid", X.tokenize(F.col("query")).alias("_q")).toArrow())
     t = docs.select("doc_id", "source", X.tokenize(F.col("text")).alias("_d")).toArrow()
     assert len(some.best([t, t, t], 5, 2, "source")) <= 5 * q.count()
+
+
+def test_registered_whole_search_shuffles_no_tokens(spark):
+    from sparkloom.plans.queries import QUERIES
+    from tests.conftest import DATA
+
+    plan = QUERIES["lexical_topk_whole"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "explode(_d" not in plan and "_same" not in plan
