@@ -136,6 +136,16 @@ def numbers(column: pa.ChunkedArray) -> np.ndarray:
     return np.asarray(pc.dictionary_encode(column, null_encoding="encode").combine_chunks().indices)
 
 
+def classes(v: Vectors) -> np.ndarray:
+    """A number for each row: equal vectors have one, and so have all that aren't whole."""
+    with np.errstate(all="ignore"):
+        sums = (v.values * np.random.default_rng(11).standard_normal(v.values.shape[1])).sum(axis=1)
+    _, first, of = np.unique(sums, return_index=True, return_inverse=True)
+    like = first[of]
+    alike = (v.values == v.values[like]).all(axis=1) & (v.size == v.size[like]) & v.whole[like]
+    return np.where(v.whole, np.where(alike, of, len(of) + np.arange(len(of))), -1)
+
+
 def best_rows(asked: pa.Table, found: pa.Table, k: int, pairs=None, cap: int | None = None, cap_key: str = "") -> pa.Table:
     """The k rows of highest cosine for each query, ties by vec_id, at most ``cap`` of a value of cap_key; all columns but the vectors, and embed_score.
 
@@ -144,12 +154,12 @@ def best_rows(asked: pa.Table, found: pa.Table, k: int, pairs=None, cap: int | N
     found = found.take(pc.sort_indices(found, sort_keys=[("vec_id", "ascending")], null_placement="at_start"))
     kind = numbers(found.column(cap_key)) if cap is not None else None
     q, v = Vectors(asked.column("qvec")), Vectors(found.column("embedding"))
-    if not v.whole.all() and pairs is None:  # scores are null with every query: the first ones are enough
-        none = np.flatnonzero(~v.whole)
-        keep = v.whole.copy()
-        keep[none[foremost(np.zeros(len(none), np.int64), none, np.zeros(len(none)), k, kind, cap)]] = True
-        found, kind = found.filter(pa.array(keep)), kind[keep] if cap is not None else None
-        v = Vectors(found.column("embedding"))
+    if pairs is None:  # rows of a class have one score with every query: the first ones are enough
+        of = classes(v)
+        keep = np.sort(foremost(of, np.arange(len(of)), np.zeros(len(of)), k, kind, cap))
+        if len(keep) < len(of):
+            found, kind = found.take(pa.array(keep)), kind[keep] if cap is not None else None
+            v = Vectors(found.column("embedding"))
     length = np.bincount(q.size).argmax()
     q.plain &= q.size == length
     v.plain &= v.size == length

@@ -123,6 +123,18 @@ def scored_by_products(spark, name):
     return "CoGroup" in plan and "NestedLoopJoin" not in plan
 
 
+def test_few_copies_of_a_vector_are_scored(spark, vectors, monkeypatch):
+    scored, cosines = [], P.cosines
+    monkeypatch.setattr(P, "cosines", lambda q, v, qi, vi: scored.append(len(qi)) or cosines(q, v, qi, vi))
+    q, v = (df.toArrow() for df in (asked_of(vectors).filter("qid < 1000"), vectors.filter("vec_id < 180")))
+    for cap in (None, 2):  # of 81 equal vectors
+        scored.clear()
+        found = P.best_rows(q, v, 3, None, cap, "label")
+        assert len(found) == 3 * len(q) and sum(scored) <= (10 if cap is None else 60) * len(q)
+    x = P.Vectors(v.column("embedding"))
+    assert len(set(P.classes(x))) == len({tuple(r) for r in x.values.tolist()}) == 100
+
+
 def test_merged_queries_score_by_products(spark):
     assert scored_by_products(spark, "multi_query_merge")
 
